@@ -23,6 +23,7 @@ from undertow.llm.common import texts_in
 
 SPACE = "▁"
 UNKNOWN = 10.0  # below the lowest score, for each character without a piece
+NEVER_MERGED = -1e8  # models of merges mark pieces of spaces alone so; they count as just below the lowest score
 CACHE = 300_000  # words whose segmentation is kept
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
@@ -40,7 +41,7 @@ class Pieces:
         self.bytes_of: dict[int, bytes] = {}
         self.silent = set()
         self.automaton = ahocorasick.Automaton()
-        lowest, self.single, self.splits = 0.0, set(), True
+        scored, self.splits = [], True
         for i, name in enumerate(self.names):
             if sp.is_byte(i):
                 self.byte_ids[int(name[3:5], 16)] = i
@@ -48,11 +49,12 @@ class Pieces:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.silent.add(i)
             else:
-                score = sp.get_score(i)
-                self.automaton.add_word(name, (i, len(name), score))
-                lowest = min(lowest, score) if score > -1e8 else lowest
+                scored.append((name, i, sp.get_score(i)))
                 self.bytes_of[i] = name.replace(SPACE, " ").encode()
                 self.splits &= SPACE not in name.lstrip(SPACE)
+        lowest = min((s for _, _, s in scored if s > NEVER_MERGED), default=0.0)
+        for name, i, score in scored:
+            self.automaton.add_word(name, (i, len(name), max(score, lowest - 1)))
         self.automaton.make_automaton()
         self.unknown = lowest - UNKNOWN
         self.kept: dict[str, bytes] = {}

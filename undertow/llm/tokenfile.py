@@ -29,7 +29,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
-    x = keys.astype(np.uint64) + np.uint64(seed + 1) * _A
+    x = keys.astype(np.uint64) + np.uint64((seed + 1) * int(_A) % (1 << 64))
     x = (x ^ (x >> np.uint64(32))) * _B
     x = (x ^ (x >> np.uint64(29))) * _B
     return x ^ (x >> np.uint64(32))

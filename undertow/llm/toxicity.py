@@ -20,7 +20,7 @@ from undertow.llm.jaccard import WordHashes, mix
 DIM_BITS = 20
 #: Labelled rows that the fit may use, at most about; chosen by a hash of the key.
 TRAIN_ROWS = 12_000
-ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 1.5, 1.0, 4
+ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 5.0, 1.0, 2
 
 
 def features(words: list[bytes], hashes: WordHashes) -> np.ndarray:
