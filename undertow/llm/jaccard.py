@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from math import ceil, floor
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -200,24 +199,56 @@ class CountTree:
         return at[(bound >= need(sizes, size, numer, denom)) & (sizes >= least) & (sizes <= most)]
 
 
-def search_block(numer: int, denom: int):
-    """Candidate pairs of different components within a block, or of two tiles of a large block."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iat[0]), int(rows["j"].iat[0])
-        left, right = rows[rows["tile"] == i], rows[rows["tile"] == j]
-        pairs: list[tuple[int, int]] = []
-        if len(left) and len(right) and rows["root"].nunique() > 1:
-            unpack = lambda r: np.frombuffer(b"".join(r["point"]), "<u4").reshape(len(r), GROUPS).astype(np.int64)
-            tree = CountTree(unpack(right), right["n"].to_numpy(), numer, denom)
-            nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
-            for point, n, node, root in zip(unpack(left), left["n"], left["node"], left["root"], strict=True):
-                at = tree.search(point, int(n))
-                at = at[roots[at] != root]
-                if i == j:
-                    at = at[nodes[at] > node]
-                pairs += [(min(node, x), max(node, x)) for x in nodes[at]]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+def _block_pairs(i: int, j: int, tile, node, root, n, points, numer: int, denom: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of different components in a block, or between two tiles of a large one."""
+    if (root == root[0]).all():
+        return
+    if i == j and len(node) <= LEAF:  # a tree of one leaf
+        bound = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
+        ok = (bound >= need(n[:, None], n[None, :], numer, denom)) & (root[:, None] != root[None, :])
+        x, y = np.nonzero(np.triu(ok, 1))
+        yield node[x], node[y]
+        return
+    left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+    if len(left) and len(right):
+        tree = CountTree(points[right], n[right], numer, denom)
+        for x in left:
+            y = right[tree.search(points[x], int(n[x]))]
+            y = y[(root[y] != root[x]) & ((i != j) | (node[y] > node[x]))]
+            yield np.full(len(y), node[x]), node[y]
+
+
+def search_blocks(numer: int, denom: int):
+    """Over rows in the order of (block, i, j): holds one block, or two tiles of one, at a time."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        block, i, j, tile, node, root, n = (rows.column(c).to_numpy() for c in ("block", "i", "j", "tile", "node", "root", "n"))
+        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(len(node), GROUPS).astype(np.int64)
+        cut = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), len(node)]
+        found = [
+            pair for x, y in zip(cut, cut[1:], strict=False) if y > x + 1
+            for pair in _block_pairs(i[x], j[x], tile[x:y], node[x:y], root[x:y], n[x:y], points[x:y], numer, denom)
+        ]
+        a = np.concatenate([f[0] for f in found] or [np.empty(0, np.int64)])
+        b = np.concatenate([f[1] for f in found] or [np.empty(0, np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not rows.num_rows:
+                continue
+            same = np.ones(rows.num_rows, bool)
+            for c in ("block", "i", "j"):
+                same &= rows.column(c).to_numpy() == rows.column(c)[-1].as_py()
+            start = int(np.argmax(same))
+            if start:
+                yield pairs(rows.slice(0, start))
+            held = rows.slice(start)
+        if held is not None and held.num_rows:
+            yield pairs(held)
 
     return run
 
@@ -265,7 +296,10 @@ def jaccard_components(
     met = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
     across = across.select("block", "node", "root", "tile", F.explode(met).alias("m")).select("block", "node", "root", "tile", "m.i", "m.j")
     across = across.join(known.select("node", "n", "point"), "node")
-    found = across.groupBy("block", "i", "j").applyInPandas(search_block(numer, denom), "a long, b long").distinct()
+    order = ["block", "i", "j"]
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = across.repartition(spread, *order).sortWithinPartitions(*order)
+    found = across.mapInArrow(search_blocks(numer, denom), "a long, b long").distinct()
     found = written(found.join(tried, ["a", "b"], "left_anti"), "jaccard-found")
     if not found.isEmpty():
         linked = linked.unionByName(_verified(found, sets, numer, denom))
