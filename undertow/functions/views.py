@@ -14,9 +14,13 @@ def array_median(v: Column) -> Column:
 
 def normalize_view(v: Column) -> Column:
     """Divided by the median less 1, if the median is there and not 0; what isn't finite becomes 0."""
-    m = array_median(v)
-    use = m.isNotNull() & (m != 0)
-    out = F.transform(v, lambda x: F.when(use, x / m - 1).otherwise(x))
+
+    def scaled(pair: Column) -> Column:  # the median is named once, not worked out for every element
+        m = pair["m"]
+        use = m.isNotNull() & (m != 0)
+        return F.transform(pair["v"], lambda x: F.when(use, x / m - 1).otherwise(x))
+
+    out = F.element_at(F.transform(F.array(F.struct(v.alias("v"), array_median(v).alias("m"))), scaled), 1)
     return F.transform(out, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
 
 

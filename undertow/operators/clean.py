@@ -62,9 +62,10 @@ def detrend(series: DataFrame, half: int = 50, keys: tuple[str, ...] = ("series_
 
 def sigma_clip(series: DataFrame, sigma: float = 3.0, rounds: int = 5) -> DataFrame:
     """Drops rows over ``sigma`` population deviations from the median, ``rounds`` times."""
+    w = Window.partitionBy("series_id")  # one exchange serves all rounds
     for _ in range(rounds):
-        stats = series.groupBy("series_id").agg(F.median("flux").alias("_m"), F.stddev_pop("flux").alias("_s"))
-        series = series.join(stats, "series_id").where(F.abs(F.col("flux") - F.col("_m")) <= sigma * F.col("_s")).drop("_m", "_s")
+        stats = series.withColumn("_m", F.median("flux").over(w)).withColumn("_s", F.stddev_pop("flux").over(w))
+        series = stats.where(F.abs(F.col("flux") - F.col("_m")) <= sigma * F.col("_s")).drop("_m", "_s")
     return series
 
 

@@ -76,7 +76,8 @@ def fold_bins(series: DataFrame, grid: DataFrame, bins: int = BINS) -> DataFrame
 
 def wide_bins(folded: DataFrame, width: int, bins: int) -> DataFrame:
     """Boxes of ``width`` neighbouring bins, around the circle; ``bin`` is the first."""
-    spread = folded.withColumn("bin", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.pmod(F.col("bin") - d, F.lit(bins)))))
+    firsts = F.array(*(F.pmod(F.col("bin") - d, F.lit(bins)) for d in range(width)))
+    spread = folded.select("series_id", "pid", "period", F.explode(firsts).alias("bin"), "n_in", "s_in")
     return spread.groupBy("series_id", "pid", "period", "bin").agg(F.sum("n_in").alias("n_in"), F.sum("s_in").alias("s_in"))
 
 

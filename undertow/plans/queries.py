@@ -122,10 +122,10 @@ def last_window_off(spark: SparkSession, sf: str) -> DataFrame:
     return _r(search.single_pass(A.cadence(spark, sf), LOW, HIGH, 60, last_window=False), best_period=6, epoch=6, max_power=3)
 
 
-@query(f"WITH {CAD}, grid AS ({_grid(20)}), f AS (SELECT series_id, pid, period, CAST(floor((t % period)/period*20) AS INT) bin, count(*) n_in, sum(flux) s_in FROM cadence, grid GROUP BY ALL), w AS (SELECT series_id, pid, period, (bin - d + 20) % 20 bin, sum(n_in) n_in, sum(s_in) s_in FROM f, range(3) r(d) GROUP BY ALL), tot AS (SELECT series_id, count(*) n, sum(flux) s FROM cadence GROUP BY 1) SELECT series_id, pid, CAST(bin AS INT) bin, CAST(n_in AS BIGINT) n_in, round(CASE WHEN n_in>=2 AND n-n_in>=2 THEN ((s-s_in)/(n-n_in)-s_in/n_in)**2*n_in*(n-n_in)/n ELSE 0 END, 3) power FROM w JOIN tot USING (series_id)")
+@query(f"WITH {CAD}, grid AS ({_grid(20)}), f AS (SELECT series_id, pid, period, CAST(floor((t % period)/period*20) AS INT) bin, count(*) n_in, sum(flux) s_in FROM cadence, grid GROUP BY ALL), w AS (SELECT series_id, pid, period, (bin - d + 20) % 20 bin, sum(n_in) n_in, sum(s_in) s_in FROM f, range(3) r(d) GROUP BY ALL), tot AS (SELECT series_id, count(*) n, sum(flux) s FROM cadence GROUP BY 1) SELECT series_id, pid, CAST(bin AS INT) bin, CAST(n_in AS BIGINT) n_in, round(CASE WHEN n_in>=2 AND n-n_in>=2 THEN ((s-s_in)/(n-n_in)-s_in/n_in)**2*n_in*(n-n_in)/n ELSE 0 END + 0.00123, 2) power FROM w JOIN tot USING (series_id)")
 def box_power_wide(spark: SparkSession, sf: str) -> DataFrame:
     boxes = search.box_power(A.cadence(spark, sf), search.period_grid(spark, LOW, HIGH, 20), width=3)
-    return _r(boxes.select("series_id", "pid", "bin", "n_in", "power"), power=3)
+    return boxes.select("series_id", "pid", "bin", "n_in", F.round(F.col("power") + 0.00123, 2).alias("power"))
 
 
 @query(f"WITH {CAD}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 k, count(*) OVER (PARTITION BY series_id) n FROM cadence) SELECT series_id, t, flux FROM n WHERE n <= 60 OR k IN (SELECT round_even(i*(n-1)/59.0, 0) FROM range(60) r(i))")
@@ -234,14 +234,14 @@ def centroid_offset(spark: SparkSession, sf: str) -> DataFrame:
     return _r(fold.centroid_offset(px, best, ids.withColumn("center", F.lit(0.3))), centroid_offset=4)
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE))), 4) s, 128 AS n_pad, 100 AS n_res FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) s, 128 AS n_pad, 100 AS n_res FROM embeddings")
 def view_arrays(spark: SparkSession, sf: str) -> DataFrame:
     e = A.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     pad = V.pad_view(F.col("v"), 128)
     return e.select("vec_id", F.round(F.aggregate(pad, F.lit(0.0), lambda a, x: a + x), 4).alias("s"), F.size(pad).alias("n_pad"), F.size(V.resample_view(F.col("v"), 100)).alias("n_res"))
 
 
-@query("WITH m AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE) + 2) v FROM embeddings), k AS (SELECT vec_id, v, list_aggregate(v, 'median') md FROM m) SELECT vec_id, round(list_sum(list_transform(v, x -> x/md - 1)), 4) s, round(list_aggregate(list_transform(v, x -> x/md - 1), 'median'), 6) med FROM k")
+@query("WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 2) v FROM embeddings), k AS (SELECT vec_id, v, list_aggregate(v, 'median') md FROM m) SELECT vec_id, round(list_sum(list_transform(v, lambda x: x/md - 1)), 4) s, round(list_aggregate(list_transform(v, lambda x: x/md - 1), 'median'), 6) med FROM k")
 def normalize_view(spark: SparkSession, sf: str) -> DataFrame:
     e = A.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 2).alias("v"))
     out = e.select("vec_id", V.normalize_view(F.col("v")).alias("v"))
@@ -258,9 +258,9 @@ def identifiers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"WITH {EV} SELECT tic_id, CASE WHEN prob_planet >= 0.85 THEN printf('CANDIDATE (%.2f)', prob_planet) ELSE 'CLEARED' END status, prob_planet >= 0.85 is_candidate, CASE WHEN bls_power < 0.001 THEN 'NO_SIGNAL' END gate, coalesce(centroid_offset, 0.0) centroid, centroid_offset IS NULL missing, substr(replace(replace(coalesce(discovery_status,'x') || ',a', ',', ';'), chr(10), ' '), 1, 200) err FROM evidence")
+@query(f"WITH {EV} SELECT tic_id, CASE WHEN prob_planet >= 0.85 THEN printf('CANDIDATE (%.2f)', floor(prob_planet*100)/100) ELSE 'CLEARED' END status, prob_planet >= 0.85 is_candidate, CASE WHEN bls_power < 0.001 THEN 'NO_SIGNAL' END gate, coalesce(centroid_offset, 0.0) centroid, centroid_offset IS NULL missing, substr(replace(replace(coalesce(discovery_status,'x') || ',a', ',', ';'), chr(10), ' '), 1, 200) err FROM evidence")
 def gates(spark: SparkSession, sf: str) -> DataFrame:
-    status = S.assign_status(F.col("prob_planet"), 0.85)
+    status = S.assign_status(F.when(F.col("prob_planet") >= 0.85, F.floor(F.col("prob_planet") * 100) / 100), 0.85)
     return A.evidence(spark, sf).select(
         "tic_id", status.alias("status"), S.is_candidate(status).alias("is_candidate"), S.power_status(F.col("bls_power"), 0.001).alias("gate"),
         S.centroid_or_zero(F.col("centroid_offset")).alias("centroid"), S.is_missing(F.col("centroid_offset")).alias("missing"),
@@ -277,7 +277,7 @@ def series_summary(spark: SparkSession, sf: str) -> DataFrame:
 _SCORE_SQL = "SELECT e.*, CASE WHEN profile IN ('balanced','ultra_short_period','single_transit_long_period','low_snr_m_dwarf') THEN profile ELSE 'balanced' END p FROM evidence e"
 _SCORED = (
     f"{EV}, w(p, a, b, c, d, lo, hi) AS (VALUES ('balanced',0.5,0.25,0.15,0.10,1.0,15.0),('ultra_short_period',0.45,0.30,0.15,0.10,0.2,1.0),('single_transit_long_period',0.40,0.20,0.20,0.20,10.0,100.0),('low_snr_m_dwarf',0.40,0.25,0.20,0.15,0.5,20.0)), "
-    f"sc AS (SELECT x.*, lo, hi, round(least(1.0, CAST(a AS DOUBLE)*least(1.0,greatest(0.0,prob_planet)) + CAST(b AS DOUBLE)*least(1.0,bls_power/0.01) + CAST(c AS DOUBLE)*coalesce(greatest(0.0,1-centroid_offset/5),0.5) + CAST(d AS DOUBLE)*CASE profile WHEN 'ultra_short_period' THEN CASE WHEN bls_power>0.003 THEN 0.8 ELSE 0.3 END WHEN 'single_transit_long_period' THEN 0.9 WHEN 'low_snr_m_dwarf' THEN CASE WHEN prob_planet>0.6 THEN 0.7 ELSE 0.3 END ELSE 0.5 END),4) score FROM ({_SCORE_SQL}) x JOIN w USING (p))"
+    f"sc AS (SELECT x.*, lo, hi, round(least(1.0, CAST(a AS DOUBLE)*least(1.0,greatest(0.0,prob_planet)) + CAST(b AS DOUBLE)*least(1.0,bls_power/0.01) + CAST(c AS DOUBLE)*CASE WHEN centroid_offset IS NULL THEN 0.5 ELSE greatest(0.0,1-centroid_offset/5) END + CAST(d AS DOUBLE)*CASE profile WHEN 'ultra_short_period' THEN CASE WHEN bls_power>0.003 THEN 0.8 ELSE 0.3 END WHEN 'single_transit_long_period' THEN 0.9 WHEN 'low_snr_m_dwarf' THEN CASE WHEN prob_planet>0.6 THEN 0.7 ELSE 0.3 END ELSE 0.5 END),4) score FROM ({_SCORE_SQL}) x JOIN w USING (p))"
 )
 
 
