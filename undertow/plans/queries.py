@@ -281,9 +281,9 @@ _SCORED = (
 )
 
 
-@query(f"WITH {_SCORED} SELECT tic_id, profile, round(score,3) score FROM sc")
+@query(f"WITH {_SCORED} SELECT tic_id, profile, score FROM sc")
 def candidate_score(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.score_candidates(A.evidence(spark, sf)).select("tic_id", "profile", F.round("score", 3).alias("score"))
+    return catalog.score_candidates(A.evidence(spark, sf)).select("tic_id", "profile", "score")
 
 
 @query(f"WITH {_SCORED} SELECT tic_id, profile, CAST(lo AS DOUBLE) period_min, CASE WHEN CAST(tic_id AS BIGINT) % 2 = 0 THEN 9.5 ELSE CAST(hi AS DOUBLE) END period_max FROM sc")
