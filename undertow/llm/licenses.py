@@ -66,12 +66,12 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", c
     repeated with one key and text get equal results; null keys are matched as values.
     """
     spark = docs.sparkSession
-    counted = docs.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), words_column(text).alias("_w"))
+    counted = docs.select(F.col(key).alias("_own"), F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), words_column(text).alias("_w"))
     vocab = F.array(*map(F.lit, VOCAB))
     found = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("pos"), w.alias("token"))), lambda s: s["token"].isin(VOCAB))
     rows = written(
         counted.select(
-            "_key", "_h", F.size("_w").cast("long").alias("n_words"),
+            "_own", "_key", "_h", F.size("_w").cast("long").alias("n_words"),
             F.when(F.size(F.array_intersect("_w", vocab)) >= 2, found).alias("occ"),
         ),
         "licence-words",
@@ -84,7 +84,7 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", c
     occ = written(occ, "licence-occ")
     n_docs = rows.count()
     idf = F.broadcast(  # one row a licence word
-        occ.groupBy("token").agg(F.countDistinct(*ids).alias("df")).select("token", F.log(F.lit(n_docs + 1.0) / F.col("df")).alias("idf"))
+        occ.groupBy("token").agg(F.countDistinct(F.struct(*ids)).alias("df")).select("token", F.log(F.lit(n_docs + 1.0) / F.col("df")).alias("idf"))
     )
     index = F.broadcast(_index(spark))
     by_doc = Window.partitionBy(*ids).orderBy(F.desc("idf"), "token")
@@ -114,10 +114,8 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", c
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.max(share).alias("score"),
     )
-    left, right = rows.drop("occ").alias("l"), per_doc.alias("r")
-    joined = left.join(right, F.col("l._h").eqNullSafe(F.col("r._h")) & F.col("l._key").eqNullSafe(F.col("r._key")), "left")
-    return joined.select(
-        F.col("l._key").alias(key), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+    return rows.drop("occ").join(per_doc, ids, "left").select(
+        F.col("_own").alias(key), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
