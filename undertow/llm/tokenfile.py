@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from undertow.llm.common import texts_in, work_dir, written
 
 GAMMA = 2.0  # bits of a level for each key that enters it
-CACHE = 200_000  # words whose ids are kept
+CACHE = 250_000  # words whose ids are kept, in each of two generations
+_AFTER = re.compile(rb"([a-zA-Z])([.,!?;:]+)(?=[ \n]|\Z)")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -149,17 +151,29 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.kept = Tokenizer.from_file(path), "<u2" if width == 2 else "<u4", {}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        kept = self.kept
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in kept})
-        if len(kept) + len(new) > CACHE:
-            kept.clear()
-            new = list({w for ws in words for w in ws})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        """Words are kept without case and apart from the punctuation after them: the tokenizer's own rules
+        lower-case every text and part letters from punctuation. Texts that might spell a special token
+        keep their case. The words of the last two generations of the store stay in memory."""
+        words = []
+        for t in texts:
+            raw = t.encode()
+            raw = raw if b"<|" in raw else raw.lower()
+            words.append(_AFTER.sub(rb"\1 \2", raw).replace(b"\n", b" ").split(b" "))
+        kept, old = self.kept, self.old
+        new = {w for ws in words for w in ws if w not in kept}
+        for w in [w for w in new if w in old]:
+            kept[w] = old[w]
+            new.discard(w)
+        fresh = list(new)
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
             kept[w] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(kept.__getitem__, ws)) for ws in words]
+        out = [b"".join(map(kept.__getitem__, ws)) for ws in words]
+        if len(kept) > CACHE:
+            self.kept, self.old = {}, kept
+        return out
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int, vocab: int, key: str = "doc_id", text: str = "text") -> DataFrame:
