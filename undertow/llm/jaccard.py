@@ -285,6 +285,11 @@ def jaccard_components(
     sets = written(_sets(docs, key, text, points, shingle), "jaccard-text-sets")
     linked = written(_verified(tried, sets, numer, denom), "jaccard-links")
     roots = components(linked)
+    # A second round with each block's last set, for what has not joined the component of it: fewer are left to search.
+    again = written(_second_stars(shared, roots).join(tried, ["a", "b"], "left_anti"), "jaccard-stars")
+    linked = written(linked.unionByName(_verified(again, sets, numer, denom)), "jaccard-links")
+    tried = tried.unionByName(again)
+    roots = components(linked)
 
     known = points.join(roots, "node", "left").select("node", "n", "point", F.coalesce("root", "node").alias("root"))
     placed = written(shared.join(known.select("node", "root"), "node").select("block", "node", "root"), "jaccard-placed")
@@ -317,6 +322,13 @@ def jaccard_components(
     )
 
 
+def _second_stars(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    placed = shared.join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("root"))
+    last = placed.groupBy("block").agg(F.max("node").alias("last"), F.max_by("root", "node").alias("last_root"), F.min("root").alias("x"), F.max("root").alias("y"))
+    pairs = placed.join(last.where("x <> y"), "block").where("root <> last_root")
+    return pairs.select(F.least("node", "last").alias("a"), F.greatest("node", "last").alias("b")).distinct()
+
+
 def _sets(docs: DataFrame, key: str, text: str, points: DataFrame, shingle: int) -> DataFrame:
     """The sets of the nodes that share a block, each from one document."""
     wanted = points.where("key is not null").select(F.col("key").alias("_key"), "node")
