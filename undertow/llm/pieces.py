@@ -10,7 +10,9 @@ words one after the other, and frequent words are segmented once.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from undertow.llm.common import texts_in
 SPACE = "▁"
 UNKNOWN = 10.0  # below the lowest score, for each character without a piece
 NEVER_MERGED = -1e8  # models of merges mark pieces of spaces alone so; they count as just below the lowest score
-CACHE = 300_000  # words whose segmentation is kept
+CACHE = 150_000  # words whose segmentation is kept, in each of two generations
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
 
@@ -58,22 +60,24 @@ class Pieces:
         self.automaton.make_automaton()
         self.unknown = lowest - UNKNOWN
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.table = [self.bytes_of.get(i, b"") for i in range(len(self.names))]
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best path over ``text``, in which spaces are space marks already and "\\0" stands for a
         literal space mark. Of equal scores, the path with the longer last piece."""
-        n = len(text)
-        best = [0.0] + [None] * n
-        back: list[tuple[int, int] | None] = [None] * (n + 1)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, out in self.automaton.iter(text):
-            ends[end].append(out)
-        for end in range(n):
-            top, at = best[end] + self.unknown, (end, -1)
-            for i, length, score in ends[end]:  # longest first, as output links go
-                if (total := best[end + 1 - length] + score) > top:
-                    top, at = total, (end + 1 - length, i)
-            best[end + 1], back[end + 1] = top, at
+        n, unknown = len(text), self.unknown
+        best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
+        seen = 0  # positions up to here have their value without pieces
+        for end, (i, length, score) in self.automaton.iter(text):  # longest first, as output links go
+            while seen <= end:
+                best[seen + 1], back[seen + 1] = best[seen] + unknown, (seen, -1)
+                seen += 1
+            start = end + 1 - length
+            if (total := best[start] + score) > best[end + 1]:
+                best[end + 1], back[end + 1] = total, (start, i)
+        for at in range(seen, n):
+            best[at + 1], back[at + 1] = best[at] + unknown, (at, -1)
         ids: list[int] = []
         at = n
         while at:
@@ -112,26 +116,32 @@ class Pieces:
             for k, found in enumerate(out):
                 if found is None:
                     word = words[k]
-                    if (found := kept.get(word)) is None:
-                        found = np.array(self.viterbi(word), "<i4").tobytes()
-                        if len(kept) >= CACHE:
-                            kept.clear()
-                        if len(word) <= 64:
-                            kept[word] = found
+                    if (found := kept.get(word) or self.old.get(word)) is None:
+                        found = array("i", self.viterbi(word)).tobytes()
+                    if len(word) <= 64:
+                        kept[word] = found
                     out[k] = found
+            if len(kept) > CACHE:
+                self.kept, self.old = {}, kept
         return b"".join(out)
 
     def decode(self, ids) -> str:
         """The text of ids: pieces with spaces for space marks, bytes of byte pieces, without the first space."""
-        raw = b"".join([self.bytes_of.get(i, b"") for i in ids])
+        raw = b"".join(map(self.table.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def _model(name: str) -> Pieces:
-    with open(SparkFiles.get(name), "rb") as f:
+@lru_cache(maxsize=1)
+def _pieces(path: str) -> Pieces:
+    with open(path, "rb") as f:
         return Pieces(f.read())
 
 
+def _model(name: str) -> Pieces:
+    """Python workers serve many tasks: what one has learnt about words serves the next."""
+    return _pieces(SparkFiles.get(name))
+
+
 def _shared(df: DataFrame, path: str) -> str:
     df.sparkSession.sparkContext.addFile(path)
     return path.rpartition("/")[2]
