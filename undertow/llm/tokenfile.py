@@ -13,7 +13,9 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from undertow.llm.common import texts_in, work_dir, written
 
 GAMMA = 2.0  # bits of a level for each key that enters it
-CACHE = 250_000  # words whose ids are kept, in each of two generations
+CACHE = 400_000  # words whose ids are kept, in each of two generations
 _AFTER = re.compile(rb"([a-zA-Z])([.,!?;:]+)(?=[ \n]|\Z)")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -150,7 +152,7 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.kept = Tokenizer.from_file(path), "<u2" if width == 2 else "<u4", {}
+        self.tokenizer, self.code, self.kept = Tokenizer.from_file(path), "H" if width == 2 else "I", {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -169,13 +171,19 @@ class WordTokens:
             new.discard(w)
         fresh = list(new)
         for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            kept[w] = np.array(e.ids, self.kind).tobytes()
+            kept[w] = array(self.code, e.ids).tobytes()
         out = [b"".join(map(kept.__getitem__, ws)) for ws in words]
         if len(kept) > CACHE:
             self.kept, self.old = {}, kept
         return out
 
 
+@lru_cache(maxsize=1)
+def _word_tokens(path: str, width: int) -> WordTokens:
+    """Python workers serve many tasks: what one has learnt about words serves the next."""
+    return WordTokens(path, width)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int, vocab: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``docs`` as shard files in ``folder``, in ascending order of the key over all shards.
 
@@ -194,7 +202,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(SparkFiles.get(name), width)
+        words = _word_tokens(SparkFiles.get(name), width)
         keys, counts, ids = [], [], []
         for batch in texts_in(batches, 256):
             keys += batch.column("key").to_pylist()
