@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+EXACT = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exactdedup": EXACT}
