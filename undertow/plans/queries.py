@@ -25,7 +25,7 @@ CAD = (
     "(epoch_us(ts) - 1704067200000000) / 86400e6 t, value flux FROM events)"
 )
 EV = (
-    "evidence AS (SELECT CAST(c_custkey AS VARCHAR) tic_id, (c_custkey*37%1000)/100.0+0.5 best_period, (c_custkey*7919%1000)/1000.0 prob_planet, "
+    "evidence AS (SELECT CAST(c_custkey AS VARCHAR) tic_id, (c_custkey*37%1000)/100.0+0.5 best_period, (c_custkey*7919%1000)/1000.0+CAST(0.000003 AS DOUBLE) prob_planet, "
     "(c_custkey*31%200)/10000.0 bls_power, CASE WHEN c_custkey%7<>0 THEN (c_custkey*13%80)/10.0 END centroid_offset, "
     "CASE c_custkey%3 WHEN 0 THEN 'KNOWN' WHEN 1 THEN 'NEW_CANDIDATE' END discovery_status, "
     "['balanced','ultra_short_period','single_transit_long_period','low_snr_m_dwarf','other'][c_custkey%5+1] profile FROM customer)"

@@ -32,7 +32,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     profile = F.element_at(F.array(*map(F.lit, ["balanced", "ultra_short_period", "single_transit_long_period", "low_snr_m_dwarf", "other"])), (k % 5 + 1).cast("int"))
     return c.select(
-        k.cast("string").alias("tic_id"), ((k * 37 % 1000) / 100.0 + 0.5).alias("best_period"), ((k * 7919 % 1000) / 1000.0).alias("prob_planet"),
+        k.cast("string").alias("tic_id"), ((k * 37 % 1000) / 100.0 + 0.5).alias("best_period"), ((k * 7919 % 1000) / 1000.0 + 0.000003).alias("prob_planet"),
         ((k * 31 % 200) / 10000.0).alias("bls_power"), F.when(k % 7 != 0, (k * 13 % 80) / 10.0).alias("centroid_offset"),
         F.when(k % 3 == 0, "KNOWN").when(k % 3 == 1, "NEW_CANDIDATE").alias("discovery_status"), profile.alias("profile"),
     )
