@@ -149,6 +149,17 @@ def test_toxicity(spark):
     assert all(r[i].predicted == int(i % 4 == 0) for i in range(400)) and 0 <= r[900].score <= 1
 
 
+def test_toxicity_settings_over_folds(spark):
+    texts = [(i, f"vile rotten word{i}" if i % 4 == 0 else f"plain kind word{i}") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    tried = toxicity.cross_validate(docs, labels, [toxicity.Settings(), toxicity.Settings(l1=1000.0)]).collect()
+    fits, stiff = sorted(tried, key=lambda r: r.l1)
+    assert (fits.rows, stiff.rows) == (200, 200)
+    assert (fits.precision, fits.recall) == (1.0, 1.0)
+    assert fits.log_loss < stiff.log_loss
+
+
 def test_wrapper(spark):
     page = "<html><head><title>t</title></head><body><nav><a>Menu</a></nav><div>Always here</div>{}<footer>f</footer></body></html>"
     rows = [(i, "http://h/x", page.format(f"<div><p>Story {i} &amp; <b>mo{i}</b>re{i}<p>end{i}</div>")) for i in range(12)]
