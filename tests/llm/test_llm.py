@@ -93,6 +93,15 @@ def test_licenses(spark):
     assert (r[2].n_words, r[2].labels, r[4].base_labels, r[None].labels) == (0, "", "gpl", "apache")
 
 
+def test_licenses_of_several_texts_in_one_file(spark):
+    full = {label: text for label, _, text in licenses.TEMPLATES}
+    files = [full["mit"], full["bsd"]], [full[x] for x in ("mit", "bsd", "gpl", "mpl")]
+    rows = [(i, " some words between ".join(f)) for i, f in enumerate(files)] + [(i, full["mit"]) for i in range(10, 20)]
+    r = by_id(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [r[i].labels for i in (0, 1, 10)] == ["bsd,mit", "bsd,gpl,mit,mpl", "mit"]
+    assert r[0].score == r[1].score == 1.0
+
+
 def test_pieces_round_trip_and_best_path():
     p = pieces.Pieces(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
     for t in ["", " a  b ", "\0x\0", "▁ é①\n\t", "Hello, world", " " * 20, "z" * 3000]:

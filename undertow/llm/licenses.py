@@ -1,8 +1,9 @@
 """License scans with a positional index of rare licence words, in DataFrame operations only.
 
-Templates' words and their positions form the index. Each file's highest-IDF licence words are looked
-up in it; postings that agree on ``position in file - position in template`` propose an alignment, and
-an alignment stands if enough of the template's words are in place and its key phrase is there in full.
+Templates' words and their positions form the index. Each template is looked up by its own highest-IDF
+words, so many that an alignment with enough words in place must have two of them; postings that agree on
+``position in file - position in template`` propose an alignment, and an alignment stands if enough of the
+template's words are in place and its key phrase is there in full. Other texts in a file take no lookups away.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ TEMPLATES = [
 #: Words too common in prose to index.
 STOP = set("a an and any are as at be by can for free from in is it of on or that the this to under use with you are met without following 2 0".split())
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Different rarest words of a file that look up the index, and the least share of a template's indexed words in place.
-LOOKUPS, COVERAGE = 8, 0.7
+#: The least share of a template's indexed words in place.
+COVERAGE = 0.7
 
 
 def _index(spark: SparkSession) -> DataFrame:
@@ -86,18 +87,21 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", c
     idf = F.broadcast(  # one row a licence word
         occ.groupBy("token").agg(F.countDistinct(F.struct(*ids)).alias("df")).select("token", F.log(F.lit(n_docs + 1.0) / F.col("df")).alias("idf"))
     )
-    index = F.broadcast(_index(spark))
-    by_doc = Window.partitionBy(*ids).orderBy(F.desc("idf"), "token")
-    ranked = occ.join(idf, "token").withColumn("rank", F.dense_rank().over(by_doc))
+    # An alignment that stands lacks at most size - need of its template's words: any size - need + 2 of them hold two in place.
+    index, need = _index(spark), F.ceil(F.col("size") * coverage)
+    by_tpl = Window.partitionBy("tpl").orderBy(F.desc_nulls_first("idf"), "token", "tpos")
+    rare = index.where("tpl like 'text:%'").join(idf, "token", "left").withColumn("rank", F.row_number().over(by_tpl))
+    rare = F.broadcast(rare.where(F.col("rank") <= F.col("size") - need + 2).drop("idf", "rank"))
+    index = F.broadcast(index)
     rel = (F.col("pos") - F.col("tpos")).alias("at")
 
     def aligned(postings: DataFrame) -> DataFrame:
         return postings.groupBy(*ids, "tpl", "label", "base", "size", "at").agg(F.count("*").alias("hit"))
 
-    # A phrase of a file may not be among its rarest words; base phrases and keys are aligned on all licence words.
-    looked = aligned(ranked.where(F.col("rank") <= LOOKUPS).join(index, "token").where("tpl like 'text:%'").select("*", rel))
+    # Base phrases and keys are aligned on all licence words.
+    looked = aligned(occ.join(rare, "token").select("*", rel))
     full = aligned(occ.join(index, "token").where("tpl not like 'text:%'").select("*", rel)).where("hit = size")
-    proposals = looked.where("hit >= 2").select(*ids, "tpl", "at").distinct()
+    proposals = looked.where(F.col("hit") >= F.least(need, F.lit(2))).select(*ids, "tpl", "at").distinct()
     verified = (
         aligned(occ.join(index, "token").where("tpl like 'text:%'").select("*", rel).join(proposals, [*ids, "tpl", "at"], "left_semi"))
         .where(F.col("hit") >= F.col("size") * coverage)
