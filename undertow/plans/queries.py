@@ -445,7 +445,8 @@ def log_loss_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- composites
 def _cfg() -> pipelines.Config:
-    return pipelines.Config(low=LOW, high=HIGH, coarse=60, refine=40, half=_M, bls_threshold=1e-6)
+    """The operator's own grids and gates; only the period range is the table's."""
+    return pipelines.Config(low=LOW, high=HIGH)
 
 
 @query()
@@ -460,9 +461,8 @@ def scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = pipelines.Config(low=LOW, high=HIGH, coarse=60, refine=40, half=2, least=10, bls_threshold=1e-6)
     known = A.table(spark, sf, "orders").select(F.col("o_custkey").cast("string"))
-    return pipelines.sector_summary(pipelines.sweep(A.cadence(spark, sf), known, cfg))
+    return pipelines.sector_summary(pipelines.sweep(A.cadence(spark, sf), known, _cfg()))
 
 
 @query()
