@@ -150,6 +150,22 @@ def test_languages(spark):
     assert langid.report(docs.where("false")).count() == 0
 
 
+def test_languages_of_a_family_are_told_pair_by_pair():
+    rng = np.random.default_rng(3)
+    place = {"en": -1.0, "de": 0.0, "nl": 1.0}  # in a line: the middle one is between the others
+    rows = []
+    for lang, at in place.items():
+        for _ in range(60):
+            v = np.zeros(langid.DIM, np.float32)
+            v[:2] = at + rng.normal(0, 0.1), 0.2
+            rows.append((v, lang))
+    model = langid.train(rows)
+    x, y = np.stack([np.append(v, np.float32(1)) for v, _ in rows]), [lang for _, lang in rows]
+    assert model.families == [[0, 1, 2]] and model.within[0].shape == (3, langid.DIM + 1)
+    assert [model.langs[langid.vote(model.within[0] @ v, 3)[0]] for v in x] == y
+    assert langid.vote(np.array([0.2, -0.5, 0.1]), 3)[0] == 2  # one vote each: by the sums
+
+
 def test_toxicity(spark):
     rows = [(i, f"word{i} some text here " + ("you idiot" if i % 4 == 0 else "my friend")) for i in range(400)]
     docs = spark.createDataFrame([*rows, (900, None)], "doc_id long, text string")

@@ -1,8 +1,8 @@
 """Language identification in two steps: the family first, then the language within it.
 
-Both steps are one-versus-rest linear support vector machines over hashed byte 2-grams and 3-grams
-of the lower-cased text. Only the machines within the chosen family see a text, so that they are
-trained to tell close relatives apart and nothing else.
+Both steps are linear support vector machines over hashed byte 2-grams and 3-grams of the lower-cased
+text: one-versus-rest for the family, one-versus-one within it. There each pair of languages has a machine
+trained on those two alone; the language of most votes wins, of equal ones that of the largest sum of margins.
 """
 
 from __future__ import annotations
@@ -75,7 +75,24 @@ def svm(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 150, reg: float
     return w.T.astype(np.float32)
 
 
+def pairs(n: int) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(n) for b in range(a + 1, n)]
+
+
+def vote(margins: np.ndarray, n: int) -> tuple[int, np.ndarray]:
+    """The winner of n languages and each one's mean margin; ``margins`` are those of ``pairs``, for the first over the second."""
+    votes, sums = np.zeros(n), np.zeros(n)
+    for (a, b), m in zip(pairs(n), margins, strict=True):
+        votes[a if m >= 0 else b] += 1
+        sums[a] += m
+        sums[b] -= m
+    best = np.flatnonzero(votes == votes.max())
+    return int(best[sums[best].argmax()]), sums / max(1, n - 1)
+
+
 class Model:
+    """``within`` has for each family the machines of its pairs of languages."""
+
     def __init__(self, langs: list[str], families: list[list[int]], top: np.ndarray, within: list[np.ndarray]) -> None:
         self.langs, self.families, self.top, self.within = langs, families, top, within
 
@@ -90,8 +107,8 @@ class Model:
         x = np.append(features(text), np.float32(1))
         family = self._shares(self.top @ x)
         f = int(family.argmax())
-        own = self._shares(self.within[f] @ x)
-        k = int(own.argmax())
+        k, means = vote(self.within[f] @ x, len(self.families[f]))
+        own = self._shares(means)
         return self.langs[self.families[f][k]], float(family[f] * own[k])
 
 
@@ -106,8 +123,11 @@ def train(rows: list[tuple[np.ndarray, str]]) -> Model:
     family = np.array([next(f for f, own in enumerate(families) if i in own) for i in range(len(langs))])[y]
     within = []
     for own in families:
-        mine = np.isin(y, own)
-        within.append(svm(x[mine], np.searchsorted(own, y[mine]), len(own)))
+        machines = np.zeros((len(pairs(len(own))), DIM + 1), np.float32)
+        for i, (a, b) in enumerate(pairs(len(own))):
+            mine = np.isin(y, (own[a], own[b]))
+            machines[i] = svm(x[mine], (y[mine] == own[b]).astype(np.int64), 2)[0]
+        within.append(machines)
     return Model(langs, families, svm(x, family, len(families)), within)
 
 
