@@ -21,6 +21,8 @@ from undertow.llm.common import texts_in, written
 DIM = 4096
 #: Training rows: at most about this many in all, dealt evenly to at most MAX_LANGS languages (the most frequent).
 TRAIN_ROWS, PER_LANG, MAX_LANGS = 6000, 1200, 100
+#: Share of labelled rows that the margin of a clear language may lose, and the bounds of that margin: under 0 all machines say no.
+CLEAR_LOST, CLEAR_LEAST, CLEAR_MOST = 0.001, 0.0, 0.5
 #: Families of ISO 639-1 codes. A language that isn't here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -91,31 +93,43 @@ def vote(margins: np.ndarray, n: int) -> tuple[int, np.ndarray]:
 
 
 class Model:
-    """``within`` has for each family the machines of its pairs of languages."""
+    """``within`` has for each family the machines of its pairs of languages; ``rest`` has one machine a language
+    against all others. Those tell how clear a text is: below ``limit`` its best margin is no known language's."""
 
-    def __init__(self, langs: list[str], families: list[list[int]], top: np.ndarray, within: list[np.ndarray]) -> None:
-        self.langs, self.families, self.top, self.within = langs, families, top, within
+    def __init__(self, langs: list[str], families: list[list[int]], top: np.ndarray, within: list[np.ndarray], rest: np.ndarray, limit: float) -> None:
+        self.langs, self.families, self.top, self.within, self.rest, self.limit = langs, families, top, within, rest, limit
 
     @staticmethod
     def _shares(margins: np.ndarray) -> np.ndarray:
         e = np.exp(4.0 * (margins - margins.max()))
         return e / e.sum()
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score and best margin of one language against the rest."""
         if not text or not self.langs or not _LETTER.search(text):
-            return "und", 0.0
+            return "und", 0.0, float("-inf")
         x = np.append(features(text), np.float32(1))
         family = self._shares(self.top @ x)
         f = int(family.argmax())
         k, means = vote(self.within[f] @ x, len(self.families[f]))
         own = self._shares(means)
-        return self.langs[self.families[f][k]], float(family[f] * own[k])
+        return self.langs[self.families[f][k]], float(family[f] * own[k]), float((self.rest @ x).max())
+
+
+def clear_limit(x: np.ndarray, y: np.ndarray, classes: int) -> float:
+    """The margin over which all but CLEAR_LOST of the labelled rows lie, each told by machines of the other fold; see CLEAR_LEAST."""
+    fold = np.arange(len(y)) % 2
+    own = [np.zeros(0, np.float32)]
+    for f in (0, 1):
+        w = svm(x[fold != f], y[fold != f], classes)
+        own.append((x[fold == f] * w[y[fold == f], :-1]).sum(axis=1) + w[y[fold == f], -1])
+    return float(np.clip(np.quantile(np.concatenate(own), CLEAR_LOST), CLEAR_LEAST, CLEAR_MOST))
 
 
 def train(rows: list[tuple[np.ndarray, str]]) -> Model:
     langs = sorted({lang for _, lang in rows})
     if not langs:
-        return Model([], [], np.zeros((0, DIM + 1), np.float32), [])
+        return Model([], [], np.zeros((0, DIM + 1), np.float32), [], np.zeros((0, DIM + 1), np.float32), 0.0)
     names = sorted({FAMILY_OF.get(lang, lang) for lang in langs})
     families = [[i for i, lang in enumerate(langs) if FAMILY_OF.get(lang, lang) == name] for name in names]
     x = np.stack([v for v, _ in rows])
@@ -128,7 +142,7 @@ def train(rows: list[tuple[np.ndarray, str]]) -> Model:
             mine = np.isin(y, (own[a], own[b]))
             machines[i] = svm(x[mine], (y[mine] == own[b]).astype(np.int64), 2)[0]
         within.append(machines)
-    return Model(langs, families, svm(x, family, len(families)), within)
+    return Model(langs, families, svm(x, family, len(families)), within, svm(x, y, len(langs)), clear_limit(x, y, len(langs)))
 
 
 def fit_languages(labelled: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
@@ -162,22 +176,23 @@ def fit_languages(labelled: DataFrame, *, text: str = "text", label: str = "lang
     return pickle.loads(fitted[0][0]) if fitted else train([])
 
 
-def predict_languages(docs: DataFrame, model: Model, *, text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score``. Null texts and texts without a letter are ``und`` with score 0.
+def predict_languages(docs: DataFrame, model: Model, *, text: str = "text", columns: list[str] | None = None, margin: bool = False) -> DataFrame:
+    """``docs`` plus ``lang_pred`` and ``score``, and ``margin`` if asked for. Null texts and texts without a letter are ``und`` with score 0.
 
     Without training rows all are. Repeated rows get equal results; ``columns`` names those of ``docs``
     to return (all by default), columns named as the new ones are replaced.
     """
-    keep = [c for c in (columns or docs.columns) if c not in ("lang_pred", "score")]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    new = ["lang_pred", "score", "margin"][: 3 if margin else 2]
+    keep = [c for c in (columns or docs.columns) if c not in new]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.StringType() if c == "lang_pred" else T.DoubleType()) for c in new)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts_in(batches):
             told = [shared.value.predict(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array([x for x, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())],
-                names=[*keep, "lang_pred", "score"],
+                [*(batch.column(c) for c in keep), *(pa.array([t[i] for t in told], pa.float64() if i else pa.string()) for i in range(len(new)))],
+                names=[*keep, *new],
             )
 
     return docs.mapInArrow(run, schema)
