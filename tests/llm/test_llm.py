@@ -191,3 +191,15 @@ def test_wrapper(spark):
     rows += [(20, "http://k/", page.format("<article><h1>T</h1><p>x\n y<br>z</p><div class='comments'>no</div><script>var a='</p>'</script></article>")), (21, None, None), (22, "", "")]
     r = by_id(wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
     assert r[3].text == "Story 3 & mo3re3 end3" and r[20].text == "T x y z" and (r[21].text, r[22].n_chars) == ("", 0)
+
+
+def test_wrapper_copies_and_split_articles(spark):
+    page = "<html><body><nav>Menu</nav><div>Always here</div>{}<footer>f</footer></body></html>"
+    rows = [(i, "http://copies/x", page.format("<div><p>One story</p><p>its end</p></div>")) for i in range(12)]
+    rows += [(20 + i, "http://few/x", page.format(f"<div><p>Story {i}</p></div>")) for i in range(5)]
+    split = "<article><p>First part</p></article><div class='ad'><article>Buy</article></div><article><p>A second and longer part</p></article>"
+    rows += [(30, "http://split/x", page.format(split)), (31, "http://parts/x", page.format("<div itemprop='articleBody'>One</div><aside>no</aside><div itemprop='articleBody'>Two two</div>"))]
+    r = by_id(wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all(r[i].text == "Always here One story its end" for i in range(12))
+    assert [r[20 + i].text for i in range(5)] == [f"Story {i}" for i in range(5)]
+    assert (r[30].text, r[31].text) == ("First part A second and longer part", "One Two two")
