@@ -166,6 +166,13 @@ def test_languages_of_a_family_are_told_pair_by_pair():
     assert langid.vote(np.array([0.2, -0.5, 0.1]), 3)[0] == 2  # one vote each: by the sums
 
 
+def test_every_language_is_learnt(spark):
+    langs = [f"x{i:03d}" for i in range(120)]
+    rows = [(len(langs) * k + i, " ".join(chr(0x4E00 + 40 * i + (k + j) % 40) * 2 for j in range(8)), lang) for i, lang in enumerate(langs) for k in range(3)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == langs
+
+
 def test_toxicity(spark):
     rows = [(i, f"word{i} some text here " + ("you idiot" if i % 4 == 0 else "my friend")) for i in range(400)]
     docs = spark.createDataFrame([*rows, (900, None)], "doc_id long, text string")

@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from undertow.llm.common import texts_in, written
 
 DIM = 4096
-#: Training rows: at most about this many in all, dealt evenly to at most MAX_LANGS languages (the most frequent).
-TRAIN_ROWS, PER_LANG, MAX_LANGS = 6000, 1200, 100
+#: Training rows: about TRAIN_ROWS in all, dealt evenly to all languages, at most PER_LANG and at least LEAST_LANG each
+#: (fewer only if a language has no more), so that beyond TRAIN_ROWS / LEAST_LANG languages the sample grows with their number.
+TRAIN_ROWS, PER_LANG, LEAST_LANG = 6000, 1200, 50
 #: Share of labelled rows that the margin of a clear language may lose, and the bounds of that margin: under 0 all machines say no.
 CLEAR_LOST, CLEAR_LEAST, CLEAR_MOST = 0.001, 0.0, 0.5
 #: Families of ISO 639-1 codes. A language that isn't here is a family of its own.
@@ -151,12 +152,12 @@ def fit_languages(labelled: DataFrame, *, text: str = "text", label: str = "lang
     The sample's feature vectors (whole texts) meet in one task; the weights come to the driver.
     """
     labelled = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    top = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGS).collect()
-    if not top:
+    counts = written(labelled.groupBy(label).agg(F.count("*").alias("_n")), "langid-counts")  # one row a language
+    if not (n_langs := counts.count()):
         return train([])
-    each = min(PER_LANG, TRAIN_ROWS // len(top))
-    share = F.create_map(*(x for r in top for x in (F.lit(r[0]), F.lit(min(1.0, each / r[1]))))) [F.col(label)]
-    chosen = labelled.where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1_000_000)) < share * 1_000_000).select(text, label, F.xxhash64(key).alias("_order"))
+    each = max(LEAST_LANG, min(PER_LANG, TRAIN_ROWS // n_langs))
+    share = F.least(F.lit(1.0), F.lit(each) / F.col("_n"))
+    chosen = labelled.join(F.broadcast(counts), label).where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1_000_000)) < share * 1_000_000).select(text, label, F.xxhash64(key).alias("_order"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts_in(batches, 256):
