@@ -127,7 +127,8 @@ def clear_limit(x: np.ndarray, y: np.ndarray, classes: int) -> float:
     return float(np.clip(np.quantile(np.concatenate(own), CLEAR_LOST), CLEAR_LEAST, CLEAR_MOST))
 
 
-def train(rows: list[tuple[np.ndarray, str]]) -> Model:
+def train(rows: list[tuple[np.ndarray, str]], clear: bool = False) -> Model:
+    """With ``clear`` also the machines and the limit that tell how clear a text is; they take as long again."""
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Model([], [], np.zeros((0, DIM + 1), np.float32), [], np.zeros((0, DIM + 1), np.float32), 0.0)
@@ -143,10 +144,11 @@ def train(rows: list[tuple[np.ndarray, str]]) -> Model:
             mine = np.isin(y, (own[a], own[b]))
             machines[i] = svm(x[mine], (y[mine] == own[b]).astype(np.int64), 2)[0]
         within.append(machines)
-    return Model(langs, families, svm(x, family, len(families)), within, svm(x, y, len(langs)), clear_limit(x, y, len(langs)))
+    rest, limit = (svm(x, y, len(langs)), clear_limit(x, y, len(langs))) if clear else (np.zeros((1, DIM + 1), np.float32), 0.0)
+    return Model(langs, families, svm(x, family, len(families)), within, rest, limit)
 
 
-def fit_languages(labelled: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
+def fit_languages(labelled: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", clear: bool = False) -> Model:
     """Trains on a bounded sample of ``labelled`` rows, chosen by a hash of the key: see TRAIN_ROWS.
 
     The sample's feature vectors (whole texts) meet in one task; the weights come to the driver.
@@ -168,7 +170,7 @@ def fit_languages(labelled: DataFrame, *, text: str = "text", label: str = "lang
         rows = [(np.frombuffer(v, np.float32), lang) for b in batches for v, lang in zip(b.column("v").to_pylist(), b.column("lang").to_pylist(), strict=True)]
         import pickle
 
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows, clear))], pa.binary())], names=["model"])
 
     sample = written(chosen.mapInArrow(vectors, "v binary, lang string, o long"), "langid-sample")
     fitted = sample.repartition(1).sortWithinPartitions("o", "lang").mapInArrow(fit, "model binary").collect()
