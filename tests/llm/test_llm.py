@@ -34,32 +34,106 @@ def test_decontaminate(spark, docs):
     assert not decontaminate.report(docs, items.where("false")).where("contaminated").count()
 
 
-def test_jaccard_against_brute_force(docs):
-    r = by_id(jaccard.jaccard_components(docs))
-    assert [r[i].component_id for i in range(9)] == [0, 0, 0, 3, 4, 5, 5, 5, 8]
-    assert (r[0].n_shingles, r[3].n_shingles, r[5].n_shingles) == (118, 0, 1)
+def brute_components(rows, k, numer, denom):
+    """(n_shingles, component) by comparing all pairs of word shingle sets."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and denom * len(x & sets[j]) >= numer * len(x | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (key, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(key)
+    name = {g: min((k for k in keys if k is not None), default=None) for g, keys in groups.items()}
+    return sorted(((key, len(s), name[find(i)] if s else key) for i, ((key, _), s) in enumerate(zip(rows, sets))), key=str)
+
+
+def jaccard_rows(spark, rows, **limits):
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), **limits)
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str)
+
+
+def family(rng, size, edits, words=150, tag="f"):
+    """A text and variants of it, each with some words replaced."""
+    base = [f"{tag}{i}" for i in range(words)]
+    out = []
+    for v in range(size):
+        w = list(base)
+        for at in rng.choice(words, rng.integers(0, edits + 1), replace=False):
+            w[at] = f"{tag}x{v}y{at}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{"shingle": 3, "numer": 90, "denom": 100}, {"shingle": 5, "numer": 80, "denom": 100}, {"shingle": 1, "numer": 50, "denom": 100}])
+def test_jaccard_against_brute_force(spark, limits):
+    """A chain, a family of many near copies (some linked, some just not), copies, short texts, nulls, a shared passage."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [*TEXTS, *family(rng, 150, 6), *family(rng, 60, 12, 400, "g")]
+    texts += [" ".join(f"c{i}" for i in range(at, at + 200)) for at in range(0, 120, 4)]  # a chain
+    texts += [passage + " " + " ".join(f"q{v}z{i}" for i in range(rng.integers(1, 90))) for v in range(150)]
+    texts += [f"{a} {b}" for a in "xyz" for b in "xyz"] * 2
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(3, "another text under a known key"), (None, texts[12]), (None, "only null keys have this"), (None, "only null keys have this"), (None, None)]
+    assert jaccard_rows(spark, rows, **{k: v for k, v in limits.items()}) == brute_components(rows, limits["shingle"], limits["numer"], limits["denom"])
+
+
+def test_jaccard_of_blocks_over_a_tile(spark, monkeypatch):
+    rows = list(enumerate(family(np.random.default_rng(6), 120, 8, 100)))
+    monkeypatch.setattr(jaccard, "TILE", 7)
+    assert jaccard_rows(spark, rows) == brute_components(rows, 3, 90, 100)
+    assert jaccard_rows(spark, []) == []
+
+
+def test_clashing_digests_get_numbers_of_their_own(spark):
+    f = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 1), (5, None, None)], "key long, node long, check long")
+    r = by_id(jaccard.numbered(f), "key")
+    assert r[1].node == r[3].node != r[2].node and r[4].node == 8 and r[5].node is None and r[2]["first"] == 7
 
 
 def test_count_tree_loses_no_pair():
     rng = np.random.default_rng(1)
-    points = rng.integers(0, 6, (300, jaccard.GROUPS))
-    points[150:] = points[:150] + (rng.random((150, jaccard.GROUPS)) < 0.05)
+    points = rng.integers(0, 6, (300, 64))
+    points[150:] = points[:150] + (rng.random((150, 64)) < 0.05)
     sizes = points.sum(axis=1)
     tree = jaccard.CountTree(points, sizes)
+    assert len(tree.levels) > 1
     for p, n in zip(points, sizes):
         want = {i for i in range(300) if np.minimum(points[i], p).sum() >= jaccard.need(sizes[i], n) and 10 * min(n, sizes[i]) >= 9 * max(n, sizes[i])}
         assert set(tree.search(p, int(n)).tolist()) == want
 
 
-def test_linked_sets_share_a_part():
+@pytest.mark.parametrize(("numer", "denom"), [(90, 100), (80, 100), (50, 100), (100, 100)])
+def test_linked_sets_share_a_part(numer, denom):
     rng = np.random.default_rng(2)
-    for n in (1, 3, 10, 57, 300, 900):
+    keys = lambda x: {int(k) for b in jaccard.bands(len(x), numer, denom) for k in jaccard.part_keys(x, *b, numer, denom)}
+    for n in [*range(1, 40), 57, 300, 900]:
         s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        drop = len(s) - jaccard.need(len(s), len(s) - len(s) // 10)
-        t = s[max(0, min(len(s) // 10, drop)) :]
-        keys = lambda x: {int(k) for b in jaccard.bands(len(x), 90, 100) for k in jaccard.part_keys(x, *b)}
-        if 100 * len(t) >= 90 * len(s):
-            assert keys(s) & keys(t)
+        for swap in range(n // 2 + 1):
+            t = np.unique(np.concatenate([s[swap:], rng.integers(0, 2**63, int(rng.integers(0, swap + 1))).astype(np.uint64)]))
+            same = len(np.intersect1d(s, t))
+            if len(t) and denom * same >= numer * (len(s) + len(t) - same):
+                assert keys(s) & keys(t)
+
+
+def test_points_fold_to_coarser_ones():
+    s = np.random.default_rng(3).integers(0, 2**63, 3000).astype(np.uint64)
+    for n in (1, 40, 3000):
+        raw = jaccard.point_of(s[:n])
+        assert jaccard.folded(raw, n, 32).tolist() == np.bincount((s[:n] & np.uint64(31)).astype(int), minlength=32).tolist()
+    many = np.zeros(70_000, np.uint64)  # counts over one and two bytes
+    assert jaccard.folded(jaccard.point_of(many), len(many), 64)[0] == 70_000 and jaccard.folded(jaccard.point_of(many[:300]), 300, 32)[0] == 300
 
 
 def test_exact_dedup(docs):

@@ -30,10 +30,13 @@ def space_words_of(raw: bytes | None) -> list[bytes]:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster shares (``spark.checkpoint.dir``).
 
-    Where the session has none, as in tests, a local one is set for this session.
+    Where the session has none, a local one is set for this session if it runs on this machine alone, as in
+    tests; on a cluster executors could not see it, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="undertow-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -43,10 +46,28 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).write(df)
+
+
+class Scratch:
+    """Tables of one operator in the shared folder; those that no later step reads can be deleted."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.paths = spark, work_dir(spark, name), {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that ``write`` returned. Nothing that is still to run may read them."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(table)][0])
+            path.getFileSystem(conf).delete(path, True)
 
 
 def raw_bytes(column: pa.Array) -> list[bytes | None]:

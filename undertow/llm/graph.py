@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import written
+from undertow.llm.common import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,31 +13,28 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, follows the hooks to their roots by
     doubling, and contracts the edges; a round at least halves the roots that have edges. State is
-    written to the shared folder after every step.
+    written to the shared folder after every step, and deleted once the next step has written.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    left = written(both, "cc-edges")
-    labels = None
+    disk = Scratch(edges.sparkSession, "components")
+    left = disk.write(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = disk.write(left.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     while not left.isEmpty():
-        hook = left.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("node"), F.least("a", "m").alias("root")
-        )
-        hook = written(hook, "cc-hook")
+        hook = disk.write(
+            left.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+        )
         while True:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            stepped = written(hook.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "cc-jump")
-            hook = stepped.drop("moved")
+            stepped = disk.write(hook.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
+            disk.drop(hook)
+            hook = stepped
             if stepped.where("moved").isEmpty():
                 break
-        if labels is None:
-            labels = hook
-        else:
-            to = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            labels = written(labels.join(to, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "cc-labels")
+        to = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        old_labels, labels = labels, disk.write(labels.join(to, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         a = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = written(
-            left.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(),
-            "cc-edges",
+        old_left, left = left, disk.write(
+            left.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         )
-    return labels if labels is not None else both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        disk.drop(hook, old_labels, old_left)
+    return labels

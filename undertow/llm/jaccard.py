@@ -1,15 +1,18 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document is the set of its word shingles, hashed to 64 bits. Shingles fall into 64 groups by hash
-and a set's group counts are a point; the overlap of two sets is at most the sum of the smaller
-counts, and a box of points bounds it for all points within. R-trees over the points find the pairs
-that may be similar enough; exact set intersection decides them.
-
-One tree over a large corpus would be one task, so the points are first dealt to blocks without loss:
-two sets whose difference is at most d must agree in one of d + 1 parts of the hash space, so each set
-goes to one block for each part's content. Blocks of one set end there. In each other block all sets
-are first compared with the block's smallest set (copies end up in one component after few
-comparisons); R-trees then search only across the components that still meet in a block.
+A document is the set of its word shingles, hashed to 64 bits. Shingles fall into groups by hash and a
+set's group counts are a point; the overlap of two sets is at most the sum of the smaller counts, and a
+box of points bounds it for all points within. R-trees over the points find the pairs that may be
+similar enough; exact set intersection decides them. No pair is verified that a tree has not found.
+
+One tree over a large corpus would be one task, so the points are first dealt to blocks without loss.
+Sets of a size band are cut into parts by hash; linked sets differ in at most d elements, so of more
+than d parts that have elements one is the same in both (see ``part_keys``). Blocks of one set end there,
+and of blocks with the same members one stays. The trees are then asked in rounds:
+
+1. twice for the neighbours of one point of each block that lie in other components (a row for each
+   member at most; copies end up in one component after few comparisons),
+2. for all pairs that are still in different components; a pair is told in one of its blocks only.
 """
 
 from __future__ import annotations
@@ -20,19 +23,19 @@ from math import ceil, floor
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from undertow.llm.common import raw_bytes, space_words_of, texts_in, written
+from undertow.llm.common import Scratch, raw_bytes, space_words_of, texts_in
 from undertow.llm.graph import components
 
 SHINGLE, NUMER, DENOM = 3, 90, 100
-GROUPS = 64  # dimensions of a point
+LEAST_GROUPS, MOST_GROUPS = 32, 4096  # dimensions of a point: about one for two elements of the set
 BAND = 1.5  # ratio of set sizes that share a number of parts
-LEAF = 32  # points in a leaf of the tree
-TILE = 1024  # points of a block that one task holds at a time
-SMALL_IDS = 500_000  # ids (8 bytes each) that may be broadcast; more are joined by a shuffle
+LEAF = 16  # points in a leaf of the tree
+TILE = 4096  # points of a block that one task holds at a time; larger blocks go through all pairs of their tiles
+LOW = 8  # of a set's blocks, those of least number, by which the block that tells a pair is known
+KNOWN = 200_000  # sets that a task remembers, so as to deal copies out once
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -71,9 +74,9 @@ def need(m, n, numer: int = NUMER, denom: int = DENOM):
 
 
 def bands(n: int, numer: int, denom: int) -> list[tuple[int, int]]:
-    """(band, parts) for a set of n: its own band, and the next if a linked set may stand there.
+    """(band, d) for a set of n: its own band, and the next ones if a linked set may stand there.
 
-    Sets of a band have at most ``top`` elements; linked sets in it differ in at most ``d`` elements.
+    Linked sets of a band differ in at most ``d`` elements.
     """
     out = []
     band = 0
@@ -82,42 +85,75 @@ def bands(n: int, numer: int, denom: int) -> list[tuple[int, int]]:
         band, top = band + 1, max(top + 1, floor(top * BAND))
     largest = n * denom // numer  # of a linked set
     while True:
-        d = 2 * top * (denom - numer) // (denom + numer)
-        out.append((band, d + 1))
+        out.append((band, 2 * top * (denom - numer) // (denom + numer)))
         if largest <= top:
             return out
         band, top = band + 1, max(top + 1, floor(top * BAND))
 
 
-def part_keys(s: np.ndarray, band: int, parts: int) -> np.ndarray:
-    """One key for each part of the hash space: of the band, the part and the part's content."""
+def part_keys(s: np.ndarray, band: int, d: int, numer: int, denom: int) -> np.ndarray:
+    """Keys of the set's parts: of the band, the part and the part's content.
+
+    There are some more parts than d. A linked set differs in at most ``own`` elements. A set with more than
+    ``own`` parts that aren't empty shares one of those with each linked set, so its empty parts, in which
+    many unlike sets would meet, have no key. A set with fewer has keys for all parts, and so shares one
+    with every linked set of that kind too.
+    """
+    parts = d + 1 + (ceil(0.06 * d) + 1 if d else 0)
+    own = min(d, len(s) * (denom - numer) // numer)
     part = ((s >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
     sums = np.zeros(parts, np.uint64)
     np.add.at(sums, part, mix(s ^ M3))
-    return mix(sums + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
+    keys = mix(sums + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
+    full = np.bincount(part, minlength=parts) > 0
+    return keys[full] if full.sum() > own else keys
 
 
 def digest(s: np.ndarray) -> int:
     return int(mix(s).sum(dtype=np.uint64).view(np.int64))
 
 
-def featurise(key: str, text: str, k: int, numer: int, denom: int):
+def groups_of(n: int) -> int:
+    """Groups of the point of a set of n: a power of two, so that finer points fold to coarser ones."""
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(0, (n - 1).bit_length() - 1)))
+
+
+def point_of(s: np.ndarray) -> bytes:
+    """Group counts in one byte each, or two or four where a count asks for it."""
+    g = groups_of(len(s))
+    counts = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    most = counts.max()
+    return counts.astype(np.uint8 if most < 256 else "<u2" if most < 65536 else "<u4").tobytes()
+
+
+def folded(raw: bytes, n: int, groups: int) -> np.ndarray:
+    own = groups_of(n)
+    counts = np.frombuffer(raw, {1: np.uint8, 2: "<u2", 4: "<u4"}[len(raw) // own]).astype(np.int32)
+    return counts.reshape(-1, groups).sum(axis=0) if own > groups else counts
+
+
+def featurise(text: str, k: int, numer: int, denom: int):
+    """Of a task's equal sets, the first has the keys and the point (of many different ones, some more have)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, known = WordHashes(), set()
         for batch in texts_in(batches):
             n, node, check, point, keys = [], [], [], [], []
             for raw in raw_bytes(batch.column(text)):
                 s = shingle_set(space_words_of(raw), hashes, k)
                 n.append(len(s))
-                if not len(s):
-                    node.append(None), check.append(None), point.append(None), keys.append(None)
+                own = (digest(s), digest(s ^ M2)) if len(s) else (None, None)
+                node.append(own[0]), check.append(own[1])
+                if not len(s) or own in known:
+                    point.append(None), keys.append(None)
                     continue
-                node.append(digest(s))
-                check.append(digest(s ^ M2))
-                point.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
-                keys.append(np.concatenate([part_keys(s, *b) for b in bands(len(s), numer, denom)]).view(np.int64))
+                if len(known) >= KNOWN:
+                    known.clear()
+                known.add(own)
+                point.append(point_of(s))
+                keys.append(np.unique(np.concatenate([part_keys(s, *b, numer, denom) for b in bands(len(s), numer, denom)])).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["key", "n", "node", "check", "point", "keys"],
             )
 
@@ -125,17 +161,15 @@ def featurise(key: str, text: str, k: int, numer: int, denom: int):
 
 
 def sets_of(text: str, k: int):
-    """The wanted nodes' sets; rows with the key of one and another set fall out."""
+    """``first, check, set`` of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in texts_in(batches):
-            node = batch.column("node").to_pylist()
-            out = [shingle_set(space_words_of(raw), hashes, k) for raw in raw_bytes(batch.column(text))]
-            own = [i for i, s in enumerate(out) if len(s) and digest(s) == node[i]]
+            sets = [s for raw in raw_bytes(batch.column(text)) if len(s := shingle_set(space_words_of(raw), hashes, k))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node[i] for i in own], pa.int64()), pa.array([out[i].tobytes() for i in own], pa.binary())],
-                names=["node", "set"],
+                [pa.array([digest(s) for s in sets], pa.int64()), pa.array([digest(s ^ M2) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["first", "check", "set"],
             )
 
     return run
@@ -161,19 +195,16 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, numer: int = NUMER, denom: int = DENOM) -> None:
         self.points, self.sizes, self.ratio = points, sizes, (numer, denom)
-        wide = np.argsort(-points.var(axis=0))[:2] if len(points) else np.array([0, 1])
-        slab = max(1, ceil((len(points) / LEAF) ** 0.5)) * LEAF
         order = np.argsort(sizes, kind="stable")
-        order = np.concatenate(
-            [o[np.lexsort((points[o, wide[1]], points[o, wide[0]]))] for o in np.split(order, range(slab, len(order), slab))]
-        ) if len(order) else order
-        self.levels = []  # from the leaves up: starts, largest counts, least and largest sizes
+        if len(points) > LEAF:
+            wide = np.argsort(-points.var(axis=0), kind="stable")[:2]
+            slab = ceil((len(points) / LEAF) ** 0.5) * LEAF
+            order = np.concatenate([o[np.lexsort((points[o, wide[1]], points[o, wide[0]]))] for o in np.split(order, range(slab, len(order), slab))])
+        self.levels = []  # from the leaves up: largest counts, least and largest sizes
         self.order = order
         high, lo, hi = points[order], sizes[order], sizes[order]
-        while True:
+        while len(high):
             cut = np.arange(0, len(high), LEAF)
-            if not len(cut):
-                break
             high, lo, hi = np.maximum.reduceat(high, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)
             self.levels.append((high, lo, hi))
             if len(high) == 1:
@@ -186,8 +217,7 @@ class CountTree:
         at = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             high, lo, hi = self.levels[depth]
-            ok = (hi[at] >= least) & (lo[at] <= most)
-            at = at[ok]
+            at = at[(hi[at] >= least) & (lo[at] <= most)]
             bound = np.minimum(high[at], point).sum(axis=1)
             at = at[bound >= need(np.maximum(lo[at], least), size, numer, denom)]
             width = len(self.levels[depth - 1][0]) if depth else len(self.order)
@@ -199,38 +229,86 @@ class CountTree:
         return at[(bound >= need(sizes, size, numer, denom)) & (sizes >= least) & (sizes <= most)]
 
 
-def _block_pairs(i: int, j: int, tile, node, root, n, points, numer: int, denom: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of different components in a block, or between two tiles of a large one."""
-    if (root == root[0]).all():
-        return
-    if i == j and len(node) <= LEAF:  # a tree of one leaf
-        bound = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
-        ok = (bound >= need(n[:, None], n[None, :], numer, denom)) & (root[:, None] != root[None, :])
-        x, y = np.nonzero(np.triu(ok, 1))
-        yield node[x], node[y]
-        return
-    left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-    if len(left) and len(right):
-        tree = CountTree(points[right], n[right], numer, denom)
-        for x in left:
-            y = right[tree.search(points[x], int(n[x]))]
-            y = y[(root[y] != root[x]) & ((i != j) | (node[y] > node[x]))]
-            yield np.full(len(y), node[x]), node[y]
-
-
-def search_blocks(numer: int, denom: int):
-    """Over rows in the order of (block, i, j): holds one block, or two tiles of one, at a time."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        block, i, j, tile, node, root, n = (rows.column(c).to_numpy() for c in ("block", "i", "j", "tile", "node", "root", "n"))
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(len(node), GROUPS).astype(np.int64)
-        cut = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), len(node)]
-        found = [
-            pair for x, y in zip(cut, cut[1:], strict=False) if y > x + 1
-            for pair in _block_pairs(i[x], j[x], tile[x:y], node[x:y], root[x:y], n[x:y], points[x:y], numer, denom)
-        ]
-        a = np.concatenate([f[0] for f in found] or [np.empty(0, np.int64)])
-        b = np.concatenate([f[1] for f in found] or [np.empty(0, np.int64)])
+class Rows:
+    """Members of one block (or of two tiles of one) as arrays; points are folded to the coarsest among them."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.block, self.node, self.root, self.n = (table.column(c).to_numpy() for c in ("block", "node", "root", "n"))
+        self.raw = table.column("point").to_pylist()
+        self.low = table.column("low").to_pylist() if "low" in table.column_names else None
+        self.tile = table.column("tile").to_numpy() if "tile" in table.column_names else None
+
+    def points(self, at: np.ndarray, more: int) -> np.ndarray:
+        """``more``: the size of a further set that these are compared with."""
+        groups = groups_of(min(int(self.n[at].min()), more))
+        return np.stack([folded(self.raw[i], int(self.n[i]), groups) for i in at])
+
+    def told_elsewhere(self, block: int, x: int, ys: np.ndarray) -> np.ndarray:
+        """Whether a block of lower number, which tells the pair, has both."""
+        lower = {b for b in self.low[x] if b < block}
+        return np.array([not lower.isdisjoint(self.low[y]) for y in ys], bool)
+
+
+def neighbours(numer: int, denom: int):
+    """(a, b) for each member b of a block in the tree's answer to the block's first row a, of another root.
+
+    Rows come in the order of the block. One batch and one point are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = first = None
+        for batch in batches:
+            rows = Rows(pa.Table.from_batches([batch]))
+            a, b = [], []
+            cut = [0, *(np.flatnonzero(rows.block[1:] != rows.block[:-1]) + 1), len(rows.block)]
+            for x, y in zip(cut, cut[1:], strict=False):
+                if x == y:
+                    continue
+                if rows.block[x] != block:
+                    block, first = rows.block[x], (rows.node[x], rows.root[x], int(rows.n[x]), rows.raw[x])
+                node, root, n, raw = first
+                at = np.arange(x, y)[rows.root[x:y] != root]
+                if len(at):
+                    points = rows.points(at, n)
+                    hit = at[CountTree(points, rows.n[at], numer, denom).search(folded(raw, n, points.shape[1]), n)]
+                    a.append(np.full(len(hit), node)), b.append(rows.node[hit])
+            a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def across(numer: int, denom: int):
+    """All pairs (a, b) of different roots in the trees' answers, each told by one block.
+
+    Rows come in the order of (block, i, j): one block, or two tiles of one, is held at a time.
+    """
+
+    def pairs(rows: Rows, at: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = at[rows.tile[at] == i], at[rows.tile[at] == j]
+        if not len(left) or not len(right) or (rows.root[at] == rows.root[at[0]]).all():
+            return
+        roots, count = np.unique(rows.root[at], return_counts=True)
+        home = roots[count.argmax()]  # of the pairs of different roots, each has a member of another root than this
+        ask = left[rows.root[left] != home] if i == j else left
+        points = rows.points(at, int(rows.n[at[0]]))
+        own = np.searchsorted(at, right)
+        tree = CountTree(points[own], rows.n[right], numer, denom)
+        for x in ask:
+            y = right[tree.search(points[np.searchsorted(at, x)], int(rows.n[x]))]
+            y = y[(rows.root[y] != rows.root[x])]
+            if i == j:
+                y = y[(rows.root[y] == home) | (rows.node[y] > rows.node[x])]
+            if len(y):
+                y = y[~rows.told_elsewhere(int(rows.block[x]), x, y)]
+                yield np.full(len(y), rows.node[x]), rows.node[y]
+
+    def answer(table: pa.Table) -> pa.RecordBatch:
+        rows = Rows(table)
+        i, j = (table.column(c).to_numpy() for c in "ij")
+        cut = [0, *(np.flatnonzero((rows.block[1:] != rows.block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), len(i)]
+        found = [pair for x, y in zip(cut, cut[1:], strict=False) for pair in pairs(rows, np.arange(x, y), i[x], j[x])]
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +323,10 @@ def search_blocks(numer: int, denom: int):
                 same &= rows.column(c).to_numpy() == rows.column(c)[-1].as_py()
             start = int(np.argmax(same))
             if start:
-                yield pairs(rows.slice(0, start))
+                yield answer(rows.slice(0, start))
             held = rows.slice(start)
         if held is not None and held.num_rows:
-            yield pairs(held)
+            yield answer(held)
 
     return run
 
@@ -260,85 +338,110 @@ def jaccard_components(
 
     Links: denom * intersection >= numer * union of the sets of ``shingle`` consecutive words (A-Z
     lower-cased, split at ASCII white space). Null, empty or blank texts have empty sets and link with
-    nothing: component_id is their own key. Repeated rows come back as often as they came; a null key
-    keeps its row and links with equal sets only.
+    nothing: component_id is their own key. Repeated rows come back as often as they came, rows with one
+    key and several texts too. Rows with a null key link as all others do; a component whose keys are all
+    null has a null component_id. An empty table gives no rows; other columns play no part.
+
+    Sets are known by 128 bits: where two share the first 64, both get another number.
     """
-    f = written(
-        docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
-            featurise("key", "text", shingle, numer, denom),
-            "key long, n long, node long, check long, point binary, keys array<long>",
-        ),
-        "jaccard-sets",
-    )
-    clash = f.where("node is not null").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y"))
-    if not clash.where("x <> y").isEmpty():
-        raise ValueError("two different sets have one 64-bit digest; run with another shingle hash")
-
-    rows = f.where("node is not null").select("node", F.explode("keys").alias("block"))
-    blocks = rows.groupBy("block").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    shared = written(rows.join(blocks.drop("last"), "block").distinct(), "jaccard-blocks")
-    tried = written(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
-    points = written(
-        f.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.min("point").alias("point")),
-        "jaccard-points",
-    )
-    sets = written(_sets(docs, key, text, points, shingle), "jaccard-text-sets")
-    linked = written(_verified(tried, sets, numer, denom), "jaccard-links")
-    roots = components(linked)
-    # A second round with each block's last set, for what has not joined the component of it: fewer are left to search.
-    again = written(_second_stars(shared, roots).join(tried, ["a", "b"], "left_anti"), "jaccard-stars")
-    linked = written(linked.unionByName(_verified(again, sets, numer, denom)), "jaccard-links")
-    tried = tried.unionByName(again)
-    roots = components(linked)
-
-    known = points.join(roots, "node", "left").select("node", "n", "point", F.coalesce("root", "node").alias("root"))
-    placed = written(shared.join(known.select("node", "root"), "node").select("block", "node", "root"), "jaccard-placed")
-    mixed = placed.groupBy("block").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    disk = Scratch(docs.sparkSession, "jaccard")
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    f = disk.write(texts.mapInArrow(featurise("text", shingle, numer, denom), "key long, n long, node long, check long, point binary, keys array<long>"))
+    first = numbered(f)
+    known = first.where("keys is not null")
+    ids = disk.write(first.select("key", "n", "node"))
+
+    members = _members(disk, known.select("node", F.explode("keys").alias("block")))
+    low = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("block")), 1, LOW).alias("low"))
+    named = ids.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
+    points = disk.write(known.select("node", "first", "check", "n", "point").dropDuplicates(["node"]).join(low, "node").join(named, "node"))
+    disk.drop(f)
+    sets = disk.write(_sets(texts, points, shingle))
+
+    order = ["block", "root", F.xxhash64("node", "block")]
+    linked, tried, roots = None, None, points.select("node", F.col("node").alias("root"))
+    rooted = lambda roots: points.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    for _ in range(2):
+        rows = _mixed(disk, members, rooted(roots)).join(points.select("node", "n", "point"), "node")
+        found = _dealt(rows, ["block"], order).mapInArrow(neighbours(numer, denom), "a long, b long").distinct()
+        linked, tried, roots = _joined(disk, sets, found, linked, tried, numer, denom)
+
+    placed = _mixed(disk, members, rooted(roots))
+    tiles = placed.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    across = placed.join(mixed.select("block", tiles.alias("tiles")), "block").withColumn("tile", tile)
-    # Blocks over TILE points go to all pairs of their tiles, so that no task holds more than two.
     met = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
-    across = across.select("block", "node", "root", "tile", F.explode(met).alias("m")).select("block", "node", "root", "tile", "m.i", "m.j")
-    across = across.join(known.select("node", "n", "point"), "node")
-    order = ["block", "i", "j"]
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = across.repartition(spread, *order).sortWithinPartitions(*order)
-    found = across.mapInArrow(search_blocks(numer, denom), "a long, b long").distinct()
-    found = written(found.join(tried, ["a", "b"], "left_anti"), "jaccard-found")
-    if not found.isEmpty():
-        linked = linked.unionByName(_verified(found, sets, numer, denom))
-        roots = components(linked)
-
-    per_node = (
-        f.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
-        .join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
-    )
-    names = per_node.groupBy("root").agg(F.min("key").alias("component_id"))
-    per_node = per_node.select("node", "root").join(names, "root").select("node", "component_id")
-    return (
-        f.select("key", "n", "node").join(per_node, "node", "left")
-        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = placed.join(tiles, "block").withColumn("tile", tile).select("block", "node", "root", "tile", F.explode(met).alias("m"))
+    rows = rows.select("block", "node", "root", "tile", "m.i", "m.j").join(points.select("node", "n", "point", "low"), "node")
+    found = _dealt(rows, ["block", "i", "j"], ["block", "i", "j"]).mapInArrow(across(numer, denom), "a long, b long").distinct()
+    linked, tried, roots = _joined(disk, sets, found, linked, tried, numer, denom)
+    disk.drop(sets, points, members)
+
+    own = ids.join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("root"))
+    names = own.where("root is not null").groupBy("root").agg(F.min("key").alias("component_id"))
+    return own.join(names, "root", "left").select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"),
+        F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
-def _second_stars(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    placed = shared.join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("root"))
-    last = placed.groupBy("block").agg(F.max("node").alias("last"), F.max_by("root", "node").alias("last_root"), F.min("root").alias("x"), F.max("root").alias("y"))
-    pairs = placed.join(last.where("x <> y"), "block").where("root <> last_root")
-    return pairs.select(F.least("node", "last").alias("a"), F.greatest("node", "last").alias("b")).distinct()
+def numbered(f: DataFrame) -> DataFrame:
+    """``f`` plus ``first``, its ``node``; a node that has several checks gets a new one for each of them."""
+    f, round_ = f.withColumn("first", F.col("node")), 0
+    while True:
+        clash = f.where("node is not null").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
+        if clash.isEmpty():
+            return f
+        round_ += 1
+        new = F.when(F.col("_clash"), F.xxhash64("node", "check", F.lit(round_))).otherwise(F.col("node"))
+        f = f.join(clash.select("node", F.lit(True).alias("_clash")), "node", "left").withColumn("node", new).drop("_clash")
+
 
+def _dealt(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(spread, *by).sortWithinPartitions(*order)
 
-def _sets(docs: DataFrame, key: str, text: str, points: DataFrame, shingle: int) -> DataFrame:
-    """The sets of the nodes that share a block, each from one document."""
-    wanted = points.where("key is not null").select(F.col("key").alias("_key"), "node")
-    if wanted.count() <= SMALL_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(wanted, "_key").select("node", "text")
-    return texts.mapInArrow(sets_of("text", shingle), "node long, set binary").dropDuplicates(["node"])
 
+def _members(disk: Scratch, rows: DataFrame) -> DataFrame:
+    """``block, node`` of the blocks with at least two sets; of blocks with the same members, the least.
 
-def _verified(pairs: DataFrame, sets: DataFrame, numer: int, denom: int) -> DataFrame:
+    Blocks have the same members if their number, ends and 120 bits of sums of hashes agree.
+    """
+    block = Window.partitionBy("block")
+    h, g = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
+    part = lambda x, at: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << 30) - 1))
+    told = [F.min("node").over(block).alias("first"), F.max("node").over(block).alias("last"), F.count("*").over(block).alias("c")]
+    told += [F.sum(part(x, at)).over(block).alias(f"s{i}") for i, (x, at) in enumerate([(h, 2), (h, 33), (g, 2), (g, 33)])]
+    shared = disk.write(rows.select("block", "node", *told).where("first <> last"))
+    same = ["first", "last", "c", "s0", "s1", "s2", "s3"]
+    kept = shared.where("node = first").groupBy(*same).agg(F.min("block").alias("block")).select("block")
+    out = disk.write(shared.join(kept, "block").select("block", "node").distinct())
+    disk.drop(shared)
+    return out
+
+
+def _mixed(disk: Scratch, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``block, node, root`` of the blocks that have sets of several components."""
+    placed = members.join(roots, "node")
+    mixed = placed.groupBy("block").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    return disk.write(placed.join(mixed.select("block"), "block"))
+
+
+def _joined(disk: Scratch, sets: DataFrame, found: DataFrame, linked, tried, numer: int, denom: int):
+    """Verifies the pairs that were not tried yet: all links, all tried pairs, the roots of the linked nodes."""
+    found = disk.write(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(intersect(numer, denom), "a long, b long")
+    fresh = disk.write(found.join(a, "a").join(b, "b").mapInArrow(intersect(numer, denom), "a long, b long"))
+    linked = fresh if linked is None else linked.unionByName(fresh)
+    tried = found if tried is None else tried.unionByName(found)
+    return linked, tried, components(linked)
+
+
+def _sets(texts: DataFrame, points: DataFrame, shingle: int) -> DataFrame:
+    """The sets of the nodes that share a block: from the texts of one key each, or of all null keys where that is their only one."""
+    wanted = points.where("key is not null").select("key")
+    chosen = texts.join(wanted.distinct(), "key", "left_semi").select("text")
+    if not points.where("key is null").isEmpty():
+        chosen = chosen.unionByName(texts.where("key is null").select("text"))
+    sets = chosen.mapInArrow(sets_of("text", shingle), "first long, check long, set binary")
+    return sets.join(points.select("node", "first", "check"), ["first", "check"]).select("node", "set").dropDuplicates(["node"])
