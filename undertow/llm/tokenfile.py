@@ -12,8 +12,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +24,12 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.llm.common import texts_in, work_dir, written
+from undertow.llm.chunks import ChunkCoder
+from undertow.llm.common import raw_bytes, texts_in, work_dir, written
 
 GAMMA = 2.0  # bits of a level for each key that enters it
-CACHE = 400_000  # words whose ids are kept, in each of two generations
-_AFTER = re.compile(rb"([a-zA-Z])([.,!?;:]+)(?=[ \n]|\Z)")
+SHARD_BYTES = 64 << 20  # of ids, after which a task goes on with its next shard
+CACHE = 300_000  # chunks whose ids are kept, in each of two generations
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -145,36 +146,80 @@ class Shard:
         return np.frombuffer(raw, "<u2" if self.width == 2 else "<u4")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level characters: printable bytes stand for themselves, the others follow from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in shown]
+    return {b: chr(b if b in shown else 0x100 + other.index(b)) for b in range(256)}
+
+
+#: Letters that the tokenizer's normaliser leaves as they are, in scripts whose letters are settled.
+PLAIN = "a-z" + "".join(c for c in map(chr, range(0xC0, 0x530)) if c.isalpha() and c.lower() == c and unicodedata.normalize("NFC", c) == c)
+JOINED = 64  # plain words that go to the tokenizer in one text
+
+
+def word_cuts() -> np.ndarray:
+    """Between which bytes of a lower-cased text no word of the tokenizer goes on: before white space, beside digits,
+    between ASCII letters and signs (not after an apostrophe, which may begin a word of letters)."""
+    byte = np.arange(256)
+    blank = (byte == 32) | (byte >= 9) & (byte <= 13)
+    letter, digit = (byte >= 97) & (byte <= 122), (byte >= 48) & (byte <= 57)
+    sign = (byte < 128) & ~blank & ~letter & ~digit & ~((byte >= 65) & (byte <= 90))
+    ascii_ = letter | digit | sign
+    out = ~blank[:, None] & blank[None, :]
+    out |= letter[:, None] & (sign | digit)[None, :] | digit[:, None] & ascii_[None, :]
+    return out | (sign & (byte != ord("'")))[:, None] & (letter | digit)[None, :] | (byte == ord("'"))[:, None] & digit[None, :]
+
+
 class WordTokens:
-    """A tokenizer whose pre-tokens never hold spaces: a text's ids are those of its words in turn."""
+    """A word-based tokenizer: a text's ids are those of its chunks in turn.
+
+    Texts that might spell a special token go to the tokenizer whole. Of others A-Z are lower-cased, as the
+    tokenizer's own rules do. New chunks of plain letters go to the same model with nothing but white space
+    between them, for their normalisation and words are known; all others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, width: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.code, self.kept = Tokenizer.from_file(path), "H" if width == 2 else "I", {}
-        self.old: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Words are kept without case and apart from the punctuation after them: the tokenizer's own rules
-        lower-case every text and part letters from punctuation. Texts that might spell a special token
-        keep their case. The words of the last two generations of the store stay in memory."""
-        words = []
-        for t in texts:
-            raw = t.encode()
-            raw = raw if b"<|" in raw else raw.lower()
-            words.append(_AFTER.sub(rb"\1 \2", raw).replace(b"\n", b" ").split(b" "))
-        kept, old = self.kept, self.old
-        new = {w for ws in words for w in ws if w not in kept}
-        for w in [w for w in new if w in old]:
-            kept[w] = old[w]
-            new.discard(w)
-        fresh = list(new)
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            kept[w] = array(self.code, e.ids).tobytes()
-        out = [b"".join(map(kept.__getitem__, ws)) for ws in words]
-        if len(kept) > CACHE:
-            self.kept, self.old = {}, kept
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.tokenizer, self.kind = Tokenizer.from_file(path), "<u2" if width == 2 else "<u4"
+        suffix = described["model"].get("end_of_word_suffix") or ""
+        self.plain = re.compile(f"[{PLAIN}]+") if suffix else None
+        self.bare = Tokenizer.from_str(json.dumps({**described, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # tokens that end a word
+        for token, i in self.bare.get_vocab().items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.shown = byte_alphabet()
+        self.coder = ChunkCoder(word_cuts(), b"", self.kind, self._new, CACHE)
+
+    def _new(self, chunks: list[bytes]) -> list[bytes]:
+        words = [c.decode().strip(" \t\n\r\x0b\x0c") for c in chunks]
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if self.plain and self.plain.fullmatch(w)]
+        shown = [w if (w := words[i]).isascii() else w.encode().decode("latin-1").translate(self.shown) for i in plain]
+        texts = [" ".join(shown[i : i + JOINED]) for i in range(0, len(shown), JOINED)]
+        ids = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.array([i for some in ids for i in some], self.kind)
+        ends = ((np.flatnonzero(self.last[flat]) + 1) * flat.itemsize).tolist()
+        raw = flat.tobytes()
+        for i, a, b in zip(plain, [0, *ends], ends, strict=False):
+            out[i] = raw[a:b]
+        if len(ends) != len(plain):
+            raise ValueError("the tokenizer's words don't end with its suffix")
+        other = sorted({i for i, w in enumerate(words) if w}.difference(plain))
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.kind).tobytes()
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        values, counts = self.coder.encode([b"" if b"<|" in t else t.lower() for t in texts])
+        out = np.split(values, np.cumsum(counts)[:-1])
+        for i, t in enumerate(texts):
+            if b"<|" in t:
+                out[i] = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, self.kind)
         return out
 
 
@@ -189,36 +234,47 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
 
     ``tokenizer`` is the path of a word-based tokenizer file on the driver. Every text's ids end with
     ``end_id``; null counts as empty. Null keys come first and can't be looked up; rows that repeat a
-    key are neighbours, and the index gives the first and their number. Returns the catalogue:
-    ``shard, path, documents, ids, first_key, last_key, base`` (``base``: ids of all shards before).
+    key are neighbours in the order of their text's hash, in one shard or in some that follow each other, and
+    a shard's index gives the first and their number. An empty table makes no file. A task writes a shard
+    whenever it holds SHARD_BYTES of ids. Returns the catalogue: ``shard, path, documents, ids, first_key,
+    last_key, base`` (``base``: ids of all shards before).
     """
     docs.sparkSession.sparkContext.addFile(tokenizer)
     name, width = tokenizer.rpartition("/")[2], 2 if max(vocab, end_id + 1) <= 1 << 16 else 4
-    stop = np.array([end_id], "<u2" if width == 2 else "<u4").tobytes()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("key").asc_nulls_first(), F.col("tie")]
     ordered = (
         docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .repartitionByRange(parts, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
+        .withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
     )
+    most = SHARD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_tokens(SparkFiles.get(name), width)
-        keys, counts, ids = [], [], []
+        stop = np.array([end_id], words.kind).tobytes()
+        keys, counts, ids, size, part, nth = [], [], [], 0, TaskContext.get().partitionId(), 0
+
+        def shard() -> pa.RecordBatch:
+            path = f"{folder}/shard-{part:06d}-{nth:06d}.ids"
+            write_shard(path, keys, counts, b"".join(ids), width)
+            row = {"part": part, "nth": nth, "path": path, "documents": len(keys), "ids": sum(counts), "first_key": keys[0], "last_key": keys[-1]}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
+
         for batch in texts_in(batches, 256):
-            keys += batch.column("key").to_pylist()
-            for raw in words.encode(batch.column("text").to_pylist()):
-                counts.append(len(raw) // width + 1)
-                ids += (raw, stop)
+            for k, one in zip(batch.column("key").to_pylist(), words.encode(raw_bytes(batch.column("text"))), strict=True):
+                keys.append(k), counts.append(len(one) + 1)
+                ids += (one.tobytes(), stop)
+                size += one.nbytes + width
+                if size >= most:
+                    yield shard()
+                    keys, counts, ids, size, nth = [], [], [], 0, nth + 1
         if keys:
-            shard = TaskContext.get().partitionId()
-            path = f"{folder}/shard-{shard:06d}.ids"
-            write_shard(path, keys, counts, b"".join(ids), width)
-            row = {"shard": shard, "path": path, "documents": len(keys), "ids": sum(counts), "first_key": keys[0], "last_key": keys[-1]}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
+            yield shard()
 
-    shards = written(ordered.mapInArrow(run, "shard int, path string, documents long, ids long, first_key long, last_key long"), "token-catalogue")
-    w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard file
-    return shards.withColumn("base", F.coalesce(F.sum("ids").over(w), F.lit(0)))
+    shards = written(ordered.mapInArrow(run, "part long, nth long, path string, documents long, ids long, first_key long, last_key long"), "token-catalogue")
+    w = Window.orderBy("part", "nth")  # one row a shard file
+    base = F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return shards.select((F.row_number().over(w) - 1).alias("shard"), "path", "documents", "ids", "first_key", "last_key", base.alias("base"))
 
 
 def read_token_files(catalogue: DataFrame) -> DataFrame:
@@ -252,21 +308,22 @@ def read_token_files(catalogue: DataFrame) -> DataFrame:
 
 
 def lookup(catalogue: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, ids`` (array<int>) for each of ``keys`` that is stored: keys meet the shard whose range has them."""
+    """``key, ids`` (array<int>) for each stored row of ``keys``: keys meet the shards whose range has them."""
     shards = catalogue.where("last_key is not null").orderBy("shard").select("first_key", "last_key", "shard", "path").collect()  # one row a shard file
     firsts = np.array([s["first_key"] if s["first_key"] is not None else -(1 << 63) for s in shards], np.int64)
+    lasts = np.array([s["last_key"] for s in shards], np.int64)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("key").drop_null()
-            at = np.searchsorted(firsts, wanted.to_numpy(zero_copy_only=False).astype(np.int64), "right") - 1
-            ok = at >= 0
+            wanted = batch.column("key").drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            begin, end = np.searchsorted(lasts, wanted, "left"), np.searchsorted(firsts, wanted, "right")
+            at = [(i, int(k)) for k, a, b in zip(wanted, begin, end, strict=True) for i in range(a, b)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shards[i]["shard"] for i in at[ok]], pa.int32()), pa.array([shards[i]["path"] for i in at[ok]], pa.string()), wanted.filter(pa.array(ok))],
+                [pa.array([shards[i]["shard"] for i, _ in at], pa.int32()), pa.array([shards[i]["path"] for i, _ in at], pa.string()), pa.array([k for _, k in at], pa.int64())],
                 names=["shard", "path", "key"],
             )
 
-    ranged = keys.select(F.col(key).cast("long").alias("key")).mapInArrow(placed, "shard int, path string, key long")
+    ranged = keys.select(F.col(key).cast("long").alias("key")).distinct().mapInArrow(placed, "shard int, path string, key long")
 
     def run(rows):
         import pandas as pd
