@@ -176,15 +176,56 @@ def test_licenses_of_several_texts_in_one_file(spark):
     assert r[0].score == r[1].score == 1.0
 
 
-def test_pieces_round_trip_and_best_path():
-    p = pieces.Pieces(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
-    for t in ["", " a  b ", "\0x\0", "▁ é①\n\t", "Hello, world", " " * 20, "z" * 3000]:
-        assert p.decode(np.frombuffer(p.encode(t), "<i4").tolist()) == t
-    words = {w: p.automaton.get(w) for w in p.automaton.keys()}
-    text, best = "▁hello▁at", [0.0]
-    for end in range(1, len(text) + 1):
-        best.append(max([best[end - 1] + p.unknown, *(best[s] + words[text[s:end]][2] for s in range(end) if text[s:end] in words)]))
-    assert sum(words[p.names[i]][2] for i in p.viterbi(text)) == pytest.approx(best[-1])
+def piece_model():
+    return pieces.Pieces(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+
+
+def plain_viterbi(p, text):
+    """Ids of the best path over the whole text by trying all pieces at all positions."""
+    marked = pieces.SPACE + text.replace(pieces.SPACE, "\0").replace(" ", pieces.SPACE)
+    best, back = [0.0], [None]
+    for end in range(1, len(marked) + 1):
+        ways = [(best[end - 1] + p.unknown, -1, end - 1, None)]
+        for start in range(max(0, end - 16), end):
+            if (hit := p.scores.get(marked[start:end])) is not None:
+                ways.append((best[start] + hit[1], end - start, start, hit[0]))
+        score, _, start, i = max(ways, key=lambda w: (w[0], w[1]))
+        best.append(score), back.append((start, i))
+    ids, at = [], len(marked)
+    while at:
+        start, i = back[at]
+        ids += [i] if i is not None else [p.byte_ids[x] for x in reversed((pieces.SPACE if marked[start] == "\0" else marked[start]).encode())]
+        at = start
+    return ids[::-1] if text else []
+
+
+ODD_TEXTS = ["", " a  b ", "x", "\u2581 é①\n\t", "Hello, world; it_(is) »so,«", " " * 20, "z" * 300, "in  the\nmiddle.Of it", "日本語 text", "😀😀"]
+
+
+def test_pieces_best_path_and_round_trip():
+    p, rng = piece_model(), np.random.default_rng(4)
+    signs = ["a", "b", "the", " ", "  ", ".", ",", "(", "_", "»", "é", "1", "\n", "\t", "\u2581", "😀", "Z", "'", "-", "ing"]
+    texts = [*ODD_TEXTS, *("".join(rng.choice(signs, rng.integers(1, 90))) for _ in range(200))]
+    values, counts = p.encode([t.encode() for t in texts])
+    own = [x.tolist() for x in np.split(values, np.cumsum(counts)[:-1])]
+    assert own == [plain_viterbi(p, t) for t in texts]
+    assert p.decode(values, counts) == texts
+    values, counts = p.encode([b"\0x\0", None, b"\0"])
+    assert p.decode(values, counts) == ["\0x\0", "", "\0"] and counts[1] == 0
+
+
+def test_encode_and_decode_pieces(spark):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(i, t, 0, 0) for i, t in enumerate(ODD_TEXTS)] + [(0, "repeated", 1, 1), (0, "repeated", 1, 1), (None, None, 2, 2), (9, "w " * 30_000, 3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece_ids int, decoded int")
+    encoded = pieces.encode_pieces(docs, model)
+    assert encoded.columns == ["doc_id", "text", "decoded", "piece_ids", "piece_ids_n"]
+    back = pieces.decode_pieces(encoded, model).collect()
+    assert len(back) == len(rows) and all(r.decoded == (r.text or "") and r.piece_ids_n == len(r.piece_ids) for r in back)
+    assert pieces.report(docs.where("false"), model).count() == 0
+    assert all(r.round_trip for r in pieces.report(docs, model).collect())
+    lists = spark.createDataFrame([(1, None), (2, []), (3, [1, 2, -5, 99_999]), (4, [None])], "doc_id long, piece_ids array<int>")
+    assert [r.decoded for r in pieces.decode_pieces(lists, model).orderBy("doc_id").collect()] == [None, "", "", ""]
 
 
 def test_token_files(spark, docs):
@@ -210,10 +251,28 @@ def test_perfect_hash():
 def test_word_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(5)
     tok, own = Tokenizer.from_file(path), tokenfile.WordTokens(path, 2)
-    for t in ["It's DONE., (ok), don't!", "a.'s b)., É́ ç!\n\nX", "<|endoftext|>, x <|EndOfText|>", "1.5, 2;", " a\tb, c"]:
-        assert np.frombuffer(own.encode([t])[0], "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
+    signs = ["a", "b", "the", " ", "  ", ".", ",", "'s", "'t", "'", "_", "»", "É", "e\u0301", "1", "²", "\n", "▁", "😀", "Z", "ß", "Σ", "-", "İ", "\xa0", "\x85", "K", "ж", "中", "<|", "<|endoftext|>"]
+    texts = ["It's DONE., (ok), don't!", "a.'s b)., É́ ç!\n\nX", "<|endoftext|>, x <|EndOfText|>", "1.5, 2;", " a\tb, c", ""]
+    texts += ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(1500)]
+    for t, ids in zip(texts, own.encode([t.encode() for t in texts])):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_token_files_with_repeated_and_null_keys_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SHARD_BYTES", 12)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, "no key"), (None, None), *[(5, f"five again {i}") for i in range(6)], (7, "seven"), (-3, "minus three words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cat = tokenfile.write_token_files(docs, path, work_dir(spark, "t"), end_id=2, vocab=49_408)
+    assert cat.count() > 4
+    got = tokenfile.read_token_files(cat).orderBy("start").collect()
+    assert [r.key for r in got] == [None, None, -3, *[5] * 6, 7]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    found = tokenfile.lookup(cat, spark.createDataFrame([(5,), (5,), (7,), (6,), (None,)], "doc_id long")).collect()
+    assert sorted(r.key for r in found) == [*[5] * 6, 7] and len({tuple(r.ids) for r in found}) == 7
+    assert tokenfile.report(docs.where("false"), path).count() == 0
 
 
 def test_languages(spark):
