@@ -439,8 +439,8 @@ def _joined(disk: Scratch, sets: DataFrame, found: DataFrame, linked, tried, num
 
 def _sets(texts: DataFrame, points: DataFrame, shingle: int) -> DataFrame:
     """The sets of the nodes that share a block: from the texts of one key each, or of all null keys where that is their only one."""
-    wanted = points.where("key is not null").select("key")
-    chosen = texts.join(wanted.distinct(), "key", "left_semi").select("text")
+    wanted = points.where("key is not null").select("key").distinct().hint("merge")  # as many as the corpus makes: never broadcast
+    chosen = texts.join(wanted, "key", "left_semi").select("text")
     if not points.where("key is null").isEmpty():
         chosen = chosen.unionByName(texts.where("key is null").select("text"))
     sets = chosen.mapInArrow(sets_of("text", shingle), "first long, check long, set binary")
