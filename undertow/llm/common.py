@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,21 +54,29 @@ class Scratch:
     """Tables of one operator in the shared folder; those that no later step reads can be deleted."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.folder, self.paths = spark, work_dir(spark, name), {}
+        self.spark, self.folder, self.paths, self.made = spark, work_dir(spark, name), {}, 0
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}"
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that ``write`` returned. Nothing that is still to run may read them."""
+        """Deletes tables that ``write`` returned. Nothing that is still to run may read them.
+
+        What the steps before have shuffled goes too: Spark's cleaner deletes it once the JVM has found that
+        nothing refers to it any more, so both collectors are asked to look.
+        """
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(self.paths[id(table)][0])
             path.getFileSystem(conf).delete(path, True)
+            del self.paths[id(table)]
+        gc.collect()
+        jvm.java.lang.System.gc()
 
 
 def raw_bytes(column: pa.Array) -> list[bytes | None]:

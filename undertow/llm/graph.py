@@ -25,7 +25,6 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
             stepped = disk.write(hook.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
-            disk.drop(hook)
             hook = stepped
             if stepped.where("moved").isEmpty():
                 break

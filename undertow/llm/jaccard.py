@@ -35,6 +35,7 @@ BAND = 1.5  # ratio of set sizes that share a number of parts
 LEAF = 16  # points in a leaf of the tree
 TILE = 4096  # points of a block that one task holds at a time; larger blocks go through all pairs of their tiles
 LOW = 8  # of a set's blocks, those of least number, by which the block that tells a pair is known
+BROADCAST_KEYS = 4_000_000  # of 8 bytes each
 KNOWN = 200_000  # sets that a task remembers, so as to deal copies out once
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -356,15 +357,14 @@ def jaccard_components(
     named = ids.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
     points = disk.write(known.select("node", "first", "check", "n", "point").dropDuplicates(["node"]).join(low, "node").join(named, "node"))
     disk.drop(f)
-    sets = disk.write(_sets(texts, points, shingle))
 
     order = ["block", "root", F.xxhash64("node", "block")]
-    linked, tried, roots = None, None, points.select("node", F.col("node").alias("root"))
+    pairs, roots = Pairs(disk, texts, points, shingle, numer, denom), points.select("node", F.col("node").alias("root"))
     rooted = lambda roots: points.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     for _ in range(2):
         rows = _mixed(disk, members, rooted(roots)).join(points.select("node", "n", "point"), "node")
         found = _dealt(rows, ["block"], order).mapInArrow(neighbours(numer, denom), "a long, b long").distinct()
-        linked, tried, roots = _joined(disk, sets, found, linked, tried, numer, denom)
+        roots = pairs.roots(found)
 
     placed = _mixed(disk, members, rooted(roots))
     tiles = placed.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
@@ -373,8 +373,8 @@ def jaccard_components(
     rows = placed.join(tiles, "block").withColumn("tile", tile).select("block", "node", "root", "tile", F.explode(met).alias("m"))
     rows = rows.select("block", "node", "root", "tile", "m.i", "m.j").join(points.select("node", "n", "point", "low"), "node")
     found = _dealt(rows, ["block", "i", "j"], ["block", "i", "j"]).mapInArrow(across(numer, denom), "a long, b long").distinct()
-    linked, tried, roots = _joined(disk, sets, found, linked, tried, numer, denom)
-    disk.drop(sets, points, members)
+    roots = pairs.roots(found)
+    disk.drop(pairs.sets, points, members)
 
     own = ids.join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("root"))
     names = own.where("root is not null").groupBy("root").agg(F.min("key").alias("component_id"))
@@ -426,22 +426,36 @@ def _mixed(disk: Scratch, members: DataFrame, roots: DataFrame) -> DataFrame:
     return disk.write(placed.join(mixed.select("block"), "block"))
 
 
-def _joined(disk: Scratch, sets: DataFrame, found: DataFrame, linked, tried, numer: int, denom: int):
-    """Verifies the pairs that were not tried yet: all links, all tried pairs, the roots of the linked nodes."""
-    found = disk.write(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
-    a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    fresh = disk.write(found.join(a, "a").join(b, "b").mapInArrow(intersect(numer, denom), "a long, b long"))
-    linked = fresh if linked is None else linked.unionByName(fresh)
-    tried = found if tried is None else tried.unionByName(found)
-    return linked, tried, components(linked)
-
-
-def _sets(texts: DataFrame, points: DataFrame, shingle: int) -> DataFrame:
-    """The sets of the nodes that share a block: from the texts of one key each, or of all null keys where that is their only one."""
-    wanted = points.where("key is not null").select("key").distinct().hint("merge")  # as many as the corpus makes: never broadcast
-    chosen = texts.join(wanted, "key", "left_semi").select("text")
-    if not points.where("key is null").isEmpty():
-        chosen = chosen.unionByName(texts.where("key is null").select("text"))
-    sets = chosen.mapInArrow(sets_of("text", shingle), "first long, check long, set binary")
-    return sets.join(points.select("node", "first", "check"), ["first", "check"]).select("node", "set").dropDuplicates(["node"])
+class Pairs:
+    """The pairs that the trees have found so far: which were verified, and which link."""
+
+    def __init__(self, disk: Scratch, texts: DataFrame, points: DataFrame, shingle: int, numer: int, denom: int) -> None:
+        self.disk, self.texts, self.points, self.shingle, self.ratio = disk, texts, points, shingle, (numer, denom)
+        self.tried = self.linked = self.sets = None
+
+    def roots(self, found: DataFrame) -> DataFrame:
+        """Verifies the pairs of ``found`` that were not tried yet; the roots of all linked nodes."""
+        found = self.disk.write(found if self.tried is None else found.join(self.tried, ["a", "b"], "left_anti"))
+        self._fetch(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
+        a = self.sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+        b = self.sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+        fresh = self.disk.write(found.join(a, "a").join(b, "b").mapInArrow(intersect(*self.ratio), "a long, b long"))
+        self.linked = fresh if self.linked is None else self.linked.unionByName(fresh)
+        self.tried = found if self.tried is None else self.tried.unionByName(found)
+        return components(self.linked)
+
+    def _fetch(self, nodes: DataFrame) -> None:
+        """Adds the sets of ``nodes`` that aren't there: from the text of one key each, or of all null keys where a
+        node has no other. The keys are broadcast up to BROADCAST_KEYS; more are joined by a shuffle of the texts."""
+        old = self.sets
+        new = nodes if old is None else nodes.join(old.select("node"), "node", "left_anti")
+        wanted = self.disk.write(self.points.select("node", "first", "check", "key").join(new, "node", "left_semi"))
+        keys = wanted.where("key is not null").select("key").distinct()
+        few = wanted.count() <= BROADCAST_KEYS
+        chosen = self.texts.join(F.broadcast(keys) if few else keys.hint("merge"), "key", "left_semi").select("text")
+        if not wanted.where("key is null").isEmpty():
+            chosen = chosen.unionByName(self.texts.where("key is null").select("text"))
+        sets = chosen.mapInArrow(sets_of("text", self.shingle), "first long, check long, set binary")
+        sets = sets.join(wanted.select("node", "first", "check"), ["first", "check"]).select("node", "set").dropDuplicates(["node"])
+        self.sets = self.disk.write(sets if old is None else old.unionByName(sets))
+        self.disk.drop(wanted, *([] if old is None else [old]))
