@@ -25,7 +25,7 @@ from undertow.llm.common import raw_bytes, texts_in
 SPACE = "▁"
 UNKNOWN = 10.0  # below the lowest score, for each character without a piece
 NEVER_MERGED = -1e8  # models of merges mark pieces of spaces alone so; they count as just below the lowest score
-CACHE = 200_000  # chunks whose segmentation is kept, in each of two generations
+CACHE = 100_000  # chunks whose segmentation is kept, in each of two generations
 SIDE = 64  # characters of a chunk that goes side by side with others; longer ones go alone
 
 
