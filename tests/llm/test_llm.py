@@ -333,6 +333,79 @@ def test_wrapper(spark):
     assert r[3].text == "Story 3 & mo3re3 end3" and r[20].text == "T x y z" and (r[21].text, r[22].n_chars) == ("", 0)
 
 
+def article_pages(spark, rows):
+    return by_id(wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+
+
+def test_wrapper_template_tells_slots_without_any_mark(spark):
+    """Plain divs: what repeats over the host's articles goes, some variants of it too; what varies stays."""
+    page = "<html><body><div>Our site <b>today</b></div><div>{}</div><div>{}</div><div>Write to us</div></body></html>"
+    rows = [(i, "http://plain/x", page.format(f"Tip {i % 3}", "".join(f"<p>Story {i} part {k}</p>" for k in range(1 + i % 4)))) for i in range(30)]
+    r = article_pages(spark, rows)
+    assert all(r[i].text == " ".join(f"Story {i} part {k}" for k in range(1 + i % 4)) for i in range(30))
+
+
+def test_wrapper_near_copies_are_no_template(spark):
+    page = "<html><body><div><p>One long story</p><p>its middle {}</p><p>its end</p></div></body></html>"
+    r = article_pages(spark, [(i, "http://near/x", page.format("new" if i == 3 else "old")) for i in range(20)])
+    assert all(r[i].text.endswith("its end") and r[i].text.startswith("One long story its middle") for i in range(20))
+
+
+def test_wrapper_keeps_all_of_the_article(spark):
+    inside = [
+        '<p title="the hidden truth">one</p>', '<section class="legal">two</section>', '<p class="share-prices">three</p>', "<math><mi>x</mi></math> four",
+        '<p data-id="comments" aria-label="ad">five</p>', "<P>six &#233;&nbsp;&lt;b&gt;", "<pre>a\n  b</pre>",
+    ]
+    outside = ['<div class="comment-list">no</div>', '<p hidden>no</p>', '<div id="cookie-banner">no</div>', "<aside>no</aside>", '<form>no</form>', '<div style="display: none">no</div>', "<script>no</script>", "<!-- no -->"]
+    rows = [(1, "http://a/1", f"<body><main><article>{''.join(inside + outside)}</article><article><p>a longer second article of the page</article></main>")]
+    rows += [(2, "http://a/2", "<div>" * 20_000 + "deep" + "</div>" * 20_000), (3, "http://a/3", "x" + "<b" * 50_000), (5, "http://a/5", "<p>shown</p><!-- a > b"), (6, "http://a/6", "<p>shown</p><script>a > b"), (4, None, "no markup"), (4, None, "no markup"), (None, "x", "<p>p</p>")]
+    r = article_pages(spark, rows)
+    assert r[1].text == "one two three x four five six é <b> a b a longer second article of the page"
+    assert r[5].text == r[6].text == "shown" and r[3].n_chars == 100_001
+    assert r[2].text == "deep" and r[4].text == "no markup" and r[None].text == "p"
+    assert article_pages(spark, []) == {}
+    twice = wrapper.extract(spark.createDataFrame(rows[-3:], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("host", F.lit(2)))
+    assert twice.columns == ["page_id", "url", "html", "host", "text", "n_chars"] and twice.count() == 3
+
+
+def brute_matching(a, b):
+    """Simple tree matching by its definition."""
+    if a[0] != b[0]:
+        return 0
+    m = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute_matching(x, y))
+    return 1 + m[-1][-1]
+
+
+def test_shapes_weigh_as_simple_tree_matching():
+    rng = np.random.default_rng(7)
+
+    def tree(deep):
+        return ("abc"[rng.integers(3)], [tree(deep - 1) for _ in range(rng.integers(0, 4))] if deep else [])
+
+    shapes = wrapper.Shapes()
+    number = lambda t: shapes.number(t[0], tuple(number(c) for c in t[1]))
+    for _ in range(300):
+        a, b = ("r", tree(3)[1]), ("r", tree(3)[1])
+        assert shapes.weight(number(a), number(b)) == brute_matching(a, b)
+
+
+def test_templates_do_not_depend_on_the_order_of_tasks():
+    pages = [wrapper.parse("<div>" + "".join(f"<p>{i} {k}</p>" for k in range(1 + i % 3)) + "</div><i>same</i>") for i in range(6)]
+    shapes, trees = wrapper.Shapes(), []
+    for i, p in enumerate(pages):
+        trees.append(wrapper.as_template(p, i))
+        wrapper.numbered(trees[-1], shapes)
+    dump = wrapper.dumped(wrapper.loaded(wrapper.dumped(trees[2])))
+    assert dump == wrapper.dumped(trees[2])
+    t = trees[0]
+    for u in trees[1:]:
+        t = wrapper.merge(t, u, shapes)
+    assert [c.sig for c in t.children] == ["div", "i"] and len(t.children[0].children) == 3 and len(t.children[1].children[0].sample) == 6
+
+
 def test_wrapper_copies_and_split_articles(spark):
     page = "<html><body><nav>Menu</nav><div>Always here</div>{}<footer>f</footer></body></html>"
     rows = [(i, "http://copies/x", page.format("<div><p>One story</p><p>its end</p></div>")) for i in range(12)]
