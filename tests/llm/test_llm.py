@@ -159,21 +159,47 @@ def test_hilbert_shards(docs):
     assert {r.doc_id: (r["size"], r.text_crc32) for r in rows}[9] == (len(TEXTS[9].encode()) + 1, zlib.crc32(TEXTS[9].encode()))
 
 
+def licence_rows(spark, rows):
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    return [(r.doc_id, r) for r in out.collect()]
+
+
 def test_licenses(spark):
     text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. MIT License; mit-license."
-    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "GNU general public license"), (None, "apache license")], "doc_id long, text string")
-    r = by_id(licenses.scan_licenses(docs))
+    r = dict(licence_rows(spark, [(1, text), (2, None), (3, ""), (4, "GNU general public license"), (None, "apache license")]))
     assert (r[1].n_base, r[1].base_labels, r[1].labels, r[1].first_word) == (2, "mit", "mit", 20)
     assert (r[2].n_words, r[2].labels, r[4].base_labels, r[None].labels) == (0, "", "gpl", "apache")
-
-
-def test_licenses_of_several_texts_in_one_file(spark):
-    full = {label: text for label, _, text in licenses.TEMPLATES}
-    files = [full["mit"], full["bsd"]], [full[x] for x in ("mit", "bsd", "gpl", "mpl")]
-    rows = [(i, " some words between ".join(f)) for i, f in enumerate(files)] + [(i, full["mit"]) for i in range(10, 20)]
-    r = by_id(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert [r[i].labels for i in (0, 1, 10)] == ["bsd,mit", "bsd,gpl,mit,mpl", "mit"]
-    assert r[0].score == r[1].score == 1.0
+    assert licence_rows(spark, []) == []
+
+
+def test_licence_base_columns_against_brute_force(spark):
+    import re
+
+    rng, words = np.random.default_rng(8), ["mit", "license", "License,", "apache", "general", "public", "PUBLIC", "gnu", "the", "é", "licence", "\n", "-", "under"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 60)))) for i in range(300)]
+    rows += [(7, "mit license again"), (8, rows[8][1]), (9, None)]
+    got = sorted((k, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for k, r in licence_rows(spark, rows))
+    want = []
+    for key, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        at = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        want.append((key, len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_licence_texts_are_told_apart_and_apart_from_prose(spark):
+    full = [t for _, _, t in licenses.TEMPLATES]
+    label = [x for x, _, _ in licenses.TEMPLATES]
+    rows = [(i, f"Some words before. {t}\nand after") for i, t in enumerate(full)]
+    rows += [(100, " some words between ".join(full)), (101, "the software is provided with a permission notice and the following conditions of use"), (102, "Licensed under CC BY-NC 4.0."), (103, "licensed for all by nc and cc 4 0 under")]
+    mit = full[0].split()
+    rows += [(104, " ".join(mit[40:])), (105, " ".join(w for i, w in enumerate(mit) if i % 6 or i < 40)), (106, " ".join(mit[::2]))]
+    r = dict(licence_rows(spark, rows))
+    own = {"gpl"}  # the base phrase stands in the lesser and the affero licences too
+    for i in range(len(full)):
+        assert set(r[i].labels.split(",")) - own == {label[i]} - own and r[i].score == 1.0, (i, r[i])
+    assert r[100].labels == ",".join(sorted(set(label))) and r[101].labels == r[103].labels == r[104].labels == r[106].labels == ""
+    assert r[102].labels == "cc-by-nc" and r[105].labels == "mit"
 
 
 def piece_model():

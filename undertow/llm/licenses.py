@@ -1,55 +1,107 @@
 """License scans with a positional index of rare licence words, in DataFrame operations only.
 
-Templates' words and their positions form the index. Each template is looked up by its own highest-IDF
-words, so many that an alignment with enough words in place must have two of them; postings that agree on
-``position in file - position in template`` propose an alignment, and an alignment stands if enough of the
-template's words are in place and its key phrase is there in full. Other texts in a file take no lookups away.
+Templates' words and their positions form the index. A first pass counts in how many of all files each of
+their words stands. Each template is then looked up by its own words of highest IDF, so many that an alignment
+with enough words in place must have two of them. Postings that agree on ``position in file - position in
+template`` propose an alignment, and it stands if enough of the template's words are in place and its key
+phrases are in the file in full. The base phrases are templates that need all their words in place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from undertow.llm.common import written
+from undertow.llm.common import Scratch
 
 #: Phrases whose every place counts, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label, key phrase that must be present, and template text (normalised public licence wording).
+#: Label, phrases that must all be present, and template text, in public licence wording.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license", "licensed under the apache license version 2 0"),
-    ("gpl", "gnu general public license", "under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "affero general public license", "under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "mozilla public license", "subject to the terms of the mozilla public license"),
-    ("cc", "creative commons attribution", "licensed under a creative commons attribution international license"),
+    ("mit", ["permission is hereby granted free of charge", "the software is provided as is"], """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
+        BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+        OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("mit", ["permission is hereby granted free of charge"], """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files"""),
+    ("isc", ["permission to use copy modify and or distribute this software"], """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("bsd", ["redistribution and use in source and binary forms"], """
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution."""),
+    ("bsd", ["redistribution and use in source and binary forms"], """
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met"""),
+    ("apache", ["apache license"], """
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+        law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License."""),
+    ("apache", ["apache license"], "Licensed under the Apache License, Version 2.0"),
+    ("gpl", ["gnu general public license"], """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("gpl", ["gnu general public license"], "licensed under the GNU General Public License, version 3"),
+    ("lgpl", ["lesser general public license"], """
+        This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+        version."""),
+    ("lgpl", ["lesser general public license"], "licensed under the GNU Lesser General Public License, version 3"),
+    ("agpl", ["affero general public license"], """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version."""),
+    ("agpl", ["affero general public license"], "licensed under the GNU Affero General Public License, version 3"),
+    ("mpl", ["mozilla public license"], """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("unlicense", ["free and unencumbered software", "released into the public domain"], """
+        This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means."""),
+    ("zlib", ["altered source versions must be plainly marked"], """
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+        for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+        purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+        software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("cc-by", ["cc by 4"], "Licensed under CC BY 4.0"),
+    ("cc-by-sa", ["cc by sa"], "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nc", ["cc by nc"], "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nd", ["cc by nd"], "Licensed under CC BY-ND 4.0"),
+    ("cc-by", ["creative commons attribution 4"], "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", ["attribution sharealike"], "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", ["attribution noncommercial"], "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", ["attribution noderivatives"], "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
 ]
-#: Words too common in prose to index.
-STOP = set("a an and any are as at be by can for free from in is it of on or that the this to under use with you are met without following 2 0".split())
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The least share of a template's indexed words in place.
+#: The least share of a template's words in place.
 COVERAGE = 0.7
 
 
-def _index(spark: SparkSession) -> DataFrame:
-    """tpl, label, base, token, tpos, size: postings of all templates. Some hundred rows, fixed."""
-    rows = []
-    for phrase, label in BASE.items():
-        words = phrase.split()
-        rows += [(f"base:{phrase}", label, True, w, i, len(words)) for i, w in enumerate(words)]
-    for label, key, text in TEMPLATES:
-        words = text.split()
-        kept = [(i, w) for i, w in enumerate(words) if w not in STOP]
-        rows += [(f"text:{label}", label, False, w, i, len(kept)) for i, w in kept]
-        kept = [(i, w) for i, w in enumerate(key.split()) if w not in STOP]
-        rows += [(f"key:{label}", label, False, w, i, len(kept)) for i, w in kept]
-    return spark.createDataFrame(rows, "tpl string, label string, base boolean, token string, tpos int, size int")
-
-
-VOCAB = sorted({w for p in BASE for w in p.split()} | {w for _, k, t in TEMPLATES for w in (k + " " + t).split()} - STOP)
+def template_rows(coverage: float = COVERAGE) -> list[tuple]:
+    """tpl, label, base, words, keys, need: the words that must be in place."""
+    words = lambda text: [w for w in re.split(SEPARATORS, text.lower()) if w]
+    rows = [(i, label, True, words(phrase), [f" {phrase} "], len(words(phrase))) for i, (phrase, label) in enumerate(BASE.items())]
+    for i, (label, keys, text) in enumerate(TEMPLATES):
+        own = words(text)
+        rows.append((len(BASE) + i, label, False, own, [f" {k} " for k in keys], max(2, -int(-len(own) * coverage // 1))))
+    return rows
 
 
 def words_column(text: str):
@@ -58,67 +110,65 @@ def words_column(text: str):
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), "")
 
 
+def rare_positions(docs: DataFrame, templates: DataFrame, text: str = "text") -> DataFrame:
+    """tpl, need, size, token, tpos: each template's positions of highest IDF by which it is looked up.
+
+    An alignment that stands lacks at most size - need of its words, so of any size - need + 2 of them it has two.
+    The document frequency of a word counts all rows of ``docs``; a word that no row has comes first.
+    """
+    vocab = sorted({w for _, _, _, words, _, _ in template_rows() for w in words})
+    own = F.array_distinct(F.filter(words_column(text), lambda w: w.isin(vocab)))
+    df = docs.select(F.explode(own).alias("token")).groupBy("token").agg(F.count("*").alias("df"))  # a row a template word
+    index = templates.select("tpl", "need", F.size("words").alias("size"), F.posexplode("words").alias("tpos", "token"))
+    by_tpl = Window.partitionBy("tpl").orderBy(F.coalesce("df", F.lit(0)), "token", "tpos")  # least frequency: highest IDF
+    ranked = index.join(F.broadcast(df), "token", "left").withColumn("rank", F.row_number().over(by_tpl))
+    return ranked.where(F.col("rank") <= F.col("size") - F.col("need") + 2).drop("rank", "df")
+
+
 def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """``key, n_words, n_base, first_word, last_word, base_labels, labels, score, hits`` for every row.
+    """``key, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row.
 
-    Base phrases are templates that need all their words in place. ``labels`` has those of base phrases
-    and of aligned templates; ``hits`` lists (template, label, position, coverage); ``score`` is the best
-    coverage, 0 without any. Null and empty texts have no words and no labels (empty strings). Rows
-    repeated with one key and text get equal results; null keys are matched as values.
+    ``labels`` has those of base phrases and of aligned templates; ``score`` is the best share of a template's
+    words in place among those that stand, 0 without any. Null and empty texts have no words and no labels (empty
+    strings); an empty table gives no rows. Rows repeated with one key and text get equal results, rows with one
+    key and several texts each their own; null keys are matched as values. Other columns play no part.
     """
-    spark = docs.sparkSession
+    spark: SparkSession = docs.sparkSession
+    disk = Scratch(spark, "licences")
+    schema = "tpl int, label string, base boolean, words array<string>, keys array<string>, need int"
+    templates = F.broadcast(spark.createDataFrame(template_rows(coverage), schema))
+    rare = disk.write(rare_positions(docs, templates, text))
+    looked = [r.token for r in rare.select("token").distinct().orderBy("token").collect()]  # words of the templates
     counted = docs.select(F.col(key).alias("_own"), F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), words_column(text).alias("_w"))
-    vocab = F.array(*map(F.lit, VOCAB))
-    found = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("pos"), w.alias("token"))), lambda s: s["token"].isin(VOCAB))
-    rows = written(
-        counted.select(
+    found = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("pos"), w.alias("token"))), lambda s: s["token"].isin(looked))
+    rows = disk.write(
+        counted.withColumn("occ", found).select(
             "_own", "_key", "_h", F.size("_w").cast("long").alias("n_words"),
-            F.when(F.size(F.array_intersect("_w", vocab)) >= 2, found).alias("occ"),
-        ),
-        "licence-words",
+            F.when(F.size("occ") >= 2, F.col("occ")).alias("occ"), F.when(F.size("occ") >= 2, F.col("_w")).alias("words"),
+        )
     )
     ids = ["_key", "_h"]
-    occ = (
-        rows.where("occ is not null").select(*ids, F.explode("occ").alias("o"))
-        .select(*ids, "o.pos", "o.token").dropDuplicates([*ids, "pos"])
-    )
-    occ = written(occ, "licence-occ")
-    n_docs = rows.count()
-    idf = F.broadcast(  # one row a licence word
-        occ.groupBy("token").agg(F.countDistinct(F.struct(*ids)).alias("df")).select("token", F.log(F.lit(n_docs + 1.0) / F.col("df")).alias("idf"))
-    )
-    # An alignment that stands lacks at most size - need of its template's words: any size - need + 2 of them hold two in place.
-    index, need = _index(spark), F.ceil(F.col("size") * coverage)
-    by_tpl = Window.partitionBy("tpl").orderBy(F.desc_nulls_first("idf"), "token", "tpos")
-    rare = index.where("tpl like 'text:%'").join(idf, "token", "left").withColumn("rank", F.row_number().over(by_tpl))
-    rare = F.broadcast(rare.where(F.col("rank") <= F.col("size") - need + 2).drop("idf", "rank"))
-    index = F.broadcast(index)
-    rel = (F.col("pos") - F.col("tpos")).alias("at")
-
-    def aligned(postings: DataFrame) -> DataFrame:
-        return postings.groupBy(*ids, "tpl", "label", "base", "size", "at").agg(F.count("*").alias("hit"))
-
-    # Base phrases and keys are aligned on all licence words.
-    looked = aligned(occ.join(rare, "token").select("*", rel))
-    full = aligned(occ.join(index, "token").where("tpl not like 'text:%'").select("*", rel)).where("hit = size")
-    proposals = looked.where(F.col("hit") >= F.least(need, F.lit(2))).select(*ids, "tpl", "at").distinct()
-    verified = (
-        aligned(occ.join(index, "token").where("tpl like 'text:%'").select("*", rel).join(proposals, [*ids, "tpl", "at"], "left_semi"))
-        .where(F.col("hit") >= F.col("size") * coverage)
-    )
-    keys = full.where("tpl like 'key:%'").select(*ids, "label").distinct()
-    hits = full.where("base").unionByName(verified.join(keys, [*ids, "label"], "left_semi"))
-    share = F.col("hit") / F.col("size")
+    files = rows.where("occ is not null")
+    postings = files.select(*ids, F.explode("occ").alias("o")).select(*ids, "o.pos", "o.token").dropDuplicates([*ids, "pos"])
+    at = (F.col("pos") - F.col("tpos")).alias("at")
+    proposed = postings.join(F.broadcast(rare), "token").select(*ids, "tpl", at).groupBy(*ids, "tpl", "at").agg(F.count("*").alias("hit"))
+    proposed = disk.write(proposed.where("hit >= 2").drop("hit"))
+    texts = files.select(*ids, "words").join(proposed.select(*ids).distinct(), ids, "left_semi").dropDuplicates(ids)
+    own = templates.select("tpl", "label", "base", "need", "keys", F.col("words").alias("t"))
+    tried = texts.join(proposed, ids).join(F.broadcast(own), "tpl")
+    in_place = F.size(F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("words", F.col("at") + i) == F.get("t", i)))
+    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    stands = tried.withColumn("hit", in_place).where("hit >= need").where(F.forall("keys", lambda k: F.contains(line, k)))
     base_at = F.when(F.col("base"), F.col("at"))
-    per_doc = hits.groupBy(*ids).agg(
+    per_doc = stands.groupBy(*ids).agg(
         F.count_if("base").alias("n_base"),
         F.min(base_at).cast("long").alias("first_word"),
         F.max(base_at).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
-        F.max(share).alias("score"),
+        F.max(F.col("hit") / F.size("t")).alias("score"),
     )
-    return rows.drop("occ").join(per_doc, ids, "left").select(
+    return rows.drop("occ", "words").join(per_doc, ids, "left").select(
         F.col("_own").alias(key), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
