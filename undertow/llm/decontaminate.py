@@ -7,21 +7,24 @@ a shorter item) marks its words as hit. The items that own a window hang at the
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from undertow.llm.common import raw_bytes, texts_in, words_of
+from undertow.llm.common import raw_bytes, texts_in, words_of, written
 
 WINDOW = 10
-#: Words of test items that one automaton holds; more items make more automata, one scan step each.
-AUTOMATON_WORDS = 2_000_000
+#: Words of test items that one automaton holds (about 100 bytes each, pickled); more items make more automata, one pass each.
+AUTOMATON_WORDS = 500_000
 
 
 class SuffixAutomaton:
@@ -141,19 +144,45 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _automata(items: DataFrame, item_id: str, text: str, window: int) -> Iterator[SuffixAutomaton]:
-    """One automaton for each AUTOMATON_WORDS words of the items, read one row at a time."""
-    part, size = [], 0
-    for row in items.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
-        words = words_of(row[1].encode()) if row[1] else []
-        if row[0] is None or not words:
-            continue
-        if part and size + len(words) > AUTOMATON_WORDS:
-            yield SuffixAutomaton(window).build(part)
-            part, size = [], 0
-        part.append((row[0], words))
-        size += len(words)
-    yield SuffixAutomaton(window).build(part)
+def build_automata(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
+    """``part, nth, automaton`` (pickled): built in tasks, each from at most AUTOMATON_WORDS words (or one longer item)."""
+    most = AUTOMATON_WORDS
+    items = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    sizes = items.mapInArrow(_word_counts, "words long").agg(F.sum("words").alias("n"))
+    parts = max(1, -(-2 * (sizes.first()["n"] or 0) // most))  # one number
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth, own, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            made = pickle.dumps(SuffixAutomaton(window).build(own), pickle.HIGHEST_PROTOCOL)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([made], pa.binary())], names=["part", "nth", "automaton"])
+
+        for batch in texts_in(batches):
+            for item, raw in zip(batch.column("item").to_pylist(), raw_bytes(batch.column("text")), strict=True):
+                words = words_of(raw)
+                if own and size + len(words) > most:
+                    yield row()
+                    nth, own, size = nth + 1, [], 0
+                if words:
+                    own.append((item, words))
+                    size += len(words)
+        if own:
+            yield row()
+
+    dealt = items.repartition(parts, F.xxhash64("item", "text"))
+    return written(dealt.mapInArrow(build, "part int, nth int, automaton binary"), "automata")
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in texts_in(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([len(words_of(raw)) for raw in raw_bytes(batch.column("text"))], pa.int64())], names=["words"])
+
+
+@lru_cache(maxsize=1)
+def _loaded(raw: bytes) -> SuffixAutomaton:
+    """Python workers serve many tasks, and hold one automaton at a time."""
+    return pickle.loads(raw)
 
 
 def decontaminate(
@@ -182,15 +211,18 @@ def decontaminate(
     )
     out = docs.drop(*added.names)
     keep = [c for c in (columns or out.columns) if c in out.columns]
-    automata = _automata(items, item_id, item_text, window)
-    automaton, first = next(automata), True
-    while automaton is not None:
-        after = next(automata, None)
-        carried = keep if after is None else list(dict.fromkeys([*keep, text]))
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    table = build_automata(items, item_id, item_text, window)
+    names = [(r.part, r.nth) for r in table.select("part", "nth").orderBy("part", "nth").collect()]  # one row an automaton
+    empty = pickle.dumps(SuffixAutomaton(window).build([]))
+    for i, (part, nth) in enumerate(names or [(None, None)]):
+        last = i >= len(names) - 1
+        carried = keep if last else list(dict.fromkeys([*keep, text]))
+        raw = bytes(table.where((F.col("part") == part) & (F.col("nth") == nth)).first()["automaton"]) if names else empty
+        shared = docs.sparkSession.sparkContext.broadcast(raw)  # bounded: see AUTOMATON_WORDS
         schema = T.StructType([*(docs.schema[c] for c in carried), *added.fields])
-        out = out.mapInArrow(_scanner(shared, carried, first, text, min_span, coverage_limit, added), schema)
-        automaton, first = after, False
+        out = out.mapInArrow(_scanner(shared, carried, not i, text, min_span, coverage_limit, added), schema)
+        if not last:
+            out = written(out, "decontaminate")
     if text in keep:
         out = out.withColumn("clean_text", F.coalesce("clean_text", text))
     return out
@@ -198,7 +230,7 @@ def decontaminate(
 
 def _scanner(shared, carried: list[str], first: bool, text: str, min_span: int, limit: float, added: T.StructType):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton = _loaded(shared.value)
         for batch in texts_in(batches):
             rows: dict[str, list] = {name: [] for name in added.names}
             before = (
