@@ -34,6 +34,45 @@ def test_decontaminate(spark, docs):
     assert not decontaminate.report(docs, items.where("false")).where("contaminated").count()
 
 
+def brute_contamination(docs, items, window=10):
+    """(doc, words, hit words, items) by looking for each window of each item at each place."""
+    import re
+
+    words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
+    windows = {}
+    for item, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        for at in range(len(w) - n + 1 if w and item is not None else 0):
+            windows.setdefault(tuple(w[at : at + n]), set()).add(str(item))
+    out = []
+    for doc, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for at in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[at : at + n])):
+                    hit |= set(range(at, at + n))
+                    found |= own
+        out.append((doc, len(w), len(hit), ",".join(sorted(found))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("words", [500_000, 40])
+def test_decontaminate_against_brute_force(spark, monkeypatch, words):
+    """With one automaton and with several; repeated rows, clashing names, a very long text, short items, no items."""
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", words)
+    rng = np.random.default_rng(10)
+    text = lambda n, most=6: " ".join(rng.choice([f"W{i}" for i in range(most)], n))
+    items = [(i, text(rng.integers(0, 30))) for i in range(12)] + [(20, "w1 é"), (21, None), (None, "w1 w2"), (20, text(12)), (22, items0 := text(15)), (23, items0)]
+    docs = [(i, text(rng.integers(0, 80), 7)) for i in range(40)] + [(1, "é w1 é!"), (2, None), (2, None), (50, text(30_000, 9)), (None, items0)]
+    df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, n_hit int")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(df, it)
+    assert got.columns[:2] == ["doc_id", "text"] and got.columns.count("n_hit") == 1
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r.hit_items)) for r in got.collect()), key=str) == brute_contamination(docs, items)
+    assert decontaminate.decontaminate(df.where("false"), it).count() == 0
+
+
 def brute_components(rows, k, numer, denom):
     """(n_shingles, component) by comparing all pairs of word shingle sets."""
     sets = []
@@ -150,13 +189,55 @@ def test_hilbert_index_is_a_curve(spark):
     assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(path, path[1:]))
 
 
-def test_hilbert_shards(docs):
-    rows = hilbert.report(docs).collect()
-    slots = {}
+def check_shards(rows, texts, shards=16, over=0.0):
+    """Size, crc, gapless slots, whole groups; bytes of a shard near the mean but for ``over`` and the largest document."""
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in rows), key=str) == sorted(((k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in texts), key=str)
+    slots, where, size = {}, {}, {}
     for r in rows:
+        assert 0 <= r.shard < shards
         slots.setdefault(r.shard, []).append(r.slot)
-    assert len(rows) == len(TEXTS) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows}[9] == (len(TEXTS[9].encode()) + 1, zlib.crc32(TEXTS[9].encode()))
+        where.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
+        size[r.shard] = size.get(r.shard, 0) + r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean, count = sum(size.values()) / shards, {}
+    for _, t in texts:
+        count[t or ""] = count.get(t or "", 0) + len((t or "").encode()) + 1
+    for t, b in count.items():
+        assert b > mean or len(where[zlib.crc32(t.encode()), len(t.encode()) + 1]) == 1
+    longest = max(len((t or "").encode()) + 1 for _, t in texts)
+    assert all(abs(b - mean) <= over * mean + 2 * longest + 0.02 * mean for b in size.values())
+    return size
+
+
+def shards_of(spark, rows, **kw):
+    return hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), **kw)
+
+
+def test_hilbert_shards_keep_equal_texts_and_even_bytes(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["a", "bb", "ccc"], rng.integers(1, 40))) + str(i) for i in range(2000)]
+    texts += ["three equal texts of some length " * 30] * 3 + ["many equal short texts"] * 90 + [None, "", None]
+    rows = [(i, t, ["en", "de", None][i % 3], f"src{i % 7}") for i, t in enumerate(texts)]
+    check_shards(shards_of(spark, rows).collect(), [(r[0], r[1]) for r in rows])
+
+
+def test_hilbert_shards_of_hot_groups_repeats_and_no_rows(spark):
+    rows = [(i % 50, "hot text that fills many shards", "en", "s") for i in range(900)] + [(None, "x", None, None), (None, "x", None, None), (1, "y" * 400, "de", "s")]
+    size = check_shards(shards_of(spark, rows).collect(), [(r[0], r[1]) for r in rows])
+    assert len(size) == 16
+    assert shards_of(spark, []).count() == 0
+    few = shards_of(spark, [(1, "a", "en", "s"), (2, "a", "en", "s"), (3, "b", "de", "t")], shards=2).collect()
+    assert len(few) == 3 and all(sorted(r.slot for r in few if r.shard == k) == list(range(sum(r.shard == k for r in few))) for k in (0, 1))
+
+
+def test_shards_are_skipped_by_the_ranges_of_their_cells(spark):
+    rows = [(i, f"text {i} " + "w " * (i % 97), ["en", "de", "fr", "es"][i % 4], f"src{i % 9}") for i in range(3000)]
+    out = shards_of(spark, rows)
+    ranges, cells = hilbert.shard_ranges(out).collect(), out.select("cell0", "cell1", "cell2").distinct().collect()
+    for c in ("cell0", "cell1", "cell2"):
+        values = {r[c] for r in cells}
+        read = sum(r[f"{c}_min"] <= v <= r[f"{c}_max"] for v in values for r in ranges)
+        assert read < 0.8 * len(values) * len(ranges), (c, read)
 
 
 def licence_rows(spark, rows):
