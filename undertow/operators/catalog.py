@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars as S
+from undertow.operators.running import running
 
 #: Name, period range, grid size, gates, weights of the four score parts.
 PROFILES = [
@@ -54,9 +55,11 @@ def display(rows: DataFrame, null_centroid_as_zero: bool = True) -> DataFrame:
 
 def rank_candidates(rows: DataFrame, by: str, key: str = "tic_id", group: str | None = None, k: int | None = None) -> DataFrame:
     """``rank`` by ``by`` descending, then key; the first k of each group, or of all."""
-    if group is None and k is not None:
+    if group is None and k is None:
+        return running(rows, by, {"rank": F.lit(1)}, [F.col(key)])
+    if group is None:
         rows = rows.orderBy(F.desc(by), key).limit(k)
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(F.desc(by), key)
+    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(F.desc(by), key)  # k rows without a group
     out = rows.withColumn("rank", F.row_number().over(w))
     return out.where(F.col("rank") <= k) if k is not None else out
 
@@ -121,7 +124,19 @@ def progress_summary(log: DataFrame, key: str = "tic_id") -> DataFrame:
 
 
 def throughput(log: DataFrame) -> DataFrame:
-    """Finished rows an hour between the first and last time."""
+    """Finished rows an hour between the first and last time; null if there is no time between."""
     done = log.where("last_stage = 'DONE'")
     hours = (F.unix_micros(F.max("updated_at")) - F.unix_micros(F.min("updated_at"))) / 3.6e9
-    return done.agg(F.count("*").alias("finished"), F.round(F.count("*") / hours, 6).alias("per_hour"))
+    return done.agg(F.count("*").alias("finished"), F.round(F.count("*") / F.nullif(hours, F.lit(0.0)), 6).alias("per_hour"))
+
+
+def timing_summary(timings: DataFrame) -> DataFrame:
+    """Mean milliseconds of each stage and in all, over the finished series of a timings table."""
+    return timings.agg(F.count("*").alias("series"), *(F.round(F.avg(f"{c}_ms"), 6).alias(f"mean_{c}_ms") for c in ("phase1", "phase2", "phase3", "predict", "total")))
+
+
+def sweep_progress(completed: DataFrame, start: int, end: int) -> DataFrame:
+    """done, total, share: how many of the sectors from start to end are completed."""
+    done = F.count_distinct(F.when(F.col("sector").between(start, end), F.col("sector")))
+    total = end - start + 1
+    return completed.agg(done.alias("done"), F.lit(total).cast("long").alias("total"), F.round(done / F.lit(total), 6).alias("share"))

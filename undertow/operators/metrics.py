@@ -1,13 +1,15 @@
 """Classifier metrics as aggregates and windows over (label, score) rows.
 
-Curves first group rows by distinct score, so the ordered windows run over scores, not rows.
+Curves first group rows by distinct score; running sums go range by range of the score.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undertow.operators.running import running
+
 
 def confusion(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     y, p = F.col("label") == 1, F.col("score") >= threshold
@@ -23,8 +25,7 @@ def precision_recall_f1(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def _by_score(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    return per.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
+    return running(per, "score", {"tp": F.col("p"), "fp": F.col("n")})
 
 
 def cumulative_pr(rows: DataFrame) -> DataFrame:
@@ -48,12 +49,13 @@ def average_precision(rows: DataFrame) -> DataFrame:
 
 def pr_auc_trapezoid(rows: DataFrame, key: str = "id") -> DataFrame:
     """Trapezoids between row after row in order of score, then key; no anchor at recall 0."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), key)
-    y = (F.col("label") == 1).cast("int")
-    total = rows.agg(F.sum(y)).first()[0] or 0
-    c = rows.withColumn("tp", F.sum(y).over(w)).withColumn("fp", F.sum(1 - y).over(w))
-    c = c.withColumn("pr", F.col("tp") / (F.col("tp") + F.col("fp") + 1e-10)).withColumn("re", F.col("tp") / F.lit(total + 1e-10))
-    return c.withColumn("a", (F.col("re") - F.lag("re").over(w)) * (F.col("pr") + F.lag("pr").over(w)) / 2).agg(F.round(F.sum("a"), 6).alias("pr_auc"))
+    y = (F.col("label") == 1).cast("long")
+    total = F.coalesce(rows.agg(F.sum(y).alias("y")).scalar(), F.lit(0)) + 1e-10
+    c = running(rows, "score", {"tp": y, "fp": 1 - y}, [F.col(key)])
+    pr = lambda tp, fp: tp / (tp + fp + 1e-10)
+    tp, fp = F.col("tp"), F.col("fp")
+    step = y / total * (pr(tp, fp) + pr(tp - y, fp - (1 - y))) / 2  # the row before has this row's counts less its own
+    return c.agg(F.round(F.sum(F.when(tp + fp > 1, step)), 6).alias("pr_auc"))
 
 
 def log_loss_accuracy(rows: DataFrame) -> DataFrame:

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undertow.functions.scalars import centroid_or_zero
 from undertow.operators.metrics import precision_recall_f1
+from undertow.operators.running import running
 
 
-def train_val_split(rows: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """By a hash of the key: fixed, and the same for any partitioning. About ``share`` of the rows validate."""
-    side = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), 1, 6), 16, 10).cast("long") < int(share * 16**6)
-    return rows.where(~side), rows.where(side)
+def train_val_split(rows: DataFrame, key: str, fifth: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """max(1, n // fifth) of the n rows validate: those of least hash of the key, the same for any partitioning."""
+    order = F.xxhash64(F.col(key).cast("string"), F.lit(seed)).cast("double")
+    ranked = running(rows.withColumn("_order", order), "_order", {"_rank": F.lit(1)}, [F.col(key)])
+    n_val = F.greatest(F.lit(1), F.floor(rows.agg(F.count("*").alias("n")).scalar() / fifth))
+    split = ranked.withColumn("_val", F.col("_rank") <= n_val)
+    return split.where("not _val").select(*rows.columns), split.where("_val").select(*rows.columns)
 
 
 def augment(rows: DataFrame, key: str, copies: int = 1, seed: int = 7) -> DataFrame:
-    """Copies with noise, shift, mask and scale of the global view; randomness from a hash of key and copy."""
+    """Copies with Gaussian noise on both views, and shift, mask and scale of the global one; randomness from a hash of
+    key and copy."""
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
 
     def u(tag: str) -> Column:
@@ -35,11 +43,20 @@ def augment(rows: DataFrame, key: str, copies: int = 1, seed: int = 7) -> DataFr
     masked = u("m?") < 0.3
     noise = F.when(u("n?") < 0.5, 0.002).otherwise(0.0)
 
+    def normal(i: Column, view: str) -> Column:
+        """Box-Muller on two hashes."""
+        a, b = ((F.pmod(F.xxhash64(F.col(key), F.col("_copy"), i, F.lit(f"{seed}{view}{k}")), F.lit(1_000_000)) + 0.5) / 1e6 for k in "ab")
+        return F.sqrt(-2 * F.log(a)) * F.cos(2 * pi * b)
+
     def value(x: Column, i: Column) -> Column:
-        z = (F.pmod(F.xxhash64(F.col(key), F.col("_copy"), i), F.lit(1_000_000)) / 1e6 - 0.5) * 12**0.5
-        return F.when(masked & (i >= start) & (i < start + width), 0.0).otherwise(x * scale + z * noise)
+        return F.when(masked & (i >= start) & (i < start + width), 0.0).otherwise(x * scale + normal(i, "g") * noise)
 
-    return rows.withColumn("global_view", F.when(F.col("_copy") == 0, F.col("global_view")).otherwise(F.transform(g, value))).drop("_copy")
+    first = F.col("_copy") == 0
+    local = F.transform("local_view", lambda x, i: x + normal(i, "l") * noise)
+    return rows.withColumns({
+        "global_view": F.when(first, F.col("global_view")).otherwise(F.transform(g, value)),
+        "local_view": F.when(first, F.col("local_view")).otherwise(local),
+    }).drop("_copy")
 
 
 def fit_classifier(rows: DataFrame, kind: str = "logistic", **params) -> PipelineModel:
@@ -75,3 +92,24 @@ def select_by_f1(train: DataFrame, val: DataFrame, grid: list[dict]) -> tuple[Pi
         if f1 > best[1]:
             best = (model, f1)
     return best
+
+
+def save_model(model: PipelineModel, scores: DataFrame | None, path: str) -> None:
+    """The model, and its one row of metrics beside it; an older one is replaced."""
+    model.write().overwrite().save(f"{path}/model")
+    if scores is not None:
+        scores.write.mode("overwrite").json(f"{path}/metrics")
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(f"{path}/model")
+
+
+def score_with(rows: DataFrame, make_predict, batch_size: int = 32) -> DataFrame:
+    """``prob_planet`` by a user's own model. ``make_predict`` returns a function from a NumPy matrix, a row for each
+    series (global view, local view, centroid, all of the same length), to probabilities; it is called once in each
+    Python worker."""
+    sizes = rows.select((F.size("global_view") + F.size("local_view") + 1).alias("n")).first()
+    shape = [sizes["n"] if sizes else 1]
+    predict = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[shape])
+    return rows.withColumn("prob_planet", predict(F.concat("global_view", "local_view", F.array(centroid_or_zero(F.col("centroid_offset"))))))

@@ -18,6 +18,7 @@ from pyspark.sql import Window
 from undertow.functions.scalars import log_period
 
 BINS = 20
+LIMIT = 80_000  # rows of a series that a search visits
 BEST = "series_id string, best_period double, epoch double, max_power double, best_bin int"
 
 
@@ -136,8 +137,14 @@ def _best_numpy(t: np.ndarray, flux: np.ndarray, periods: np.ndarray, bins: int,
     return best[1], t.min() + best[2] / bins * best[1], best[3], best[2]
 
 
-def search_grouped(series: DataFrame, low: float, high: float, *, coarse: int = 2000, refine: int = 3000, bins: int = BINS) -> DataFrame:
-    """Both passes for each series in one visit: one shuffle on series_id, NumPy over Arrow."""
+def search_grouped(series: DataFrame, low: float, high: float, *, coarse: int = 2000, refine: int = 3000, bins: int = BINS, limit: int | None = LIMIT) -> DataFrame:
+    """Both passes for each series in one visit: one shuffle on series_id, NumPy over Arrow.
+
+    A series of over ``limit`` rows is thinned to ``limit`` evenly spaced ones first, so a task holds no more.
+    """
+    series = series.where("flux is not null and not isnan(flux) and t is not null").select("series_id", "t", "flux")
+    if limit is not None:
+        series = downsample(series, limit)
     lo, hi = np.log(low), np.log(high)
     grid = np.round(np.exp(lo + np.arange(coarse) * ((hi - lo) / (coarse - 1))), 9)
 
@@ -155,7 +162,10 @@ def search_grouped(series: DataFrame, low: float, high: float, *, coarse: int =
     return series.groupBy("series_id").applyInPandas(one, BEST)
 
 
-def single_pass(series: DataFrame, low: float, high: float, n: int, **options) -> DataFrame:
+def single_pass(series: DataFrame, low: float, high: float, n: int, form: str = "grouped", **options) -> DataFrame:
+    """The best of n log-spaced periods. Options of the box search (guard, width, ...) take the ``sql`` form."""
+    if form == "grouped" and not options:
+        return search_grouped(series, low, high, coarse=n, refine=0, limit=None)
     return best_of(box_power(series, period_grid(series.sparkSession, low, high, n), **options))
 
 
@@ -163,7 +173,7 @@ def two_pass(series: DataFrame, low: float, high: float, *, coarse: int = 2000,
     """Coarse log grid, then a linear grid around each winner; the refined winner is the answer."""
     if form == "grouped":
         return search_grouped(series, low, high, coarse=coarse, refine=refine)
-    first = single_pass(series, low, high, coarse)
+    first = single_pass(series, low, high, coarse, form="sql")
     return best_of(box_power(series, refine_grid(first, low, high, refine)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions import scalars as S
 from undertow.operators import catalog, clean, fold, metrics, ml, search
+from undertow.sources import io
 
 
 @dataclass(frozen=True)
@@ -66,12 +67,71 @@ def sweep(series: DataFrame, known: DataFrame, cfg: Config = Config(), model: Pi
 
 
 def sector_summary(swept: DataFrame) -> DataFrame:
+    """Counts of each sector's series, and of the candidates among them by what is known of them."""
     return swept.groupBy("sector").agg(
         F.count("*").alias("done"), F.count_if(S.is_candidate(F.col("status"))).alias("candidates"),
         F.count_if(F.col("discovery_status") == "KNOWN").alias("known"), F.count_if(F.col("discovery_status") == "NEW_CANDIDATE").alias("new"),
     )
 
 
+def search_stage(series: DataFrame, stored: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Best periods with their search's parameters, from the stage table where it has this search, else computed.
+
+    ``stored`` and the result: series_id, sector, period_min, period_max, nperiods, best_period, epoch, max_power. A
+    stored row counts only if all its parameters are this search's. ``series`` has series_id, sector, t, flux.
+    """
+    own = {"period_min": cfg.low, "period_max": cfg.high, "nperiods": cfg.coarse + cfg.refine}
+    had = stored.where(" and ".join(f"{k} = {v!r}" for k, v in own.items()))
+    keys = series.select("series_id", "sector").distinct()
+    todo = series.join(had.select("series_id", "sector"), ["series_id", "sector"], "left_anti")
+    both = todo.withColumn("series_id", F.concat_ws("|", F.col("sector").cast("string"), "series_id"))
+    found = search.two_pass(both, cfg.low, cfg.high, coarse=cfg.coarse, refine=cfg.refine, form=cfg.form)
+    part = F.split("series_id", r"\|", 2)
+    found = found.withColumns({"sector": part[0].cast(series.schema["sector"].dataType), "series_id": part[1], **{k: F.lit(v) for k, v in own.items()}})
+    cols = ["series_id", "sector", *own, "best_period", "epoch", "max_power"]
+    return had.join(keys, ["series_id", "sector"], "left_semi").select(*cols).unionByName(found.select(*cols))
+
+
+def record_hunt(found: DataFrame, log: str, evidence: str, threshold: float = 0.85, known: DataFrame | None = None) -> None:
+    """Appends a hunt's results to the progress log (one DONE row a series) and its candidates to the evidence.
+
+    ``found`` is read twice: give it as a written table, so that it is not searched twice.
+    """
+    error = F.when(F.col("status").startswith("ERROR"), F.col("status")).otherwise(F.lit(""))
+    rows = found.select(
+        S.normalize_id(F.col("series_id").cast("string")).alias("tic_id"), F.lit("DONE").alias("last_stage"), "status", "best_period", F.current_timestamp().alias("updated_at"),
+        S.sanitize_error(error).alias("error"), F.lit(None).cast("int").alias("sector"), F.unix_micros(F.current_timestamp()).alias("seq"),
+    )
+    io.append(rows, log)
+    strong = found.where(F.col("prob_planet") >= threshold)
+    packet = strong.select(
+        S.normalize_id(F.col("series_id").cast("string")).alias("tic_id"), "best_period", "prob_planet", F.col("max_power").alias("bls_max_power"),
+        F.lit(None).cast("double").alias("centroid_offset"), F.lit("").alias("plot"), F.current_timestamp().cast("string").alias("timestamp"), F.lit(None).cast("string").alias("discovery_status"),
+    )
+    io.evidence_write(packet if known is None else catalog.cross_match(packet, known), evidence)
+
+
+def sweep_pending(spark, series: DataFrame, known: DataFrame, state: str, start: int, end: int, out: str, cfg: Config = Config(), model: PipelineModel | None = None) -> DataFrame:
+    """Sweeps the sectors from start to end that the state in ``state`` lacks, writes their results to ``out`` by sector,
+    and then their numbers to the state; a run that is lost before that does its sectors again."""
+    pending = io.pending_sectors(spark, start, end, io.state_read(spark, state))
+    swept = sweep(series, known, cfg, model, pending)
+    swept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sector").parquet(out)
+    io.state_write(pending, state)
+    return spark.read.parquet(out)
+
+
+def build_labelled_set(labels: DataFrame, series: DataFrame, most: int = 250, cfg: Config = Config()) -> DataFrame:
+    """Feature rows with labels: the first ``most`` ids of each class by hash, cleaned, searched and folded. Series that
+    are too short or have no features fall out. ``labels`` has tic_id, label; ``series`` series_id, t, flux."""
+    chosen = catalog.cap_per_class(labels, "label", "tic_id", most).select(F.col("tic_id").alias("series_id"), "label")
+    own = series.join(chosen.select("series_id").distinct(), "series_id", "left_semi")
+    n = own.groupBy("series_id").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.least)
+    cleaned = clean.clean_series(own.join(n.select("series_id"), "series_id", "left_semi").select("series_id", "t", "flux"), cfg.half, cfg.sigma, cfg.rounds)
+    best = search.two_pass(cleaned, cfg.low, cfg.high, coarse=cfg.coarse, refine=cfg.refine, form=cfg.form)
+    return fold.features(cleaned, best).join(chosen, "series_id")
+
+
 def train(rows: DataFrame, grid: list[dict], key: str = "series_id") -> tuple[PipelineModel, DataFrame]:
     """The best model of the grid and its validation metrics."""
     fit, val = ml.train_val_split(rows, key)

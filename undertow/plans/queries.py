@@ -73,6 +73,15 @@ def _best(spark: SparkSession, sf: str) -> DataFrame:
 _BEST_OUT = "SELECT series_id, round(best_period,6) best_period, round(epoch,6) epoch, round(max_power,3) max_power, best_bin FROM best"
 
 
+def _refine(n: int, best: str = "best") -> str:
+    lo, hi = "greatest(1.0, best_period*0.85)", "least(15.0, best_period*1.15)"
+    return f"SELECT series_id, CAST(i AS INT) pid, round({lo} + i*({hi} - {lo})/{n - 1}, 9) period FROM {best}, range({n}) r(i)"
+
+
+_REFINE_SQL = _refine(40)
+_FULL = f"{_boxes(_grid(2000))}, {_boxes(_refine(3000), '2', on='c.series_id = g.series_id')}"
+
+
 # --- search
 @query(f"WITH {CAD}, {_boxes(_grid(N))}, c AS (SELECT series_id, count(*) n FROM cadence GROUP BY 1) SELECT series_id, n, CASE WHEN n < 50 THEN '{S.TOO_SHORT}' WHEN max_power < 1000 THEN 'NO_SIGNAL' ELSE 'CLEARED' END status, round(best_period,6) best_period, round(epoch,6) epoch, round(max_power,3) max_power FROM best JOIN c USING (series_id)")
 def best_period(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,12 +91,43 @@ def best_period(spark: SparkSession, sf: str) -> DataFrame:
     return _r(out, best_period=6, epoch=6, max_power=3)
 
 
-@query(_grid(N))
+@query(f"WITH {CAD}, grid AS ({_grid(N)}), sp AS (SELECT series_id, max(t) - min(t) span FROM cadence GROUP BY 1) SELECT series_id, pid, period FROM sp JOIN grid ON period <= span / 3")
 def period_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return search.period_grid(spark, LOW, HIGH, N)
+    """The trial periods that each series' time span holds three times."""
+    spans = A.cadence(spark, sf).groupBy("series_id").agg((F.max("t") - F.min("t")).alias("span"))
+    grid = F.broadcast(search.period_grid(spark, LOW, HIGH, N))
+    return spans.join(grid, F.col("period") <= F.col("span") / 3).select("series_id", "pid", "period")
+
+
+@query(f"WITH {CAD}, {_boxes(_grid(60))}, d AS (SELECT b.series_id, x.bin, row_number() OVER (PARTITION BY b.series_id ORDER BY round(x.depth, 9) DESC, x.bin) k FROM best b JOIN box x ON x.series_id = b.series_id AND x.period = b.best_period AND x.n_in >= 2) SELECT b.series_id, round(best_period,6) best_period, round(tot.t0 + coalesce(d.bin/20.0, 0.5)*best_period, 6) epoch, round(max_power,3) max_power, best_bin FROM best b JOIN tot USING (series_id) LEFT JOIN d ON d.series_id = b.series_id AND d.k = 1")
+def epoch_by_depth(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = search.box_power(A.cadence(spark, sf), search.period_grid(spark, LOW, HIGH, 60))
+    return _r(search.best_of(boxes, epoch_by="depth"), best_period=6, epoch=6, max_power=3)
+
+
+@query(f"WITH {CAD}, {_boxes(_grid(20))}, u AS (SELECT series_id, pid, bin, n_in, n, (s - s_in)/(n - n_in + 1e-10) - s_in/(n_in + 1e-10) d FROM raw) SELECT series_id, pid, bin, n_in, round(d, 4) AS depth, round(CASE WHEN d > 0 THEN d*d*n_in*(n-n_in)/(n + 1e-10) ELSE 0.0 END, 2) AS power FROM u")
+def box_power_unguarded(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = search.box_power(A.cadence(spark, sf), search.period_grid(spark, LOW, HIGH, 20), guard=False, dips_only=True)
+    return _r(boxes.select("series_id", "pid", "bin", "n_in", "depth", "power"), depth=4, power=2)
+
+
+_STAGE = (
+    "WITH " + CAD.replace("cadence AS", "whole AS") + ", cadence AS (SELECT sector || '|' || series_id AS series_id, sector, t, flux FROM whole WHERE NOT (sector = 1 AND CAST(series_id AS INT) % 2 = 0)), "
+    f"{_boxes(_grid(60))}, {_boxes(_REFINE_SQL, '2', on='c.series_id = g.series_id')}"
+)
+
+
+@query(f"{_STAGE} SELECT series_id, 1 AS sector, round(min(t),6) best_period, round(max(t),6) epoch, round(avg(flux),3) max_power FROM whole WHERE sector = 1 AND CAST(series_id AS INT) % 2 = 0 GROUP BY 1 UNION ALL SELECT split_part(series_id,'|',2), CAST(split_part(series_id,'|',1) AS INT), round(best_period,6), round(epoch,6), round(max_power,3) FROM best2")
+def search_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """Sector 1 of the even series is stored; odd series have stored rows of another search, which don't count."""
+    c, cfg = A.cadence(spark, sf), pipelines.Config(low=LOW, high=HIGH, coarse=60, refine=40)
+    first = c.where("sector = 1").groupBy("series_id", "sector").agg(F.min("t").alias("best_period"), F.max("t").alias("epoch"), F.avg("flux").alias("max_power"))
+    even = F.col("series_id").cast("int") % 2 == 0
+    stored = first.withColumns({"period_min": F.lit(LOW), "period_max": F.when(even, HIGH).otherwise(2.0), "nperiods": F.lit(100)})
+    return _r(pipelines.search_stage(c, stored, cfg).select("series_id", "sector", "best_period", "epoch", "max_power"), best_period=6, epoch=6, max_power=3)
 
 
-_REFINE = "SELECT series_id, CAST(i AS INT) pid, round(greatest(1.0, best_period*0.85) + i*(least(15.0, best_period*1.15) - greatest(1.0, best_period*0.85))/39, 9) period FROM best, range(40) r(i)"
+_REFINE = _REFINE_SQL
 _TWO = f"WITH {CAD}, {_boxes(_grid(60))}, {_boxes(_REFINE, '2', on='c.series_id = g.series_id')}"
 
 
@@ -106,10 +146,10 @@ def two_pass_grouped(spark: SparkSession, sf: str) -> DataFrame:
     return _r(search.two_pass(A.cadence(spark, sf), LOW, HIGH, coarse=60, refine=40), best_period=6, epoch=6, max_power=3)
 
 
-@query()
+@query(f"WITH {CAD}, {_FULL} SELECT series_id, round(best_period,6) best_period, round(epoch,6) epoch, round(max_power,3) max_power, best_bin FROM best2")
 def two_pass_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Full grids: 2000 and 3000 periods. Tests hold the grouped form against the SQL form on small grids."""
-    return search.two_pass(A.cadence(spark, sf), LOW, HIGH)
+    """Full grids: 2000 and 3000 periods."""
+    return _r(search.two_pass(A.cadence(spark, sf), LOW, HIGH), best_period=6, epoch=6, max_power=3)
 
 
 @query(f"{_TWO} SELECT 'coarse' AS pass, series_id, pid, round(period,6) period, round(max(power),3) power FROM box GROUP BY ALL UNION ALL SELECT 'refine', series_id, pid, round(period,6), round(max(power),3) FROM box2 GROUP BY ALL")
@@ -202,26 +242,60 @@ def fold_phase(spark: SparkSession, sf: str) -> DataFrame:
     return _folded(spark, sf).select("series_id", F.round("t", 6).alias("t"), (F.round("phase", 6) % 1).alias("phase"))
 
 
-@query(f"{_FOLD}, b AS (SELECT series_id, CAST(floor(phase*64) AS INT) bin, avg(flux) v FROM ph GROUP BY ALL) SELECT series_id, CAST(i AS INT) bin, round(coalesce(v, m),6) AS value FROM mean CROSS JOIN range(64) r(i) LEFT JOIN b USING (series_id) WHERE b.bin = i UNION ALL SELECT series_id, CAST(i AS INT), round(m,6) FROM mean CROSS JOIN range(64) r(i) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.series_id = mean.series_id AND b.bin = i)")
+@query(f"{_FOLD}, b AS (SELECT series_id, CAST(floor(phase*64) AS INT) bin, avg(flux) v FROM ph GROUP BY ALL) SELECT series_id, CAST(i AS INT) bin, round(coalesce(v, m) + CAST(0.00000013 AS DOUBLE),6) AS value FROM mean CROSS JOIN range(64) r(i) LEFT JOIN b USING (series_id) WHERE b.bin = i UNION ALL SELECT series_id, CAST(i AS INT), round(m + CAST(0.00000013 AS DOUBLE),6) FROM mean CROSS JOIN range(64) r(i) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.series_id = mean.series_id AND b.bin = i)")
 def bin_phase(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(fold.bin_phase(_folded(spark, sf), 64), value=6)
+    return _r(fold.bin_phase(_folded(spark, sf), 64).withColumn("value", F.col("value") + 0.00000013), value=6)  # off rounding ties of means
 
 
-@query(f"{_FOLD}, b AS (SELECT series_id, CAST(floor(phase*2048) AS INT) bin, avg(flux) v FROM ph GROUP BY ALL) SELECT series_id, 2048 AS n, round(sum(v) + (2048 - count(*)) * any_value(m), 3) total FROM b JOIN mean USING (series_id) GROUP BY 1")
+@query(f"{_FOLD}, b AS (SELECT series_id, CAST(floor(phase*2048) AS INT) bin, avg(flux) v FROM ph GROUP BY ALL) SELECT mean.series_id, CAST(i AS INT) bin, round(coalesce(v, m) + CAST(0.00000013 AS DOUBLE), 6) AS value FROM mean CROSS JOIN range(2048) r(i) LEFT JOIN b ON b.series_id = mean.series_id AND b.bin = i")
 def global_view(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.aggregate("global_view", F.lit(0.0), lambda a, x: a + x)
-    return fold.global_view(_folded(spark, sf)).select("series_id", F.size("global_view").alias("n"), F.round(v, 3).alias("total"))
+    cells = fold.global_view(_folded(spark, sf)).select("series_id", F.posexplode("global_view").alias("bin", "value"))
+    return cells.select("series_id", "bin", F.round(F.col("value") + 0.00000013, 6).alias("value"))
 
 
-@query()
+_WINDOW = (
+    "w50 AS (SELECT series_id, CAST(floor(phase*50) AS INT) bin, avg(flux) v FROM ph GROUP BY ALL), "
+    "d50 AS (SELECT mean.series_id, i AS bin, round(coalesce(v, m), 9) v FROM mean CROSS JOIN range(50) r(i) LEFT JOIN w50 ON w50.series_id = mean.series_id AND w50.bin = i), "
+    "win AS (SELECT series_id, (bin + 0.5)/50 center FROM d50 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY v, bin) = 1)"
+)
+_LOCAL = (
+    f"{_WINDOW}, seg AS (SELECT ph.*, center - 0.05 lo, center + 0.05 hi FROM ph JOIN win USING (series_id)), "
+    "s2 AS (SELECT *, CASE WHEN lo < 0 THEN phase >= lo + 1 OR phase < hi WHEN hi > 1 THEN phase >= lo OR phase < hi - 1 ELSE phase >= lo AND phase < hi END inn, "
+    "CASE WHEN lo < 0 AND phase >= lo + 1 THEN phase - 1 WHEN hi > 1 AND phase < hi - 1 THEN phase + 1 ELSE phase END flat FROM seg), "
+    "sp AS (SELECT series_id, count(*) FILTER (inn) n, min(flat) FILTER (inn) a, max(flat) FILTER (inn) b FROM s2 GROUP BY 1), "
+    "l AS (SELECT series_id, flux, CASE WHEN n < 10 THEN phase WHEN b > a THEN (flat - a)/(b - a) ELSE 0.0 END phase FROM s2 JOIN sp USING (series_id) WHERE n < 10 OR inn), "
+    "lm AS (SELECT series_id, avg(flux) m FROM l GROUP BY 1), lb AS (SELECT series_id, CAST(floor(phase*256) AS INT) bin, avg(flux) v FROM l GROUP BY ALL)"
+)
+_OFF = "CAST(0.00000013 AS DOUBLE)"  # off rounding ties of means
+_LOCAL_OUT = f"lm.series_id, CAST(i AS INT) bin, round(coalesce(v, m) + {_OFF}, 6) AS value FROM lm CROSS JOIN range(256) r(i) LEFT JOIN lb ON lb.series_id = lm.series_id AND lb.bin = i"
+
+
+def _cells(rows: DataFrame, view: str) -> DataFrame:
+    return rows.select("series_id", F.posexplode(view).alias("bin", "value")).withColumn("value", F.round(F.col("value") + 0.00000013, 6))
+
+
+@query(f"{_FOLD}, {_WINDOW} SELECT series_id, round(center, 6) center FROM win")
+def transit_window(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(fold.transit_window(_folded(spark, sf)), center=6)
+
+
+@query(f"{_FOLD}, {_LOCAL} SELECT {_LOCAL_OUT}")
 def local_view(spark: SparkSession, sf: str) -> DataFrame:
-    return fold.local_view(_folded(spark, sf))
+    return _cells(fold.local_view(_folded(spark, sf)), "local_view")
 
 
-@query()
+@query(f"{_FOLD}, f AS (SELECT series_id, CAST(floor(phase*200) AS INT) bin, avg(flux) v FROM ph GROUP BY ALL) SELECT mean.series_id, CAST(i AS INT) bin, round(v + {_OFF}, 6) AS value FROM mean CROSS JOIN range(200) r(i) LEFT JOIN f ON f.series_id = mean.series_id AND f.bin = i")
+def folded_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return fold.folded_curve(_folded(spark, sf)).withColumn("value", F.round(F.col("value") + 0.00000013, 6))
+
+
+@query(f"{_FOLD}, {_LOCAL}, b AS (SELECT series_id, CAST(floor(phase*2048) AS INT) bin, avg(flux) v FROM ph GROUP BY ALL) SELECT 'local' AS part, {_LOCAL_OUT} UNION ALL SELECT 'global', mean.series_id, CAST(i AS INT), round(coalesce(v, m) + {_OFF}, 6) FROM mean CROSS JOIN range(2048) r(i) LEFT JOIN b ON b.series_id = mean.series_id AND b.bin = i UNION ALL SELECT 'centroid', series_id, 0, NULL FROM mean")
 def feature_stage(spark: SparkSession, sf: str) -> DataFrame:
     c = A.cadence(spark, sf).select("series_id", "t", "flux")
-    return fold.features(c, search.single_pass(c, LOW, HIGH, 60))
+    rows = fold.features(c, search.single_pass(c, LOW, HIGH, 60))
+    part = lambda df, name: df.select(F.lit(name).alias("part"), "series_id", "bin", "value")
+    centroid = rows.select("series_id", F.lit(0).alias("bin"), F.col("centroid_offset").alias("value"))
+    return part(_cells(rows, "local_view"), "local").unionByName(part(_cells(rows, "global_view"), "global")).unionByName(part(centroid, "centroid"))
 
 
 @query("WITH p AS (SELECT CAST(label AS VARCHAR) series_id, CAST(vec_id AS DOUBLE) t, (i//8) AS r, (i%8) AS c, embedding[CAST(i AS INT)+1] + 1 flux, (vec_id % 3.0)/3.0 phase FROM embeddings, range(64) g(i)), s AS (SELECT series_id, phase >= 0.25 AND phase < 0.35 ins, sum(flux) f, sum(c*flux)/sum(flux) x, sum(r*flux)/sum(flux) y, count(DISTINCT t) n FROM p GROUP BY 1,2) SELECT a.series_id, round(sqrt((a.x-b.x)**2+(a.y-b.y)**2),4) centroid_offset FROM s a JOIN s b ON a.series_id=b.series_id AND a.ins AND NOT b.ins WHERE a.n>=2 AND b.n>=2 AND a.f>0 AND b.f>0")
@@ -302,10 +376,13 @@ def top_k_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.rank_candidates(A.evidence(spark, sf), "prob_planet", group="profile", k=5).select("profile", "tic_id", "rank")
 
 
-@query(f"WITH {_SCORED} SELECT tic_id, row_number() OVER (ORDER BY score DESC, tic_id) AS rank FROM sc WHERE coalesce(discovery_status,'Unknown') <> 'KNOWN' AND prob_planet >= 0.3 ORDER BY score DESC, tic_id LIMIT 50")
+_BALANCED = _SCORED.replace("['balanced','ultra_short_period','single_transit_long_period','low_snr_m_dwarf','other'][c_custkey%5+1] profile", "'balanced' profile")
+
+
+@query(f"WITH {_BALANCED} SELECT tic_id, row_number() OVER (ORDER BY score DESC, tic_id) AS rank, score FROM sc WHERE coalesce(discovery_status,'Unknown') <> 'KNOWN' AND prob_planet >= 0.3 ORDER BY score DESC, tic_id LIMIT 50")
 def browse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = catalog.score_candidates(catalog.filter_candidates(A.evidence(spark, sf), ["Unknown", "NEW_CANDIDATE"], 0.3))
-    return catalog.rank_candidates(rows, "score", k=50).select("tic_id", "rank")
+    rows = pipelines.browse(A.evidence(spark, sf).drop("profile"), "balanced", ["Unknown", "NEW_CANDIDATE"], 0.3, 50)
+    return rows.select("tic_id", "rank", F.col("score"))
 
 
 # --- joins, sets, progress
@@ -372,15 +449,33 @@ def throughput(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.throughput(A.progress(spark, sf))
 
 
+@query("SELECT count(*) AS series, round(avg(value),6) mean_phase1_ms, round(avg(value*2),6) mean_phase2_ms, round(avg(value+1),6) mean_phase3_ms, round(avg(user_id*1.0),6) mean_predict_ms, round(avg(value*4+1+user_id),6) mean_total_ms FROM events WHERE event_type = 'error'")
+def timing_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e, v = A.table(spark, sf, "events").where("event_type = 'error'"), F.col("value")
+    own = {"phase1_ms": v, "phase2_ms": v * 2, "phase3_ms": v + 1, "predict_ms": F.col("user_id").cast("double"), "total_ms": v * 4 + 1 + F.col("user_id")}
+    return catalog.timing_summary(e.select(*(x.alias(n) for n, x in own.items())))
+
+
+@query("SELECT count(DISTINCT p_size) FILTER (p_size BETWEEN 1 AND 40) done, CAST(40 AS BIGINT) total, round(count(DISTINCT p_size) FILTER (p_size BETWEEN 1 AND 40)/40, 6) AS share FROM part WHERE p_size % 3 = 0")
+def sweep_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.sweep_progress(A.table(spark, sf, "part").where("p_size % 3 = 0").select(F.col("p_size").alias("sector")), 1, 40)
+
+
+@query(f"WITH {EV} SELECT tic_id, row_number() OVER (ORDER BY prob_planet DESC, tic_id) AS rank FROM evidence")
+def rank_all(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.rank_candidates(A.evidence(spark, sf), "prob_planet").select("tic_id", "rank")
+
+
 @query(f"WITH {PROG} SELECT tic_id, seq FROM progress ORDER BY updated_at DESC, seq DESC LIMIT 100")
 def log_tail(spark: SparkSession, sf: str) -> DataFrame:
     return A.progress(spark, sf).orderBy(F.desc("updated_at"), F.desc("seq")).limit(100).select("tic_id", "seq")
 
 
-@query(f"WITH {EV} SELECT count(*) total, count(*) FILTER (discovery_status='NEW_CANDIDATE') AS new, count(*) FILTER (discovery_status='KNOWN') AS known FROM evidence")
+@query(f"WITH {EV} SELECT count(DISTINCT tic_id) total, count(DISTINCT tic_id) FILTER (discovery_status='NEW_CANDIDATE') AS new, count(DISTINCT tic_id) FILTER (discovery_status='KNOWN') AS known FROM evidence")
 def discovery_counts(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("discovery_status")
-    return A.evidence(spark, sf).agg(F.count("*").alias("total"), F.count_if(s == "NEW_CANDIDATE").alias("new"), F.count_if(s == "KNOWN").alias("known"))
+    ids = lambda status: F.count_distinct(F.when(s == status, F.col("tic_id")))
+    return A.evidence(spark, sf).agg(F.count_distinct("tic_id").alias("total"), ids("NEW_CANDIDATE").alias("new"), ids("KNOWN").alias("known"))
 
 
 @query("SELECT CAST(i AS INT) sector FROM range(1, 101) r(i) WHERE i NOT IN (SELECT DISTINCT p_size FROM part WHERE p_size % 2 = 0)")
@@ -449,18 +544,29 @@ def _cfg() -> pipelines.Config:
     return pipelines.Config(low=LOW, high=HIGH)
 
 
-@query()
+def _hunted() -> str:
+    """Series of fewer rows than the trend's window, as all of the given table are, are divided by their median."""
+    out = f"WITH {CAD}, n AS (SELECT series_id, count(*) n FROM cadence GROUP BY 1), c0 AS (SELECT series_id, t, flux / median(flux) OVER (PARTITION BY series_id) flux FROM cadence JOIN n USING (series_id) WHERE n >= 50)"
+    for i in range(5):
+        out += f", m{i} AS (SELECT series_id, median(flux) md, stddev_pop(flux) sd FROM c{i} GROUP BY 1), c{i + 1} AS (SELECT x.series_id, t, flux FROM c{i} x JOIN m{i} USING (series_id) WHERE abs(flux - md) <= 3.0*sd)"
+    full = _FULL.replace("FROM cadence", "FROM c5")
+    status = f"CASE WHEN n < 50 THEN '{S.TOO_SHORT}' WHEN max_power < 0.001 THEN 'NO_SIGNAL' ELSE 'CLEARED' END"
+    return f"{out}, {full} SELECT series_id, n, {status} status, round(best_period,6) best_period, round(epoch,6) epoch, round(max_power,6) max_power, CAST(NULL AS DOUBLE) prob_planet FROM n LEFT JOIN best2 USING (series_id)"
+
+
+@query(_hunted())
 def hunt(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.hunt(A.cadence(spark, sf).select("series_id", "t", "flux"), _cfg())
+    return _r(pipelines.hunt(A.cadence(spark, sf).select("series_id", "t", "flux"), _cfg()), best_period=6, epoch=6, max_power=6)
 
 
-@query()
+@query(f"SELECT * FROM ({_hunted()}) WHERE series_id = '3'")
 def scan(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.scan(A.cadence(spark, sf).select("series_id", "t", "flux"), "3", _cfg())
+    return _r(pipelines.scan(A.cadence(spark, sf).select("series_id", "t", "flux"), "3", _cfg()), best_period=6, epoch=6, max_power=6)
 
 
-@query()
+@query(f"WITH {CAD}, {_KNOWN}, s AS (SELECT DISTINCT sector, series_id FROM cadence) SELECT sector, count(*) done, CAST(0 AS BIGINT) candidates, count(k.tic_id) known, count(*) - count(k.tic_id) AS new FROM s LEFT JOIN known k ON k.tic_id = s.series_id GROUP BY 1")
 def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a model no series is a candidate."""
     known = A.table(spark, sf, "orders").select(F.col("o_custkey").cast("string"))
     return pipelines.sector_summary(pipelines.sweep(A.cadence(spark, sf), known, _cfg()))
 

@@ -117,3 +117,33 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def pending_sectors(spark: SparkSession, start: int, end: int, completed: DataFrame) -> DataFrame:
     every = spark.range(start, end + 1).select(F.col("id").cast("int").alias("sector"))
     return every.join(completed.select("sector"), "sector", "left_anti")
+
+
+def metrics_write(scores: DataFrame, path: str) -> None:
+    """A one-row table of metrics as JSON."""
+    scores.write.mode("overwrite").json(path)
+
+
+def metrics_read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def timings_write(rows: DataFrame, path: str) -> None:
+    """One row a finished series: series_id, milliseconds of each stage and in all, status."""
+    rows.select("tic_id", "phase1_ms", "phase2_ms", "phase3_ms", "predict_ms", "total_ms", "status").write.mode("append").parquet(path)
+
+
+def state_write(completed: DataFrame, path: str) -> None:
+    """Adds completed sectors to a sweep's state; a sector written twice counts once when read."""
+    completed.select(F.col("sector").cast("int").alias("sector")).distinct().write.mode("append").parquet(path)
+
+
+def state_read(spark: SparkSession, path: str) -> DataFrame:
+    """``sector`` of every completed one; none before the first write."""
+    empty = spark.createDataFrame([], "sector int")
+    return spark.read.schema("sector int").parquet(path).distinct() if exists(spark, path) else empty
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

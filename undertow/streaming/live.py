@@ -11,23 +11,28 @@ from undertow.sources.io import CADENCE, PROGRESS
 
 
 def incremental_hunt(spark: SparkSession, landing: str, out: str, checkpoint: str, cfg: Config = Config()) -> StreamingQuery:
-    """Searches the series of each newly landed batch; a batch that is tried again overwrites its own output."""
+    """Searches the series that a newly landed batch has rows of, on all their rows landed so far.
+
+    A batch that is tried again overwrites its own output; ``latest_found`` gives each series' last result.
+    """
 
     def one(batch: DataFrame, n: int) -> None:
-        found = hunt(batch, cfg)
-        spark_ = batch.sparkSession
-        try:
-            had = spark_.read.parquet(out).where(F.col("batch") != n).select("series_id").distinct()
-            found = found.join(had, "series_id", "left_anti")
-        except Exception as e:  # the first batch has no output yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        found.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        touched = batch.select("series_id").distinct()
+        rows = batch.sparkSession.read.schema(CADENCE).parquet(landing).join(touched, "series_id", "left_semi")
+        hunt(rows, cfg).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     stream = spark.readStream.schema(CADENCE).parquet(landing)
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_found(spark: SparkSession, out: str) -> DataFrame:
+    """Each series' result of the last batch that had rows of it."""
+    found = spark.read.parquet(out)
+    cols = [c for c in found.columns if c not in ("series_id", "batch")]
+    last = found.groupBy("series_id").agg(F.max_by(F.struct(*cols), "batch").alias("x"))
+    return last.select("series_id", *(F.col(f"x.{c}").alias(c) for c in cols))
+
+
 def status_stream(spark: SparkSession, progress: str) -> DataFrame:
     """Live rows per status; write it in complete mode."""
     return spark.readStream.schema(PROGRESS).parquet(progress).groupBy("status").count()
