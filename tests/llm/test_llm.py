@@ -1,5 +1,6 @@
 """Small cases of every operator against brute force: nulls, empty texts, ties, repeated rows, empty tables."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -181,6 +182,22 @@ def test_exact_dedup(docs):
     assert [r[i].kept for i in range(5)] == [False, True, True, False, True] and r[5].group_size == 2
 
 
+@pytest.mark.parametrize("digest", [exactdedup.sha256, lambda body: F.length(body).cast("string").cast("binary")])
+def test_exact_dedup_against_brute_force(spark, digest):
+    """Also with a digest that puts different texts together, with nulls, repeated rows and clashing names."""
+    rows = [(i, ["a", "b", "ab", "ba", None, "", "a "][i % 7], i) for i in range(40)] + [(3, "a", 1), (3, "a", 1), (None, "a", 1), (None, "no key", 1), (None, "no key", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    out = exactdedup.exact_dedup(df, digest=digest)
+    assert out.columns == ["doc_id", "text", "keep_id", "group_size", "kept", "text_sha256"]
+    want = []
+    for k, t, _ in rows:
+        same = [x for x, u, _ in rows if (u or "") == (t or "")]
+        keep = max((x for x in same if x is not None), default=None)
+        want.append((k, t, keep, len(same), keep is None or k == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert exactdedup.exact_dedup(df.where("false")).count() == 0
+
+
 def test_hilbert_index_is_a_curve(spark):
     side = 4
     cells = spark.range(side**2).select((F.col("id") % side).alias("x"), F.floor(F.col("id") / side).alias("y"))

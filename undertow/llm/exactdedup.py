@@ -8,6 +8,7 @@ on from it. Digests that were hit more than once are then checked on full bytes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,11 +38,15 @@ def _conf(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def digest_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sha256(body: Column) -> Column:
+    return F.unhex(F.sha2(body.cast("binary"), 256))
+
+
+def digest_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Digest, bytes, identifier and locator (the file the row came from) of every row; null counts as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
-        F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"),
+        digest(body).alias("digest"),
         F.octet_length(body).cast("long").alias("n_bytes"),
         F.col(key).cast("long").alias("key"),
         F.input_file_name().alias("locator"),
@@ -82,7 +87,7 @@ def _state() -> list[Column]:
     ]
 
 
-def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """``docs`` plus ``keep_id, group_size, kept, text_sha256``, one row for each input row.
 
     Of equal texts (null counts as empty) the row with the largest ``key`` stays. Rows repeated with
@@ -94,13 +99,13 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     shuffle. Its rows meet their entry in a join whose large side Spark may split.
     """
     spark = docs.sparkSession
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256", "_digest")
+    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256", "_digest", "_body", "_sha")
     folder = work_dir(spark, "exactdedup")
-    digest_rows(docs, key, text).write.parquet(f"{folder}/rows")
+    digest_rows(docs, key, text, digest).write.parquet(f"{folder}/rows")
     state = written(run_state(spark.read.parquet(f"{folder}/rows"), folder), "dedup-state")
 
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(body.cast("binary"), 256)))
+    marked = docs.withColumn("_digest", digest(body)).withColumn("_sha", F.col("_digest") if digest is sha256 else sha256(body))
     hits = state.where("group_size > 1").select(F.col("digest").alias("_digest"))
     # Full bytes of the hits: grouping by the text itself compares them, after a partial aggregate in each task.
     classes = (
@@ -108,24 +113,16 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         .groupBy("_digest", body.alias("_body"))
         .agg(F.max(key).cast("long").alias("keep_id"), F.count("*").alias("group_size"))
     )
-    checked = written(
-        classes.withColumn("_same", F.xxhash64("_body")).groupBy("_digest").agg(
-            F.count("*").alias("_texts"),
-            F.collect_list(F.struct("_same", "keep_id", "group_size")).alias("_classes"),
-        ),
-        "dedup-checked",
-    )
-    known = state.select(
-        F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size")
-    ).join(checked, "_digest", "left")
-    # One text a digest, as always unless SHA-256 collides; else the class with this text's hash.
-    own = F.element_at(F.filter("_classes", lambda c: c["_same"] == F.xxhash64(body)), 1)
-    joined = marked.join(known, "_digest")
-    keep = F.when(F.col("_texts") > 1, own["keep_id"]).otherwise(F.col("_keep"))
+    mixed = written(classes.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest"), "dedup-mixed")
+    told = [F.col("digest").alias("_digest"), "keep_id", "group_size"]
+    if mixed.isEmpty():  # one text a digest, as always unless SHA-256 collides
+        joined = marked.join(state.select(*told), "_digest")
+    else:  # the texts of those digests meet their class by their bytes
+        single = state.select(*told).join(mixed, "_digest", "left_anti")
+        several = marked.join(mixed, "_digest", "left_semi").withColumn("_body", body).join(classes.join(mixed, "_digest", "left_semi"), ["_digest", "_body"])
+        joined = marked.join(single, "_digest").unionByName(several.drop("_body"))
     return joined.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        keep.alias("keep_id"),
-        F.when(F.col("_texts") > 1, own["group_size"]).otherwise(F.col("_size")).alias("group_size"),
-        F.coalesce(F.col(key) == keep, keep.isNull()).alias("kept"),
-        F.lower(F.hex("_digest")).alias("text_sha256"),
-    )
+        *(F.col(f"`{c}`") for c in docs.columns), "keep_id", "group_size",
+        F.coalesce(F.col(key) == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
+        F.lower(F.hex("_sha")).alias("text_sha256"),
+    )
