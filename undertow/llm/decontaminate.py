@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from undertow.llm.common import raw_bytes, texts_in, words_of, written
 
 WINDOW = 10
+ADDED = ["n_words", "n_hit", "hit_items", "hit_spans", "coverage", "clean_text", "dropped"]
+_KINDS = ["long", "long", "array<string>", "array<struct<start:long,end:long>>", "double", "string", "boolean"]
 #: Words of test items that one automaton holds (about 100 bytes each, pickled); more items make more automata, one pass each.
 AUTOMATON_WORDS = 500_000
 
@@ -205,10 +207,7 @@ def decontaminate(
     window. Items of equal text are all reported. Every row of ``docs`` comes back once, repeated
     rows too; columns of ``docs`` that bear one of the names above are replaced.
     """
-    added = T.StructType.fromDDL(
-        "n_words long, n_hit long, hit_items array<string>, hit_spans array<struct<start:long,end:long>>, "
-        "coverage double, clean_text string, dropped boolean"
-    )
+    added = T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in zip(ADDED, _KINDS, strict=True)))
     out = docs.drop(*added.names)
     keep = [c for c in (columns or out.columns) if c in out.columns]
     table = build_automata(items, item_id, item_text, window)
