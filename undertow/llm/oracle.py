@@ -2,6 +2,48 @@
 
 from __future__ import annotations
 
+from undertow.llm.licenses import template_rows
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+
+def _placed(words: str, table: str, key: str) -> str:
+    """key, p, w: every word with its place."""
+    return f"SELECT {key}, unnest(ws) w, generate_subscripts(ws, 1) p FROM (SELECT {key}, {words} ws FROM {table})"
+
+
+# A window's key is its words with a space between; windows of all lengths that items have are looked for at each place.
+DECONTAMINATE = f"""
+WITH dw AS ({_placed(_WORDS, 'documents', 'doc_id')}), iw AS ({_placed(_WORDS, 'benchmark', 'item_id')}),
+i AS (SELECT CAST(item_id AS VARCHAR) item, p, count(*) OVER (PARTITION BY item_id) c,
+             list(w) OVER (PARTITION BY item_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) l FROM iw WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, least(c, 10) n, array_to_string(l, ' ') k FROM i WHERE p <= c - least(c, 10) + 1),
+d AS (SELECT doc_id, p, list(w) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) l FROM dw),
+dn AS (SELECT doc_id, p, n, array_to_string(l[1:n], ' ') k FROM d JOIN (SELECT DISTINCT n FROM win) ON len(l) >= n),
+hit AS (SELECT doc_id, p, dn.n, item FROM dn JOIN win ON win.n = dn.n AND win.k = dn.k),
+places AS (SELECT doc_id, count(DISTINCT q) n_hit FROM (SELECT DISTINCT doc_id, p, n, unnest(range(p, p + n)) q FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items,
+       sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM documents LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+JACCARD = f"""
+WITH RECURSIVE w AS ({_placed(_SPACED, 'documents', 'doc_id')}),
+t AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id) c,
+             list(w) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) l FROM w),
+sh AS (SELECT DISTINCT doc_id, array_to_string(l, ' ') s FROM t WHERE p <= greatest(c - 2, 1)),
+n AS (SELECT doc_id, count(*) n FROM sh GROUP BY 1),
+pair AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT x, y FROM pair JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+link AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.other)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) n_shingles, min(other) component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY 1
+"""
+
 EXACT = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -9,5 +51,28 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def licences() -> str:
+    """All templates against all places: hits of an alignment, then the key phrases."""
+    rows = template_rows()
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    tpl = ", ".join(f"({i}, {text(label)}, {base}, {need}, {len(words)})" for i, label, base, words, _, need in rows)
+    word = ", ".join(f"({i}, {at}, {text(w)})" for i, _, _, words, _, _ in rows for at, w in enumerate(words))
+    key = ", ".join(f"({i}, {text(k)})" for i, _, _, _, keys, _ in rows for k in keys)
+    return f"""
+WITH w AS ({_placed(_WORDS, 'documents', 'doc_id')}), tpl(tpl, label, base, need, size) AS (VALUES {tpl}),
+tw(tpl, tpos, w) AS (VALUES {word}), tk(tpl, k) AS (VALUES {key}),
+line AS (SELECT doc_id, len({_WORDS}) n_words, ' ' || array_to_string({_WORDS}, ' ') || ' ' line FROM documents),
+al AS (SELECT doc_id, tw.tpl, p - 1 - tpos AS place, count(*) hit FROM w JOIN tw USING (w) GROUP BY ALL),
+st AS (SELECT al.*, label, base, size FROM al JOIN tpl USING (tpl) WHERE hit >= need),
+lacks AS (SELECT DISTINCT doc_id, tpl FROM (SELECT DISTINCT doc_id, tpl FROM st) JOIN tk USING (tpl) JOIN line USING (doc_id) WHERE NOT contains(line, k)),
+ok AS (SELECT * FROM st ANTI JOIN lacks USING (doc_id, tpl)),
+per AS (SELECT doc_id, count(*) FILTER (base) n_base, min(place) FILTER (base) first_word, max(place) FILTER (base) last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) base_labels, string_agg(DISTINCT label, ',' ORDER BY label) labels, max(hit/size) score FROM ok GROUP BY 1)
+SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(coalesce(n_base, 0) AS BIGINT) n_base, CAST(first_word AS BIGINT) first_word, CAST(last_word AS BIGINT) last_word,
+  coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0.0) score
+FROM line LEFT JOIN per USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exactdedup": EXACT}
+    return {"op1_decontaminate": DECONTAMINATE, "op4_jaccard": JACCARD, "op5_exactdedup": EXACT, "op10_licenses": licences()}
