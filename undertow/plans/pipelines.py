@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars as S
@@ -38,7 +38,8 @@ def hunt(series: DataFrame, cfg: Config = Config(), model: PipelineModel | None
         finished = catalog.latest_state(log).where(F.col("last_stage").isin("DONE", "predict")).select(F.col("tic_id").alias("series_id"))
         series = series.join(finished, "series_id", "left_anti")
     counts = series.groupBy("series_id").agg(F.count("*").alias("n"))
-    long_enough = series.join(counts.where(F.col("n") >= cfg.least).select("series_id"), "series_id", "left_semi")
+    # The window's exchange by series serves the cleaning and the search too.
+    long_enough = series.withColumn("_n", F.count("*").over(Window.partitionBy("series_id"))).where(F.col("_n") >= cfg.least)
     cleaned = clean.clean_series(long_enough.select("series_id", "t", "flux"), cfg.half, cfg.sigma, cfg.rounds)
     best = search.two_pass(cleaned, cfg.low, cfg.high, coarse=cfg.coarse, refine=cfg.refine, form=cfg.form)
     strong = best.where(F.col("max_power") >= cfg.bls_threshold)
