@@ -139,12 +139,15 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", c
     templates = F.broadcast(spark.createDataFrame(template_rows(coverage), schema))
     rare = disk.write(rare_positions(docs, templates, text))
     looked = [r.token for r in rare.select("token").distinct().orderBy("token").collect()]  # words of the templates
+    twice = [r.token for r in rare.groupBy("tpl", "token").count().where("count > 1").select("token").distinct().orderBy("token").collect()]
     counted = docs.select(F.col(key).alias("_own"), F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), words_column(text).alias("_w"))
     found = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("pos"), w.alias("token"))), lambda s: s["token"].isin(looked))
+    # Two postings of a template are of two words, or of one that it is looked up by at two places.
+    tokens = F.array_distinct(F.transform("occ", lambda o: o["token"]))
+    may = (F.size(tokens) >= 2) | (F.exists(tokens, lambda t: t.isin(twice)) if twice else F.lit(False)) & (F.size("occ") >= 2)
     rows = disk.write(
-        counted.withColumn("occ", found).select(
-            "_own", "_key", "_h", F.size("_w").cast("long").alias("n_words"),
-            F.when(F.size("occ") >= 2, F.col("occ")).alias("occ"), F.when(F.size("occ") >= 2, F.col("_w")).alias("words"),
+        counted.withColumn("occ", found).withColumn("may", may).select(
+            "_own", "_key", "_h", F.size("_w").cast("long").alias("n_words"), F.when(F.col("may"), F.col("occ")).alias("occ"), F.when(F.col("may"), F.col("_w")).alias("words")
         )
     )
     ids = ["_key", "_h"]
