@@ -64,6 +64,31 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def put(self, df: DataFrame, *by: str) -> str:
+        """Writes ``df``, with a folder for each value of ``by``, and returns the path; see ``remove``."""
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+        return path
+
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def has(self, path: str) -> bool:
+        where, system = self._at(path)
+        return system.exists(where)
+
+    def remove(self, *paths: str) -> None:
+        """Deletes what ``put`` wrote. Nothing that is still to run may read it."""
+        for path in paths:
+            where, system = self._at(path)
+            system.delete(where, True)
+
+    def clear(self) -> None:
+        """Deletes all of this operator's tables."""
+        self.remove(self.folder)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that ``write`` returned. Nothing that is still to run may read them.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from undertow.llm import decontaminate, exactdedup, hilbert, jaccard, langid, licenses, pieces, tokenfile, toxicity, wrapper
+from undertow.llm import decontaminate, exactdedup, hilbert, jaccard, langid, licenses, pieces, tokenfile, toxicity, vectorcodes, wrapper
 from undertow.llm.common import documents
 
 
@@ -56,6 +56,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_toxicity, op3_wrapper, op4_jaccard, op5_exactdedup, op6_tokenfile, op7_hilbert, op8_langid, op9_pieces, op10_licenses)
+    own = (op1_decontaminate, op2_toxicity, op3_wrapper, op4_jaccard, op5_exactdedup, op6_tokenfile, op7_hilbert, op8_langid, op9_pieces, op10_licenses, op11_vectorcodes)
     return {f.__name__: f for f in own}
