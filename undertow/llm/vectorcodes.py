@@ -2,7 +2,7 @@
 
 A vector's integer components ``floor(4096 * x)`` are cut into equal parts; each part position has a codebook of
 at most 16 entries. Parts live as rows with the owner of their entry: a table dealt by (position, entry, salt), in
-which an entry with many members has several owners. A round is two steps over that table:
+which every entry has as many owners as all vectors would need. A round is two steps over that table:
 
 * update: every owner sums its resident members (rows of one owner meet before the exchange, which carries a row
   for each owner and task), owners of one entry are summed, and the entries move;
@@ -80,33 +80,14 @@ class Residents:
         self.spark = vectors.sparkSession
         self.scratch = Scratch(self.spark, "residents")
         source = vectors.where(_whole(vector, length)).select(F.col(vector).cast("array<double>").alias("v"))
-        counted = source.mapInArrow(self._counts(first), "position int, entry int, n long").groupBy("position", "entry").agg(F.sum("n").alias("n"))
-        self.salts = self._salts({(r["position"], r["entry"]): r["n"] for r in counted.collect()})  # parts x entries rows at most
+        self.salts = self._salts(source.count())
         placed = source.mapInArrow(self._place(first), self.shape).repartition("position", "entry", "salt")
         self.held = [self.scratch.put(placed)]
 
-    def _salts(self, counts: dict[tuple[int, int], int]) -> np.ndarray:
-        """How many owners each entry has: none gets much more than the mean of all tasks, or than OWNER."""
+    def _salts(self, n: int) -> int:
+        """Owners of an entry: even one that all vectors go to gives none much more than the mean of all tasks, or than OWNER."""
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        most = max(1, min(OWNER, sum(counts.values()) // (2 * tasks)))
-        out = np.ones((self.parts, ENTRIES), np.int64)
-        for at, n in counts.items():
-            out[at] = -(-n // most)
-        return out
-
-    def _counts(self, book: np.ndarray):
-        length, parts = self.length, self.parts
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros((parts, len(book[0])), np.int64)
-            for batch in texts_in(batches, BATCH):
-                rows = _integers(batch.column("v"), length, parts)
-                for p in range(parts):
-                    seen[p] += np.bincount(nearest(rows[:, p], book[p])[0], minlength=seen.shape[1])
-            at = np.argwhere(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(seen[seen > 0])], names=["position", "entry", "n"])
-
-        return run
+        return -(-n // max(1, min(OWNER, self.parts * n // (2 * tasks))))
 
     def _place(self, book: np.ndarray):
         length, parts, salts, names = self.length, self.parts, self.salts, ["position", "entry", "salt", *self.cells]
@@ -118,7 +99,7 @@ class Residents:
                 turn, seen = np.arange(seen, seen + len(rows)), seen + len(rows)
                 for p in range(parts):
                     entry = nearest(rows[:, p], book[p])[0]
-                    columns = [np.full(len(rows), p), entry, turn % salts[p, entry], *rows[:, p].T]
+                    columns = [np.full(len(rows), p), entry, turn % salts, *rows[:, p].T]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], names=names)
 
         return run
@@ -128,7 +109,6 @@ class Residents:
         rows = self.spark.read.schema(self.shape).parquet(*self.held)
         own = rows.groupBy("position", "entry", "salt").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in self.cells))
         told = own.groupBy("position", "entry").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in self.cells)).collect()
-        self.salts = self._salts({(r["position"], r["entry"]): r["n"] for r in told})
         return {(r["position"], r["entry"]): (r["n"], [r[c] for c in self.cells]) for r in told}
 
     def move(self, book: np.ndarray) -> None:
@@ -144,7 +124,7 @@ class Residents:
                 for p in np.unique(position):
                     entry[position == p] = nearest(rows[position == p], book[p])[0]
                 moved = entry != old
-                salt = np.where(moved, turn % salts[position, entry], salt)
+                salt = np.where(moved, turn % salts, salt)
                 columns = [pa.array(c, pa.int32()) for c in (position, entry, salt, *rows.T)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(moved)], names=names)
 
