@@ -74,5 +74,27 @@ FROM line LEFT JOIN per USING (doc_id)
 """
 
 
+# ``crc`` has the remainders of crc32 for single bytes; ``k`` the checksum of each number's digits.
+TRIE = f"""
+WITH crc AS (SELECT list(c ORDER BY i) tab FROM (SELECT i, list_reduce(range(8), lambda x, j: xor(x >> 1, (x & 1) * 3988292384), i) c FROM range(256) r(i))),
+t AS (SELECT conv_id c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) id,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) w FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT c, id, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, id) pos FROM t),
+k AS (SELECT c, count(*) own, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT)),
+             lambda x, b: xor(x >> 8, tab[(xor(x, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 4 h FROM p, crc GROUP BY c, tab),
+r AS (SELECT k.c, p.pos pl, id, w FROM k JOIN p ON p.c = k.c - k.c % 20 AND p.pos <= h
+      UNION ALL SELECT k.c, p.pos + 1000000 pl, id, w FROM k JOIN p ON p.c = k.c AND p.pos > h),
+s AS (SELECT k.c, coalesce(list(id ORDER BY pl) FILTER (id IS NOT NULL), []) l, coalesce(list(w ORDER BY pl) FILTER (id IS NOT NULL), []) ws FROM k LEFT JOIN r ON r.c = k.c GROUP BY k.c),
+m AS (SELECT c, unnest(range(len(l) + 1)) d, l, ws FROM s),
+n AS (SELECT list_slice(l, 1, d) k, d, min(c) c, count(*) n, any_value(CASE WHEN d > 0 THEN ws[d] ELSE 0 END) w,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(l) = d), '')) ends FROM m GROUP BY 1, 2),
+kid AS (SELECT list_slice(k, 1, d - 1) k, count(*) kids FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(kids, 0) kids FROM n LEFT JOIN kid ON kid.k = n.k),
+up AS (SELECT list_slice(k, 1, j) k, count(*) FILTER (kids = 0) leaves, sum((n - 1) * w) saved FROM (SELECT f.*, unnest(range(d + 1)) j FROM f) GROUP BY 1)
+SELECT f.c conv_id, f.d depth, q.c parent_conv_id, f.n n_convs, f.kids n_children, up.leaves n_leaves, CAST(up.saved AS BIGINT) saved_tokens, f.ends ends_sha256
+FROM f JOIN up ON up.k = f.k LEFT JOIN f q ON f.d > 0 AND q.d = f.d - 1 AND q.k = list_slice(f.k, 1, f.d - 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE, "op4_jaccard": JACCARD, "op5_exactdedup": EXACT, "op10_licenses": licences()}
+    return {"op1_decontaminate": DECONTAMINATE, "op4_jaccard": JACCARD, "op5_exactdedup": EXACT, "op10_licenses": licences(), "op13_prefixtrie": TRIE}

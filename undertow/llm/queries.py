@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from undertow.llm import decontaminate, exactdedup, hilbert, jaccard, langid, licenses, pieces, tokenfile, toxicity, vectorcodes, wrapper
+from undertow.llm import bytecnn, decontaminate, exactdedup, hilbert, jaccard, langid, licenses, pieces, prefixtrie, tokenfile, toxicity, vectorcodes, wrapper
 from undertow.llm.common import documents
 
 
@@ -60,6 +60,14 @@ def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.report(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_bytecnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.report(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.report(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_toxicity, op3_wrapper, op4_jaccard, op5_exactdedup, op6_tokenfile, op7_hilbert, op8_langid, op9_pieces, op10_licenses, op11_vectorcodes)
+    own = (op1_decontaminate, op2_toxicity, op3_wrapper, op4_jaccard, op5_exactdedup, op6_tokenfile, op7_hilbert, op8_langid, op9_pieces, op10_licenses, op11_vectorcodes, op12_bytecnn, op13_prefixtrie)
     return {f.__name__: f for f in own}
