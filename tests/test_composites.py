@@ -43,9 +43,11 @@ def best(t, y, periods):
 
 
 def cleaned(rows):
-    """Division by the median of a series shorter than the trend's window, and five rounds of clipping."""
+    """Division by the median of segments shorter than the trend's window, and five rounds of clipping."""
     t, y = np.array(rows).T
-    y = y / np.median(y)
+    step = np.diff(t)
+    segment = np.concatenate([[0], np.cumsum(step > 5 * np.median(step))])
+    y = y / np.array([np.median(y[segment == s]) for s in segment])
     for _ in range(5):
         ok = np.abs(y - np.median(y)) <= 3 * y.std()
         t, y = t[ok], y[ok]

@@ -130,6 +130,22 @@ def throughput(log: DataFrame) -> DataFrame:
     return done.agg(F.count("*").alias("finished"), F.round(F.count("*") / F.nullif(hours, F.lit(0.0)), 6).alias("per_hour"))
 
 
+def throughput_running(log: DataFrame, day: str = "23 hours") -> DataFrame:
+    """The rate as a run goes on: hour, finished (in it), total (so far), last_day (in the hours since ``day`` before),
+    per_hour (total over the time from the first finished row to the hour's end). Hours without a finished row have none.
+
+    Rows meet by the hour first, so the windows see a row for each hour of the run.
+    """
+    done = log.where("last_stage = 'DONE' and updated_at is not null")
+    hours = done.groupBy(F.date_trunc("hour", "updated_at").alias("hour")).agg(F.count("*").alias("finished"), F.min("updated_at").alias("_first"))
+    told = hours.withColumns({
+        "total": F.expr("sum(finished) over (order by hour)"), "_first": F.expr("min(_first) over (order by hour)"),
+        "last_day": F.expr(f"sum(finished) over (order by hour range between interval {day} preceding and current row)"),
+    })
+    spent = (F.unix_micros("hour") + 3_600_000_000 - F.unix_micros("_first")) / 3.6e9
+    return told.select("hour", "finished", "total", "last_day", F.round(F.col("total") / spent, 6).alias("per_hour"))
+
+
 def timing_summary(timings: DataFrame) -> DataFrame:
     """Mean milliseconds of each stage and in all, over the finished series of a timings table."""
     return timings.agg(F.count("*").alias("series"), *(F.round(F.avg(f"{c}_ms"), 6).alias(f"mean_{c}_ms") for c in ("phase1", "phase2", "phase3", "predict", "total")))

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 def gap_segments(series: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """``segment``: rises by one where the step in time is over ``tolerance`` times the series' median step."""
-    w = Window.partitionBy("series_id").orderBy("t")
-    stepped = series.withColumn("_dt", F.col("t") - F.lag("t").over(w))
-    typical = stepped.groupBy("series_id").agg(F.median("_dt").alias("_m"))
+    w, whole = Window.partitionBy("series_id").orderBy("t"), Window.partitionBy("series_id")
+    stepped = series.withColumn("_dt", F.col("t") - F.lag("t").over(w)).withColumn("_m", F.median("_dt").over(whole))
     gap = F.coalesce((F.col("_dt") > F.col("_m") * tolerance).cast("int"), F.lit(0))
-    return stepped.join(typical, "series_id").withColumn("segment", F.sum(gap).over(w)).drop("_dt", "_m")
+    return stepped.withColumn("segment", F.sum(gap).over(w)).drop("_dt", "_m")
 
 
 def rolling_trend(series: DataFrame, half: int = 50, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
@@ -34,17 +33,18 @@ def rolling_trend(series: DataFrame, half: int = 50, keys: tuple[str, ...] = ("s
 
 def detrend(series: DataFrame, half: int = 50, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """Flux divided by its trend. The first and last ``half`` rows take the value there of the quadratic
-    fitted to the outermost full window; series shorter than a window are divided by their median."""
-    m = half
+    fitted to the outermost full window; series shorter than a window are divided by their median.
+
+    With ``keys`` of series and segment every segment has windows, edges and a median of its own. All is windows over
+    the keys, so that rows dealt by series once stay where they are.
+    """
+    m, whole = half, Window.partitionBy(*keys)
     rows = rolling_trend(series, half, keys)
     # Moments of the outermost windows, in x = row - centre, for a least-squares quadratic.
     first, last = F.col("_k") <= 2 * m + 1, F.col("_k") > F.col("_n") - 2 * m - 1
     x1, x2 = F.col("_k") - (m + 1), F.col("_k") - (F.col("_n") - m)
-    pick = lambda c, e: F.sum(F.when(c, e))
-    edge = rows.groupBy(*keys).agg(
-        F.median("flux").alias("_med"),
-        *(pick(c, F.col("flux") * x**p).alias(f"_{n}{p}") for n, c, x in (("a", first, x1), ("b", last, x2)) for p in (0, 1, 2)),
-    )
+    moments = {f"_{n}{p}": F.sum(F.when(c, F.col("flux") * x**p)).over(whole) for n, c, x in (("a", first, x1), ("b", last, x2)) for p in (0, 1, 2)}
+    rows = rows.withColumns({**moments, "_med": F.median("flux").over(whole)})
     n, t2 = 2 * m + 1, 2 * sum(i * i for i in range(1, m + 1))
     t4 = 2 * sum(i**4 for i in range(1, m + 1))
     det = n * t4 - t2 * t2
@@ -56,7 +56,7 @@ def detrend(series: DataFrame, half: int = 50, keys: tuple[str, ...] = ("series_
     trend = (
         F.when(F.col("_n") < n, F.col("_med")).when(F.col("_k") <= m, value("a", x1)).when(F.col("_k") > F.col("_n") - m, value("b", x2)).otherwise(F.col("trend"))
     )
-    out = rows.join(edge, list(keys)).withColumn("trend", trend)
+    out = rows.withColumn("trend", trend)
     return out.withColumn("flux", F.col("flux") / F.nullif("trend", F.lit(0.0))).select(*series.columns, "trend")
 
 
@@ -69,5 +69,13 @@ def sigma_clip(series: DataFrame, sigma: float = 3.0, rounds: int = 5) -> DataFr
     return series
 
 
-def clean_series(series: DataFrame, half: int = 50, sigma: float = 3.0, rounds: int = 5) -> DataFrame:
-    return sigma_clip(detrend(series, half).drop("trend"), sigma, rounds)
+def clean_series(series: DataFrame, half: int = 50, sigma: float = 3.0, rounds: int = 5, gaps: float | None = 5.0) -> DataFrame:
+    """Trend and outliers taken away; no window of the trend reaches over a step of more than ``gaps`` median ones.
+
+    One exchange by series serves all of it. Without ``gaps`` a series is one segment.
+    """
+    if gaps is None:
+        flat = detrend(series, half)
+    else:
+        flat = detrend(gap_segments(series, gaps), half, ("series_id", "segment")).drop("segment")
+    return sigma_clip(flat.drop("trend"), sigma, rounds)

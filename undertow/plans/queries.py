@@ -218,9 +218,37 @@ def sigma_clip_2(spark: SparkSession, sf: str) -> DataFrame:
     return _r(clean.sigma_clip(A.cadence(spark, sf), 2.0, 2).select("series_id", "t", "flux"), t=6)
 
 
-@query()
+_SEG = "dt AS (SELECT *, t - lag(t) OVER (PARTITION BY series_id ORDER BY t) dt FROM cadence), md AS (SELECT *, median(dt) OVER (PARTITION BY series_id) md FROM dt), seg AS (SELECT series_id, t, flux, sum(coalesce(CAST(dt > 5*md AS INT), 0)) OVER (PARTITION BY series_id ORDER BY t) seg FROM md)"
+
+
+def _clip_cte(source: str, rounds: int = 5, sigma: float = 3.0) -> str:
+    """c1 to c<rounds>, each the rows of the one before within sigma deviations of the median."""
+    out, last = [], source
+    for i in range(1, rounds + 1):
+        out += [f"m{i} AS (SELECT series_id, median(flux) md, stddev_pop(flux) sd FROM {last} GROUP BY 1)", f"c{i} AS (SELECT x.series_id, t, flux FROM {last} x JOIN m{i} USING (series_id) WHERE abs(flux - md) <= {sigma}*sd)"]
+        last = f"c{i}"
+    return ", ".join(out)
+
+
+def _trend_cte(m: int) -> str:
+    """flat: flux over its trend by segment; edges by a least-squares quadratic through the outermost window."""
+    n, t2, t4 = 2 * m + 1, 2 * sum(i * i for i in range(1, m + 1)), 2 * sum(i**4 for i in range(1, m + 1))
+    det, w = n * t4 - t2 * t2, "PARTITION BY series_id, seg"
+    sides = {"a": (f"k <= {n}", f"(k - {m + 1})"), "b": (f"k > n - {n}", f"(k - (n - {m}))")}
+    moments = ", ".join(f"sum(flux*pow({x}, {p})) FILTER ({c}) OVER ({w}) {s}{p}" for s, (c, x) in sides.items() for p in (0, 1, 2))
+    edge = {s: f"(({s}0*{t4} - {s}2*{t2})/{det}.0 + {s}1/{t2}.0*{x} + ({s}2*{n} - {s}0*{t2})/{det}.0*{x}*{x})" for s, (_, x) in sides.items()}
+    return (
+        f"k AS (SELECT *, CAST(row_number() OVER ({w} ORDER BY t) AS DOUBLE) k, avg(flux) OVER ({w}) m, count(*) OVER ({w}) n FROM seg), "
+        f"s AS (SELECT *, sum(flux-m) OVER w s0, sum(k*(flux-m)) OVER w s1, sum(k*k*(flux-m)) OVER w s2 FROM k WINDOW w AS ({w} ORDER BY t ROWS BETWEEN {m} PRECEDING AND {m} FOLLOWING)), "
+        f"e AS (SELECT *, median(flux) OVER ({w}) med, {moments} FROM s), "
+        f"flat AS (SELECT series_id, t, flux/nullif(CASE WHEN n < {n} THEN med WHEN k <= {m} THEN {edge['a']} WHEN k > n - {m} THEN {edge['b']} "
+        f"ELSE ({3 * (3 * m * m + 3 * m - 1)}*s0 - 15*(s2 - 2*k*s1 + k*k*s0))/{(2 * m - 1) * (2 * m + 1) * (2 * m + 3)}.0 + m END, 0) flux FROM e)"
+    )
+
+
+@query(f"WITH {CAD}, {_SEG}, {_trend_cte(_M)}, {_clip_cte('flat')} SELECT series_id, round(t,6) t, round(flux,6) flux FROM c5")
 def clean_series(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.clean_series(A.cadence(spark, sf).select("series_id", "t", "flux"), _M)
+    return _r(clean.clean_series(A.cadence(spark, sf).select("series_id", "t", "flux"), _M), t=6, flux=6)
 
 
 @query(f"WITH {CAD}, d AS (SELECT *, dense_rank() OVER (PARTITION BY series_id ORDER BY sector) r FROM cadence), f AS (SELECT * FROM d WHERE r <= 3), m AS (SELECT series_id, sector, median(flux) md FROM f GROUP BY 1,2) SELECT series_id, 'all' sector, round(t,6) t, round(flux/nullif(md,0),6) flux FROM f JOIN m USING (series_id, sector)")
@@ -545,10 +573,9 @@ def _cfg() -> pipelines.Config:
 
 
 def _hunted() -> str:
-    """Series of fewer rows than the trend's window, as all of the given table are, are divided by their median."""
-    out = f"WITH {CAD}, n AS (SELECT series_id, count(*) n FROM cadence GROUP BY 1), c0 AS (SELECT series_id, t, flux / median(flux) OVER (PARTITION BY series_id) flux FROM cadence JOIN n USING (series_id) WHERE n >= 50)"
-    for i in range(5):
-        out += f", m{i} AS (SELECT series_id, median(flux) md, stddev_pop(flux) sd FROM c{i} GROUP BY 1), c{i + 1} AS (SELECT x.series_id, t, flux FROM c{i} x JOIN m{i} USING (series_id) WHERE abs(flux - md) <= 3.0*sd)"
+    """Segments of fewer rows than the trend's window, as all of the given table are, are divided by their median."""
+    few = "n AS (SELECT series_id, count(*) n FROM cadence GROUP BY 1)"
+    out = f"WITH {CAD}, {few}, {_SEG}, c0 AS (SELECT series_id, t, flux / median(flux) OVER (PARTITION BY series_id, seg) flux FROM seg JOIN n USING (series_id) WHERE n >= 50), {_clip_cte('c0')}"
     full = _FULL.replace("FROM cadence", "FROM c5")
     status = f"CASE WHEN n < 50 THEN '{S.TOO_SHORT}' WHEN max_power < 0.001 THEN 'NO_SIGNAL' ELSE 'CLEARED' END"
     return f"{out}, {full} SELECT series_id, n, {status} status, round(best_period,6) best_period, round(epoch,6) epoch, round(max_power,6) max_power, CAST(NULL AS DOUBLE) prob_planet FROM n LEFT JOIN best2 USING (series_id)"
