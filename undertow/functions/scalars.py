@@ -22,6 +22,15 @@ def safe_key(c: Column) -> Column:
     return F.translate(c, "/ ", "__")
 
 
+def stage1_key(series: Column, sector: Column) -> Column:
+    return safe_key(F.concat_ws("_", series, sector, F.lit("phase1")))
+
+
+def stage2_key(series: Column, sector: Column, low: Column, high: Column, periods: Column) -> Column:
+    """``low`` and ``high`` as doubles, whose text has a decimal point at least."""
+    return safe_key(F.concat_ws("_", series, sector, low.cast("string"), high.cast("string"), periods.cast("string"), F.lit("phase2")))
+
+
 def stage3_key(series: Column, sector: Column, period: Column) -> Column:
     return F.md5(F.format_string("%s_%s_%.6f_phase3", series, sector, period))
 

@@ -14,31 +14,36 @@ def folded(series: DataFrame, best: DataFrame) -> DataFrame:
     return series.join(best.select("series_id", "best_period", "epoch"), "series_id").withColumn("phase", fold_phase(F.col("t"), F.col("best_period"), F.col("epoch")))
 
 
-def bin_phase(phased: DataFrame, bins: int, fill: str = "mean") -> DataFrame:
-    """series_id, bin, value for all bins; an empty one has the series' mean, or null if ``fill`` is null.
+def binned_view(phased: DataFrame, bins: int, name: str, fill: str = "mean") -> DataFrame:
+    """series_id and the means of all bins as one array; an empty one has the series' mean, or null if ``fill`` is null.
 
-    Bins are half open: a phase of exactly 1 counts for the mean only.
+    Bins are half open: a phase of exactly 1 counts for the mean only. Rows meet by series and bin before the series;
+    the gaps between a series' bins are filled within its row.
     """
-    means = phased.groupBy("series_id", F.floor(F.col("phase") * bins).cast("int").alias("bin")).agg(F.avg("flux").alias("v"), F.sum("flux").alias("s"), F.count("flux").alias("n"))
-    whole = means.groupBy("series_id").agg((F.sum("s") / F.sum("n")).alias("m"), F.map_from_entries(F.collect_list(F.struct("bin", "v"))).alias("known"))
-    dense = whole.select("series_id", "m", "known", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    value = F.col("known")[F.col("bin")]
-    return dense.select("series_id", "bin", (F.coalesce(value, "m") if fill == "mean" else value).alias("value"))
+    at = F.floor(F.col("phase") * bins).cast("int").alias("bin")
+    means = phased.groupBy("series_id", at).agg(F.avg("flux").alias("v"), F.sum("flux").alias("s"), F.count("flux").alias("n"))
+    known = F.array_sort(F.collect_list(F.when(F.col("bin") < bins, F.struct("bin", "v"))))
+    whole = means.groupBy("series_id").agg((F.sum("s") / F.sum("n")).alias("m"), known.alias("known"))
+    blank = F.col("m") if fill == "mean" else F.lit(None).cast("double")
+    before = lambda i: F.coalesce(F.get("known", i - 1)["bin"], F.lit(-1))
+    parts = F.transform("known", lambda e, i: F.concat(F.array_repeat(blank, e["bin"] - before(i) - 1), F.array(F.coalesce(e["v"], blank))))
+    rest = F.array_repeat(blank, F.lit(bins - 1) - before(F.size("known")))
+    return whole.select("series_id", F.concat(F.flatten(parts), rest).alias(name))
 
 
-def as_view(binned: DataFrame, name: str) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct("bin", "value")))
-    return binned.groupBy("series_id").agg(F.transform(pairs, lambda p: p["value"]).alias(name))
+def bin_phase(phased: DataFrame, bins: int, fill: str = "mean") -> DataFrame:
+    """series_id, bin, value for all bins of ``binned_view``."""
+    return binned_view(phased, bins, "view", fill).select("series_id", F.posexplode("view").alias("bin", "value"))
 
 
 def transit_window(phased: DataFrame) -> DataFrame:
     """series_id, center: the middle of the lowest of 50 bins (the first of equal ones)."""
-    low = bin_phase(phased, WINDOW_BINS).groupBy("series_id").agg(F.min(F.struct(F.round("value", 9).alias("v"), "bin")).alias("x"))
-    return low.select("series_id", ((F.col("x.bin") + 0.5) / WINDOW_BINS).alias("center"))
+    low = F.array_min(F.transform("view", lambda x, i: F.struct(F.round(x, 9).alias("v"), i.alias("bin"))))
+    return binned_view(phased, WINDOW_BINS, "view").select("series_id", ((low["bin"] + 0.5) / WINDOW_BINS).alias("center"))
 
 
 def global_view(phased: DataFrame, bins: int = GLOBAL_BINS) -> DataFrame:
-    return as_view(bin_phase(phased, bins), "global_view")
+    return binned_view(phased, bins, "global_view")
 
 
 def local_segment(phased: DataFrame, window: DataFrame, half: float = HALF_WIDTH) -> DataFrame:
@@ -57,7 +62,7 @@ def local_segment(phased: DataFrame, window: DataFrame, half: float = HALF_WIDTH
 
 
 def local_view(phased: DataFrame, window: DataFrame | None = None, bins: int = LOCAL_BINS) -> DataFrame:
-    return as_view(bin_phase(local_segment(phased, transit_window(phased) if window is None else window), bins), "local_view")
+    return binned_view(local_segment(phased, transit_window(phased) if window is None else window), bins, "local_view")
 
 
 def folded_curve(phased: DataFrame, bins: int = 200) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from math import pi
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from undertow.functions.scalars import centroid_or_zero
+from undertow.functions.scalars import centroid_or_zero, is_missing
 from undertow.operators.metrics import precision_recall_f1
 from undertow.operators.running import running
 
@@ -83,17 +83,54 @@ def classify(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"predicted": F.when(p.isNull(), None).when(p >= 0.5, 1).otherwise(0), "prob_fp": 1 - p})
 
 
-def select_by_f1(train: DataFrame, val: DataFrame, grid: list[dict]) -> tuple[PipelineModel, float]:
-    """Of the models of a small parameter grid, the one of best F1 on the validation rows."""
+def select_by_f1(train: DataFrame, val: DataFrame, grid: list[dict], patience: int | None = None) -> tuple[PipelineModel, float]:
+    """Of the models of a small parameter grid, the one of best F1 on the validation rows; the first of equal ones.
+
+    With ``patience`` the search ends once so many models in a row have brought no gain.
+    """
     best: tuple[PipelineModel | None, float] = (None, -1.0)
+    waited = 0
     for params in grid:
         model = fit_classifier(train, **params)
         f1 = precision_recall_f1(score_batch(val, model).select("label", F.col("prob_planet").alias("score"))).first()["f1"]
-        if f1 > best[1]:
-            best = (model, f1)
+        best, waited = ((model, f1), 0) if f1 > best[1] else (best, waited + 1)
+        if patience is not None and waited >= patience:
+            break
     return best
 
 
+def fit_boosted(train: DataFrame, val: DataFrame, rounds: int = 50, tolerance: float = 0.01, **params) -> tuple[PipelineModel, int]:
+    """Boosted trees on the views that stop once validation rows gain no more than ``tolerance``, and their number."""
+    both = _vectors(train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)), allowMissingColumns=True))
+    learner = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, validationIndicatorCol="_val", validationTol=tolerance, seed=42, **params)
+    stages = [VectorAssembler(inputCols=["_g", "_l", "_c"], outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features")]
+    scaler = Pipeline(stages=stages).fit(both.where("not _val"))
+    model = learner.fit(scaler.transform(both))
+    return PipelineModel([*scaler.stages, model]), model.getNumTrees
+
+
+def fit_forest(rows: DataFrame, columns: list[str], **params) -> PipelineModel:
+    """A random forest on named scalars. What is missing gets its column's median; a column without any value is 0."""
+    known = rows.agg(*(F.count(F.when(~is_missing(F.col(c)), 1)).alias(c) for c in columns)).first()
+    some = [c for c in columns if known[c]]
+    filled = [f"_{c}" for c in some]
+    learner = RandomForestClassifier(featuresCol="features", labelCol="label", seed=42, **params)
+    stages = [Imputer(inputCols=some, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features"), learner]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def score_forest(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    """``rows`` plus ``prob_planet``."""
+    told = model.transform(rows).withColumn("prob_planet", vector_to_array("probability")[1])
+    return told.select(*rows.columns, "prob_planet")
+
+
+def importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """feature, importance: each scalar's share of a forest's gain."""
+    names = [c.removeprefix("_") for c in model.stages[1].getInputCols()]
+    return spark.createDataFrame(list(zip(names, map(float, model.stages[-1].featureImportances.toArray()), strict=True)), "feature string, importance double")
+
+
 def save_model(model: PipelineModel, scores: DataFrame | None, path: str) -> None:
     """The model, and its one row of metrics beside it; an older one is replaced."""
     model.write().overwrite().save(f"{path}/model")

@@ -8,9 +8,11 @@ row once a period without making a row for it and is the default for large grids
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -117,56 +119,128 @@ def best_of(boxes: DataFrame, bins: int = BINS, epoch_by: str = "power") -> Data
     return best.join(deep, "series_id", "left").select("series_id", "best_period", (F.col("t0") + phase * F.col("best_period")).alias("epoch"), "max_power", "best_bin")
 
 
-def _best_numpy(t: np.ndarray, flux: np.ndarray, periods: np.ndarray, bins: int, chunk: int = 2_000_000) -> tuple[float, float, float, int]:
-    n, s, ss = len(t), flux.sum(), (flux * flux).sum()
-    scatter, best = ss - s * s / n, (-1.0, 0.0, 0, 0.0)
-    step = max(1, chunk // n)
-    for at in range(0, len(periods), step):
-        p = periods[at : at + step]
-        b = np.floor(np.mod(t[None, :], p[:, None]) / p[:, None] * bins).astype(np.int64) + np.arange(len(p))[:, None] * bins
-        n_in = np.bincount(b.ravel(), minlength=len(p) * bins).reshape(-1, bins)
-        s_in = np.bincount(b.ravel(), np.broadcast_to(flux, b.shape).ravel(), len(p) * bins).reshape(-1, bins)
-        n_out = n - n_in
-        ok = (n_in >= 2) & (n_out >= 2)
-        depth = (s - s_in) / np.maximum(n_out, 1) - s_in / np.maximum(n_in, 1)
-        power = np.where(ok, depth * depth * n_in * n_out / n, 0.0)
-        share = np.round(power / scatter, 9) if scatter > 0 else np.zeros_like(power)
-        k = int(share.argmax())
-        if share.flat[k] > best[0]:
-            best = (share.flat[k], p[k // bins], k % bins, power.flat[k])
-    return best[1], t.min() + best[2] / bins * best[1], best[3], best[2]
+class Kernel(NamedTuple):
+    """The box search of one series in NumPy, with the options of ``box_power`` and ``best_of``."""
+
+    bins: int = BINS
+    width: int = 1
+    guard: bool = True
+    dips_only: bool = False
+    last_window: bool = True
+    epoch_by: str = "power"
+
+    def boxes(self, t: np.ndarray, flux: np.ndarray, periods: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, depth and power (-1 where a box holds no rows) of every period's boxes."""
+        n, s, k = len(t), flux.sum(), len(periods)
+        b = np.floor(np.mod(t[None, :], periods[:, None]) / periods[:, None] * self.bins).astype(np.int64) + np.arange(k)[:, None] * self.bins
+        n_in = np.bincount(b.ravel(), minlength=k * self.bins).reshape(-1, self.bins)
+        s_in = np.bincount(b.ravel(), np.broadcast_to(flux, b.shape).ravel(), k * self.bins).reshape(-1, self.bins)
+        if self.width > 1:
+            n_in, s_in = (sum(np.roll(x, -d, 1) for d in range(self.width)) for x in (n_in, s_in))
+        n_out, eps = n - n_in, 0.0 if self.guard else 1e-10
+        low = 1 if self.guard else 0
+        depth = (s - s_in) / (np.maximum(n_out, low) + eps) - s_in / (np.maximum(n_in, low) + eps)
+        power = depth * depth * n_in * n_out / (n + eps)
+        if self.dips_only:
+            power = np.where(depth > 0, power, 0.0)
+        if self.guard:
+            ok = (n_in >= 2) & (n_out >= 2)
+            depth, power = np.where(ok, depth, 0.0), np.where(ok, power, 0.0)
+        power = np.where(n_in > 0, power, -1.0)
+        if not self.last_window:
+            power[:, -1] = -1.0
+        return n_in, depth, power
+
+    def chunks(self, t: np.ndarray, periods: np.ndarray, size: int = 2_000_000) -> Iterator[np.ndarray]:
+        """Some of the periods at a time, for at most about ``size`` row visits."""
+        step = max(1, size // len(t))
+        for at in range(0, len(periods), step):
+            yield periods[at : at + step]
+
+    def best(self, t: np.ndarray, flux: np.ndarray, periods: np.ndarray) -> tuple[float, float, float, int]:
+        """Period, epoch, power and bin of the largest share: the smallest period, then bin, of equal ones."""
+        scatter, top = (flux * flux).sum() - flux.sum() ** 2 / len(t), (-2.0, 0.0, 0, 0.0, 0.0)
+        for p in self.chunks(t, periods):
+            n_in, depth, power = self.boxes(t, flux, p)
+            share = np.where(power >= 0, np.round(power / scatter, 9) if scatter > 0 else 0.0, -1.0)
+            k = int(share.argmax())
+            if share.flat[k] > top[0]:
+                at, cell = divmod(k, self.bins)
+                turn = cell / self.bins
+                if self.epoch_by == "depth":
+                    deep = np.where(n_in[at] >= 2, np.round(depth[at], 9), -np.inf)
+                    deep[power[at] < 0] = -np.inf
+                    turn = int(deep.argmax()) / self.bins if np.isfinite(deep).any() else 0.5
+                top = (share.flat[k], p[at], cell, power.flat[k], turn)
+        return top[1], t.min() + top[4] * top[1], top[3], top[2]
+
+    def spectrum(self, t: np.ndarray, flux: np.ndarray, periods: np.ndarray) -> np.ndarray:
+        """The largest power at each period."""
+        return np.concatenate([self.boxes(t, flux, p)[2].max(1) for p in self.chunks(t, periods)])
+
+
+def log_grid(low: float, high: float, n: int) -> np.ndarray:
+    lo, hi = np.log(low), np.log(high)
+    return np.round(np.exp(lo + np.arange(n) * ((hi - lo) / (n - 1))), 9)
+
 
+def near_grid(best: float, low: float, high: float, n: int, width: float = 0.15) -> np.ndarray:
+    a, b = max(low, best * (1 - width)), min(high, best * (1 + width))
+    return np.round(a + np.arange(n) * (b - a) / (n - 1), 9)
 
-def search_grouped(series: DataFrame, low: float, high: float, *, coarse: int = 2000, refine: int = 3000, bins: int = BINS, limit: int | None = LIMIT) -> DataFrame:
-    """Both passes for each series in one visit: one shuffle on series_id, NumPy over Arrow.
+
+def _by_series(series: DataFrame, limit: int | None, one, schema: str) -> DataFrame:
+    """``one(t, flux)``, a dict of columns, for each series; one shuffle on series_id, Arrow batches to NumPy.
 
     A series of over ``limit`` rows is thinned to ``limit`` evenly spaced ones first, so a task holds no more.
     """
-    series = series.where("flux is not null and not isnan(flux) and t is not null").select("series_id", "t", "flux")
+    series = series.where("flux is not null and not isnan(flux) and t is not null and abs(flux) <> double('inf')").select("series_id", "t", F.col("flux").cast("double").alias("flux"))
     if limit is not None:
         series = downsample(series, limit)
-    lo, hi = np.log(low), np.log(high)
-    grid = np.round(np.exp(lo + np.arange(coarse) * ((hi - lo) / (coarse - 1))), 9)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[np.isfinite(rows["flux"].astype(float)) & rows["t"].notna()]
-        if rows.empty:
-            return pd.DataFrame([], columns=["series_id", "best_period", "epoch", "max_power", "best_bin"])
-        t, flux = rows["t"].to_numpy(float), rows["flux"].to_numpy(float)
-        found = _best_numpy(t, flux, grid, bins)
+    types = [f.split()[1] for f in schema.split(", ")]
+    arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+
+    def run(rows: pa.Table) -> pa.Table:
+        found = one(np.asarray(rows.column("t"), float), np.asarray(rows.column("flux"), float))
+        n = len(next(iter(found.values())))
+        found = {"series_id": [rows.column("series_id")[0].as_py()] * n, **found}
+        return pa.table({k: pa.array(v, arrow[kind]) for (k, v), kind in zip(found.items(), types, strict=True)})
+
+    return series.groupBy("series_id").applyInArrow(run, schema)
+
+
+def search_grouped(
+    series: DataFrame, low: float, high: float, *, coarse: int = 2000, refine: int = 3000, bins: int = BINS, limit: int | None = LIMIT, **options
+) -> DataFrame:
+    """Both passes for each series in one visit; without ``refine`` the coarse one alone. Options as of ``Kernel``."""
+    kernel, grid = Kernel(bins, **options), log_grid(low, high, coarse)
+
+    def one(t: np.ndarray, flux: np.ndarray) -> dict:
+        found = kernel.best(t, flux, grid)
         if refine:
-            a, b = max(low, found[0] * 0.85), min(high, found[0] * 1.15)
-            found = _best_numpy(t, flux, np.round(a + np.arange(refine) * (b - a) / (refine - 1), 9), bins)
-        return pd.DataFrame([(rows["series_id"].iat[0], *found)], columns=["series_id", "best_period", "epoch", "max_power", "best_bin"])
+            found = kernel.best(t, flux, near_grid(found[0], low, high, refine))
+        return dict(zip(("best_period", "epoch", "max_power", "best_bin"), ([x] for x in found), strict=True))
+
+    return _by_series(series, limit, one, BEST)
+
 
-    return series.groupBy("series_id").applyInPandas(one, BEST)
+def spectra(series: DataFrame, low: float, high: float, coarse: int = 2000, refine: int = 3000, *, limit: int | None = LIMIT, **options) -> DataFrame:
+    """pass, series_id, pid, period, power: both passes' spectra of each series, from the same visit as the search."""
+    kernel, grid = Kernel(**options), log_grid(low, high, coarse)
 
+    def one(t: np.ndarray, flux: np.ndarray) -> dict:
+        near = near_grid(kernel.best(t, flux, grid)[0], low, high, refine)
+        power = np.concatenate((kernel.spectrum(t, flux, grid), kernel.spectrum(t, flux, near)))
+        return {"pass": ["coarse"] * coarse + ["refine"] * refine, "pid": np.concatenate((np.arange(coarse), np.arange(refine))), "period": np.concatenate((grid, near)), "power": power}
 
-def single_pass(series: DataFrame, low: float, high: float, n: int, form: str = "grouped", **options) -> DataFrame:
-    """The best of n log-spaced periods. Options of the box search (guard, width, ...) take the ``sql`` form."""
-    if form == "grouped" and not options:
-        return search_grouped(series, low, high, coarse=n, refine=0, limit=None)
-    return best_of(box_power(series, period_grid(series.sparkSession, low, high, n), **options))
+    return _by_series(series, limit, one, "series_id string, pass string, pid int, period double, power double")
+
+
+def single_pass(series: DataFrame, low: float, high: float, n: int, form: str = "grouped", limit: int | None = LIMIT, epoch_by: str = "power", **options) -> DataFrame:
+    """The best of n log-spaced periods. Options of the box search: guard, dips_only, width, last_window, epoch_by."""
+    if form == "grouped":
+        return search_grouped(series, low, high, coarse=n, refine=0, limit=limit, epoch_by=epoch_by, **options)
+    return best_of(box_power(series, period_grid(series.sparkSession, low, high, n), **options), epoch_by=epoch_by)
 
 
 def two_pass(series: DataFrame, low: float, high: float, *, coarse: int = 2000, refine: int = 3000, form: str = "grouped") -> DataFrame:
@@ -177,7 +251,10 @@ def two_pass(series: DataFrame, low: float, high: float, *, coarse: int = 2000,
     return best_of(box_power(series, refine_grid(first, low, high, refine)))
 
 
-def merged_spectrum(series: DataFrame, low: float, high: float, coarse: int, refine: int) -> DataFrame:
+def merged_spectrum(series: DataFrame, low: float, high: float, coarse: int, refine: int, form: str = "grouped") -> DataFrame:
+    """pass, series_id, pid, period, power of both passes."""
+    if form == "grouped":
+        return spectra(series, low, high, coarse, refine)
     boxes = box_power(series, period_grid(series.sparkSession, low, high, coarse))
     second = box_power(series, refine_grid(best_of(boxes), low, high, refine))
     mark = lambda df, name: spectrum(df).withColumn("pass", F.lit(name))

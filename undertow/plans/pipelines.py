@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars as S
-from undertow.operators import catalog, clean, fold, metrics, ml, search
+from undertow.operators import catalog, clean, fold, metrics, ml, search, vetting
 from undertow.sources import io
 
 
@@ -26,36 +28,135 @@ class Config:
     bls_threshold: float = 0.001
     threshold: float = 0.85
     form: str = "grouped"
+    gaps: float | None = 5.0  # median steps that part two segments of the trend
+    snr: float | None = None  # least signal-to-noise ratio of a dip; 7.1 is usual
 
 
 def hunt(series: DataFrame, cfg: Config = Config(), model: PipelineModel | None = None, log: DataFrame | None = None) -> DataFrame:
-    """series_id, n, status, best_period, epoch, max_power, prob_planet for every pending series.
+    """series_id, n, status, best_period, epoch, max_power, prob_planet for every pending series, and snr if it is asked for.
 
     Gates come before the costly steps: short series and series without power are never folded, and
-    without a model nothing is.
+    without a model nothing is. With ``cfg.snr`` a dip below that ratio is no signal either.
     """
-    if log is not None:
-        finished = catalog.latest_state(log).where(F.col("last_stage").isin("DONE", "predict")).select(F.col("tic_id").alias("series_id"))
-        series = series.join(finished, "series_id", "left_anti")
-    counts = series.groupBy("series_id").agg(F.count("*").alias("n"))
-    # The window's exchange by series serves the cleaning and the search too.
+    series = pending(series, log)
+    cleaned = phase1(series, cfg)
+    best = phase2(cleaned, cfg)
+    told = best if cfg.snr is None else best.join(vetting.depth_snr(cleaned, best).select("series_id", "snr"), "series_id", "left")
+    strong = told.where(passes(cfg))
+    features = None if model is None else fold.features(cleaned.join(strong.select("series_id"), "series_id", "left_semi"), strong)
+    return verdicts(series, told, strong, features, cfg, model)
+
+
+def pending(series: DataFrame, log: DataFrame | None) -> DataFrame:
+    """The series that a progress log has not as finished."""
+    if log is None:
+        return series
+    finished = catalog.latest_state(log).where(F.col("last_stage").isin("DONE", "predict")).select(F.col("tic_id").alias("series_id"))
+    return series.join(finished, "series_id", "left_anti")
+
+
+def phase1(series: DataFrame, cfg: Config) -> DataFrame:
+    """Long enough series, cleaned. The window's exchange by series serves the cleaning and the search too."""
     long_enough = series.withColumn("_n", F.count("*").over(Window.partitionBy("series_id"))).where(F.col("_n") >= cfg.least)
-    cleaned = clean.clean_series(long_enough.select("series_id", "t", "flux"), cfg.half, cfg.sigma, cfg.rounds)
-    best = search.two_pass(cleaned, cfg.low, cfg.high, coarse=cfg.coarse, refine=cfg.refine, form=cfg.form)
-    strong = best.where(F.col("max_power") >= cfg.bls_threshold)
-    if model is None:
+    return clean.clean_series(long_enough.select("series_id", "t", "flux"), cfg.half, cfg.sigma, cfg.rounds, cfg.gaps)
+
+
+def phase2(cleaned: DataFrame, cfg: Config) -> DataFrame:
+    return search.two_pass(cleaned, cfg.low, cfg.high, coarse=cfg.coarse, refine=cfg.refine, form=cfg.form)
+
+
+def passes(cfg: Config):
+    enough = F.col("max_power") >= cfg.bls_threshold
+    return enough if cfg.snr is None else enough & F.coalesce(F.col("snr") > cfg.snr, F.lit(False))
+
+
+def verdicts(series: DataFrame, best: DataFrame, strong: DataFrame, features: DataFrame | None, cfg: Config, model: PipelineModel | None) -> DataFrame:
+    """Every series with its status; without a model those that pass the gates are cleared."""
+    counts = series.groupBy("series_id").agg(F.count("*").alias("n"))
+    if features is None:
         scored = strong.select("series_id", F.lit(None).cast("double").alias("prob_planet"))
     else:
-        scored = ml.score_batch(fold.features(cleaned.join(strong.select("series_id"), "series_id", "left_semi"), strong), model).select("series_id", "prob_planet")
+        scored = ml.score_batch(features, model).select("series_id", "prob_planet")
     out = counts.join(best, "series_id", "left").join(scored, "series_id", "left")
-    status = F.coalesce(S.length_status(F.col("n"), cfg.least), S.power_status(F.col("max_power"), cfg.bls_threshold), S.assign_status(F.col("prob_planet"), cfg.threshold))
-    return out.select("series_id", "n", status.alias("status"), "best_period", "epoch", "max_power", "prob_planet")
+    weak = F.when(F.col("best_period").isNotNull() & ~passes(cfg), "NO_SIGNAL")
+    status = F.coalesce(S.length_status(F.col("n"), cfg.least), weak, S.assign_status(F.col("prob_planet"), cfg.threshold))
+    more = [] if cfg.snr is None else ["snr"]
+    return out.select("series_id", "n", status.alias("status"), "best_period", "epoch", "max_power", *more, "prob_planet")
+
+
+class Hunt(NamedTuple):
+    """The tables of a staged hunt."""
+
+    cleaned: DataFrame
+    best: DataFrame
+    features: DataFrame | None
+    found: DataFrame
+    timings: DataFrame
+
+
+class Clock:
+    """Writes the tables of a run's stages and tells what each took: ``seconds`` by the wall clock, ``rows`` as observed."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.seconds: dict[str, float] = {}
+        self.rows: dict[str, int] = {}
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        seen, began, path = Observation(name), time.monotonic(), f"{self.folder}/{name}"
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        self.seconds[name], self.rows[name] = time.monotonic() - began, seen.get["rows"]
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def staged_hunt(series: DataFrame, folder: str, cfg: Config = Config(), model: PipelineModel | None = None, log: DataFrame | None = None) -> Hunt:
+    """A hunt whose stages are tables in ``folder``, with a row of timings for each finished series.
+
+    Each stage is read by the next, so that nothing is computed twice and a lost executor costs one stage at most. A
+    stage's wall clock is dealt to the series that reach it by their rows: the sum over the series is the clock's.
+    """
+    clock, series = Clock(series.sparkSession, folder), pending(series, log)
+    cleaned = clock.stage("phase1", phase1(series, cfg))
+    best = phase2(cleaned, cfg)
+    best = clock.stage("phase2", best if cfg.snr is None else best.join(vetting.depth_snr(cleaned, best).select("series_id", "snr"), "series_id", "left"))
+    strong, features = best.where(passes(cfg)), None
+    if model is not None:
+        features = clock.stage("phase3", fold.features(cleaned.join(strong.select("series_id"), "series_id", "left_semi"), strong))
+    found = clock.stage("predict", verdicts(series, best, strong, features, cfg, model))
+    reached = {"phase1": F.lit(True), "phase2": F.col("best_period").isNotNull(), "phase3": passes(cfg), "predict": F.lit(True)}
+    total = found.agg(*(F.sum(F.when(reached[p], F.col("n"))).alias(p) for p in S.STAGES[:4])).first()  # one row
+    share = {f"{p}_ms": F.when(reached[p], F.col("n") / F.lit(max(total[p] or 1, 1)) * (1000 * clock.seconds.get(p, 0.0))).otherwise(0.0) for p in S.STAGES[:4]}
+    rows = found.select(S.normalize_id(F.col("series_id").cast("string")).alias("tic_id"), "status", *(F.coalesce(x, F.lit(0.0)).alias(p) for p, x in share.items()))
+    rows = rows.withColumn("total_ms", sum((F.col(p) for p in share), F.lit(0.0)))
+    io.timings_write(rows, f"{folder}/timings")
+    return Hunt(cleaned, best, features, found, series.sparkSession.read.parquet(f"{folder}/timings"))
 
 
 def scan(series: DataFrame, series_id: str, cfg: Config = Config(), model: PipelineModel | None = None) -> DataFrame:
     return hunt(series.where(F.col("series_id") == series_id), cfg, model)
 
 
+class Scan(NamedTuple):
+    """All that a scan of one series works out."""
+
+    cleaned: DataFrame
+    spectrum: DataFrame
+    best: DataFrame
+    features: DataFrame
+    curve: DataFrame
+    found: DataFrame
+
+
+def scan_all(series: DataFrame, series_id: str, cfg: Config = Config(), model: PipelineModel | None = None) -> Scan:
+    """A scan with its intermediates: the cleaned series, both passes' spectrum, the views, the folded curve."""
+    own = series.where(F.col("series_id") == series_id)
+    cleaned = phase1(own, cfg)
+    best = phase2(cleaned, cfg)
+    spectrum = search.spectra(cleaned, cfg.low, cfg.high, cfg.coarse, cfg.refine)
+    curve = fold.folded_curve(fold.folded(cleaned, best))
+    return Scan(cleaned, spectrum, best, fold.features(cleaned, best), curve, hunt(own, cfg, model))
+
+
 def sweep(series: DataFrame, known: DataFrame, cfg: Config = Config(), model: PipelineModel | None = None, pending: DataFrame | None = None) -> DataFrame:
     """All pending sectors in one job: each (sector, series) is a series of its own."""
     if pending is not None:
@@ -75,6 +176,24 @@ def sector_summary(swept: DataFrame) -> DataFrame:
     )
 
 
+def sector_totals(swept: DataFrame, timings: DataFrame | None = None) -> DataFrame:
+    """Series by sector and kind of status, with the sector's totals and the sweep's.
+
+    sector, kind (null in totals), level (0: one kind, 1: a sector, 3: the sweep), done, known, new, best (most power), and
+    with ``timings`` (sector, tic_id, total_ms) the elapsed seconds. Candidates count as one kind, whatever their number.
+    """
+    kind = F.when(S.is_candidate(F.col("status")), "CANDIDATE").when(F.col("status").startswith("ERROR"), "ERROR").otherwise(F.col("status"))
+    rows = swept.withColumn("kind", kind)
+    spent = []
+    if timings is not None:
+        rows = rows.withColumn("tic_id", S.normalize_id(F.col("series_id").cast("string"))).join(timings.select("sector", "tic_id", "total_ms"), ["sector", "tic_id"], "left")
+        spent = [(F.coalesce(F.sum("total_ms"), F.lit(0.0)) / 1000).alias("elapsed")]
+    return rows.rollup("sector", "kind").agg(
+        F.grouping_id("sector", "kind").cast("int").alias("level"), F.count("*").alias("done"), F.count_if(F.col("discovery_status") == "KNOWN").alias("known"),
+        F.count_if(F.col("discovery_status") == "NEW_CANDIDATE").alias("new"), F.max("max_power").alias("best"), *spent,
+    )
+
+
 def search_stage(series: DataFrame, stored: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Best periods with their search's parameters, from the stage table where it has this search, else computed.
 
@@ -93,6 +212,21 @@ def search_stage(series: DataFrame, stored: DataFrame, cfg: Config = Config()) -
     return had.join(keys, ["series_id", "sector"], "left_semi").select(*cols).unionByName(found.select(*cols))
 
 
+def feature_stage(series: DataFrame, best: DataFrame, stored: DataFrame, sector: str = "all") -> DataFrame:
+    """Views with the key of their series, sector and period, from the stage table where it has the key, else computed.
+
+    ``stored`` and the result: key, series_id, sector, best_period, global_view, local_view, centroid_offset. A search that
+    found another period has another key, so its old views don't count. Only series without a stored row are folded.
+    """
+    key = S.stage3_key(F.col("series_id"), F.lit(sector), F.col("best_period"))
+    wanted = best.withColumns({"key": key, "sector": F.lit(sector)})
+    had = stored.join(wanted.select("key"), "key", "left_semi")
+    todo = wanted.join(stored.select("key"), "key", "left_anti")
+    views = fold.features(series.join(todo.select("series_id"), "series_id", "left_semi"), todo)
+    cols = ["key", "series_id", "sector", "best_period", "global_view", "local_view", "centroid_offset"]
+    return had.select(*cols).unionByName(views.join(todo.select("key", "series_id", "sector", "best_period"), "series_id").select(*cols))
+
+
 def record_hunt(found: DataFrame, log: str, evidence: str, threshold: float = 0.85, known: DataFrame | None = None) -> None:
     """Appends a hunt's results to the progress log (one DONE row a series) and its candidates to the evidence.
 
@@ -128,16 +262,16 @@ def build_labelled_set(labels: DataFrame, series: DataFrame, most: int = 250, cf
     chosen = catalog.cap_per_class(labels, "label", "tic_id", most).select(F.col("tic_id").alias("series_id"), "label")
     own = series.join(chosen.select("series_id").distinct(), "series_id", "left_semi")
     n = own.groupBy("series_id").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.least)
-    cleaned = clean.clean_series(own.join(n.select("series_id"), "series_id", "left_semi").select("series_id", "t", "flux"), cfg.half, cfg.sigma, cfg.rounds)
+    cleaned = clean.clean_series(own.join(n.select("series_id"), "series_id", "left_semi").select("series_id", "t", "flux"), cfg.half, cfg.sigma, cfg.rounds, cfg.gaps)
     best = search.two_pass(cleaned, cfg.low, cfg.high, coarse=cfg.coarse, refine=cfg.refine, form=cfg.form)
     return fold.features(cleaned, best).join(chosen, "series_id")
 
 
-def train(rows: DataFrame, grid: list[dict], key: str = "series_id") -> tuple[PipelineModel, DataFrame]:
-    """The best model of the grid and its validation metrics."""
+def train(rows: DataFrame, grid: list[dict], key: str = "series_id", patience: int | None = None) -> tuple[PipelineModel, DataFrame]:
+    """The best model of the grid and its validation metrics; see ``ml.select_by_f1`` for ``patience``."""
     fit, val = ml.train_val_split(rows, key)
-    model, _ = ml.select_by_f1(fit, val, grid)
-    scored = ml.score_batch(val, model).select(F.col(key).alias("id"), "label", F.col("prob_planet").alias("score")).cache()
+    model, _ = ml.select_by_f1(fit, val, grid, patience)
+    scored = ml.score_batch(val, model).select(F.col(key).alias("id"), "label", F.col("prob_planet").alias("score"))
     return model, metrics.precision_recall_f1(scored).join(metrics.roc_auc(scored)).join(metrics.average_precision(scored))
 
 

@@ -101,8 +101,7 @@ def period_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CAD}, {_boxes(_grid(60))}, d AS (SELECT b.series_id, x.bin, row_number() OVER (PARTITION BY b.series_id ORDER BY round(x.depth, 9) DESC, x.bin) k FROM best b JOIN box x ON x.series_id = b.series_id AND x.period = b.best_period AND x.n_in >= 2) SELECT b.series_id, round(best_period,6) best_period, round(tot.t0 + coalesce(d.bin/20.0, 0.5)*best_period, 6) epoch, round(max_power,3) max_power, best_bin FROM best b JOIN tot USING (series_id) LEFT JOIN d ON d.series_id = b.series_id AND d.k = 1")
 def epoch_by_depth(spark: SparkSession, sf: str) -> DataFrame:
-    boxes = search.box_power(A.cadence(spark, sf), search.period_grid(spark, LOW, HIGH, 60))
-    return _r(search.best_of(boxes, epoch_by="depth"), best_period=6, epoch=6, max_power=3)
+    return _r(search.single_pass(A.cadence(spark, sf), LOW, HIGH, 60, epoch_by="depth"), best_period=6, epoch=6, max_power=3)
 
 
 @query(f"WITH {CAD}, {_boxes(_grid(20))}, u AS (SELECT series_id, pid, bin, n_in, n, (s - s_in)/(n - n_in + 1e-10) - s_in/(n_in + 1e-10) d FROM raw) SELECT series_id, pid, bin, n_in, round(d, 4) AS depth, round(CASE WHEN d > 0 THEN d*d*n_in*(n-n_in)/(n + 1e-10) ELSE 0.0 END, 2) AS power FROM u")
@@ -152,9 +151,9 @@ def two_pass_full(spark: SparkSession, sf: str) -> DataFrame:
     return _r(search.two_pass(A.cadence(spark, sf), LOW, HIGH), best_period=6, epoch=6, max_power=3)
 
 
-@query(f"{_TWO} SELECT 'coarse' AS pass, series_id, pid, round(period,6) period, round(max(power),3) power FROM box GROUP BY ALL UNION ALL SELECT 'refine', series_id, pid, round(period,6), round(max(power),3) FROM box2 GROUP BY ALL")
+@query(f"{_TWO} SELECT 'coarse' AS pass, series_id, pid, round(period,6) period, round(max(power),2) power FROM box GROUP BY ALL UNION ALL SELECT 'refine', series_id, pid, round(period,6), round(max(power),2) FROM box2 GROUP BY ALL")
 def merged_spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(search.merged_spectrum(A.cadence(spark, sf), LOW, HIGH, 60, 40), period=6, power=3).select("pass", "series_id", "pid", "period", "power")
+    return _r(search.merged_spectrum(A.cadence(spark, sf), LOW, HIGH, 60, 40), period=6, power=2).select("pass", "series_id", "pid", "period", "power")
 
 
 @query(f"WITH {CAD}, {_boxes(_grid(60), where='WHERE bin < 19')} {_BEST_OUT}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.functions.scalars import is_missing, normalize_id
+from undertow.functions.scalars import centroid_or_zero, is_missing, normalize_id
 from undertow.operators.catalog import latest_state, ordered_distinct
 
 CADENCE = "series_id string, sector int, t double, flux double, flux_err double"
@@ -58,7 +58,13 @@ def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feature_manifest(manifest: DataFrame, features: DataFrame, key: str = "tic_id") -> DataFrame:
-    return manifest.join(features, key)
+    """Stored views of the series that a manifest lists, with its labels; a missing centroid counts 0.
+
+    A series listed twice comes twice; listed series without views fall out. The manifest's label wins.
+    """
+    views = features.select(key, "global_view", "local_view", "centroid_offset") if "centroid_offset" in features.columns else features.select(key, "global_view", "local_view", F.lit(None).cast("double").alias("centroid_offset"))
+    rows = manifest.select(key, F.col("label").cast("int").alias("label")).join(views, key)
+    return rows.select(key, "global_view", "local_view", centroid_or_zero(F.col("centroid_offset")).alias("centroid_offset"), "label")
 
 
 def stage_read(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
