@@ -63,7 +63,15 @@ def fit_classifier(rows: DataFrame, kind: str = "logistic", **params) -> Pipelin
     """On arrays global_view, local_view and centroid_offset."""
     learner = {"logistic": LogisticRegression, "gbt": GBTClassifier}[kind](featuresCol="features", labelCol="label", **params)
     stages = [VectorAssembler(inputCols=["_g", "_l", "_c"], outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features"), learner]
-    return Pipeline(stages=stages).fit(_vectors(rows))
+    return _alone(Pipeline(stages=stages).fit(_vectors(rows)))
+
+
+def _alone(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary, which holds the session: tasks can't take it once the session observes."""
+    last = model.stages[-1]
+    if getattr(last, "hasSummary", False):
+        last._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -116,7 +124,7 @@ def fit_forest(rows: DataFrame, columns: list[str], **params) -> PipelineModel:
     filled = [f"_{c}" for c in some]
     learner = RandomForestClassifier(featuresCol="features", labelCol="label", seed=42, **params)
     stages = [Imputer(inputCols=some, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features"), learner]
-    return Pipeline(stages=stages).fit(rows)
+    return _alone(Pipeline(stages=stages).fit(rows))
 
 
 def score_forest(rows: DataFrame, model: PipelineModel) -> DataFrame:

@@ -1,7 +1,9 @@
 """Checks that tell a planet's dips from other signals: depth and noise, odd against even, a second dip, data quality.
 
-All take series (series_id, t, flux) and ``best`` (series_id, best_period, epoch), where the epoch is the time at which
-a transit's box begins, as ``search.best_of`` gives it, and ``width`` the box's share of a period.
+All take series (series_id, t, flux) and ``best`` (series_id, best_period, and best_bin or epoch). A transit's box is
+``width`` periods long. It begins where bin ``best_bin`` of the search does, which counts phases from time 0; the search's
+own epoch counts the bin from a series' first time, and so names another moment. Where ``best`` has no bins, its epoch is
+taken as the time at which a box begins.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undertow.operators.search import BINS as SEARCH_BINS
+
 WIDTH = 0.05  # of a box, in periods: one of the search's 20 bins
 SNR_GATE = 7.1  # fixed value: least signal-to-noise ratio of a detection
 MAD_TO_SIGMA = 1.4826  # of normal noise
@@ -20,8 +24,9 @@ QUALITY_WEIGHTS = {"completeness": 0.3, "noise_level": 0.3, "max_gap": 0.2, "sys
 
 def _phased(series: DataFrame, best: DataFrame) -> DataFrame:
     """Good rows with ``turns``, periods since the epoch; ``transit``, their whole number; ``phase``, the rest."""
-    rows = series.where("flux is not null and not isnan(flux) and t is not null").join(best.select("series_id", "best_period", "epoch"), "series_id")
-    turns = (F.col("t") - F.col("epoch")) / F.col("best_period")
+    start = F.col("best_bin") / SEARCH_BINS * F.col("best_period") if "best_bin" in best.columns else F.col("epoch")
+    rows = series.where("flux is not null and not isnan(flux) and t is not null").join(best.select("series_id", "best_period", start.alias("_start")), "series_id")
+    turns = (F.col("t") - F.col("_start")) / F.col("best_period")
     rows = rows.where("best_period > 0").withColumn("turns", turns).withColumn("transit", F.floor("turns"))
     return rows.withColumn("phase", F.col("turns") - F.col("transit"))
 

@@ -95,7 +95,10 @@ class Hunt(NamedTuple):
 
 
 class Clock:
-    """Writes the tables of a run's stages and tells what each took: ``seconds`` by the wall clock, ``rows`` as observed."""
+    """Writes the tables of a run's stages and tells what each took: ``seconds`` by the wall clock, ``rows`` as observed.
+
+    A session that has observed can't ship pyspark.ml models with a training summary to tasks; ``ml`` fits them without.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from math import log
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -151,9 +152,11 @@ def two_pass_full(spark: SparkSession, sf: str) -> DataFrame:
     return _r(search.two_pass(A.cadence(spark, sf), LOW, HIGH), best_period=6, epoch=6, max_power=3)
 
 
-@query(f"{_TWO} SELECT 'coarse' AS pass, series_id, pid, round(period,6) period, round(max(power),2) power FROM box GROUP BY ALL UNION ALL SELECT 'refine', series_id, pid, round(period,6), round(max(power),2) FROM box2 GROUP BY ALL")
+@query(f"{_TWO} SELECT 'coarse' AS pass, series_id, pid, round(period,6) period, round(ln(1 + max(power)),6) log_power FROM box GROUP BY ALL UNION ALL SELECT 'refine', series_id, pid, round(period,6), round(ln(1 + max(power)),6) FROM box2 GROUP BY ALL")
 def merged_spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(search.merged_spectrum(A.cadence(spark, sf), LOW, HIGH, 60, 40), period=6, power=2).select("pass", "series_id", "pid", "period", "power")
+    """Powers by their logarithm: many are short decimals, and so ties when they are rounded."""
+    rows = search.merged_spectrum(A.cadence(spark, sf), LOW, HIGH, 60, 40)
+    return rows.select("pass", "series_id", "pid", F.round("period", 6).alias("period"), F.round(F.log1p("power"), 6).alias("log_power"))
 
 
 @query(f"WITH {CAD}, {_boxes(_grid(60), where='WHERE bin < 19')} {_BEST_OUT}")
@@ -350,12 +353,13 @@ def normalize_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- identifiers, gates, sources
-@query("SELECT c_custkey, trim(regexp_replace(upper(trim(c_name)), '^TIC', '')) id, CASE WHEN upper(c_name) LIKE 'TIC%' THEN c_name ELSE 'TIC ' || c_name END canonical, replace(replace(c_mktsegment || '/' || c_name, '/', '_'), ' ', '_') safe, md5(printf('%s_%s_%.6f_phase3', c_name, c_mktsegment, c_acctbal)) key3, coalesce(CAST(nullif(c_nationkey, 3) AS VARCHAR), 'all') sector, 's' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') log_name FROM customer")
+@query("SELECT c_custkey, trim(regexp_replace(upper(trim(c_name)), '^TIC', '')) id, CASE WHEN upper(c_name) LIKE 'TIC%' THEN c_name ELSE 'TIC ' || c_name END canonical, replace(replace(c_mktsegment || '/' || c_name, '/', '_'), ' ', '_') safe, md5(printf('%s_%s_%.6f_phase3', c_name, c_mktsegment, c_acctbal)) key3, replace(replace(c_name || '_' || c_mktsegment || '_phase1', '/', '_'), ' ', '_') key1, replace(replace(c_name || '_' || c_mktsegment || '_0.5_20.0_5000_phase2', '/', '_'), ' ', '_') key2, coalesce(CAST(nullif(c_nationkey, 3) AS VARCHAR), 'all') sector, 's' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') log_name FROM customer")
 def identifiers(spark: SparkSession, sf: str) -> DataFrame:
     c, name, seg = A.table(spark, sf, "customer"), F.col("c_name"), F.col("c_mktsegment")
     return c.select(
         "c_custkey", S.normalize_id(name).alias("id"), S.canonical_id(name).alias("canonical"), S.safe_key(F.concat_ws("/", seg, name)).alias("safe"),
-        S.stage3_key(name, seg, F.col("c_acctbal")).alias("key3"), S.sector_label(F.nullif("c_nationkey", F.lit(3))).alias("sector"), S.log_name(F.col("c_nationkey")).alias("log_name"),
+        S.stage3_key(name, seg, F.col("c_acctbal")).alias("key3"), S.stage1_key(name, seg).alias("key1"),
+        S.stage2_key(name, seg, F.lit(0.5), F.lit(20.0), F.lit(5000)).alias("key2"), S.sector_label(F.nullif("c_nationkey", F.lit(3))).alias("sector"), S.log_name(F.col("c_nationkey")).alias("log_name"),
     )
 
 
@@ -597,6 +601,64 @@ def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.sector_summary(pipelines.sweep(A.cadence(spark, sf), known, _cfg()))
 
 
+_NOISE = (
+    "fo AS (SELECT c.series_id, flux, (t - best_bin/20.0*best_period)/best_period - floor((t - best_bin/20.0*best_period)/best_period) phase FROM c5 c JOIN best2 USING (series_id)), lv AS (SELECT series_id, median(flux) FILTER (phase >= 0.05) lev FROM fo GROUP BY 1), "
+    "sn AS (SELECT series_id, (max(lev) - avg(flux) FILTER (phase < 0.05))/nullif(median(abs(flux - lev)) FILTER (phase >= 0.05)*1.4826, 0)*sqrt(count(*) FILTER (phase < 0.05)) snr FROM fo JOIN lv USING (series_id) GROUP BY 1)"
+)
+_GATE = 5.0
+
+
+@query(f"{_hunted().split(' SELECT series_id, n, CASE')[0]}, {_NOISE} SELECT series_id, n, CASE WHEN n < 50 THEN '{S.TOO_SHORT}' WHEN max_power < 0.001 OR NOT coalesce(snr > {_GATE}, false) THEN 'NO_SIGNAL' ELSE 'CLEARED' END status, round(best_period,6) best_period, round(epoch,6) epoch, round(max_power,6) max_power, round(snr,5) snr, CAST(NULL AS DOUBLE) prob_planet FROM n LEFT JOIN best2 USING (series_id) LEFT JOIN sn USING (series_id)")
+def hunt_snr(spark: SparkSession, sf: str) -> DataFrame:
+    """A staged hunt that also asks for a dip of 5 times its noise."""
+    cfg = replace(_cfg(), snr=_GATE)
+    done = pipelines.staged_hunt(A.cadence(spark, sf).select("series_id", "t", "flux"), io.work_dir(spark, "hunt"), cfg)
+    return _r(done.found, best_period=6, epoch=6, max_power=6, snr=5)
+
+
+@query(f"{_hunted().split(' SELECT series_id, n, CASE')[0]} SELECT CAST(count(*) AS BIGINT) series, true AS timed, true AS adds_up FROM n")
+def hunt_timings(spark: SparkSession, sf: str) -> DataFrame:
+    """A hunt's own timings: a row for each series; their stages add up to their totals."""
+    done = pipelines.staged_hunt(A.cadence(spark, sf).select("series_id", "t", "flux"), io.work_dir(spark, "hunt"), _cfg())
+    parts = sum((F.col(f"{p}_ms") for p in S.STAGES[:4]), F.lit(0.0))
+    return done.timings.agg(F.count("*").alias("series"), (F.sum("total_ms") > 0).alias("timed"), (F.max(F.abs(parts - F.col("total_ms"))) < 1e-6).alias("adds_up"))
+
+
+_ONE = "WHERE series_id = '3'"
+
+
+@query(
+    f"{_hunted().split(' SELECT series_id, n, CASE')[0]}, fo AS (SELECT c.series_id, flux, (t - epoch)/best_period - floor((t - epoch)/best_period) phase FROM c5 c JOIN best2 USING (series_id)), cu AS (SELECT CAST(floor(phase*200) AS INT) bin, avg(flux) v FROM fo {_ONE} GROUP BY 1) "
+    f"SELECT 'cleaned' part, round(t,6) x, round(flux,6) y FROM c5 {_ONE} UNION ALL SELECT 'coarse', round(period,6), round(max(power),7) FROM box {_ONE} GROUP BY period UNION ALL SELECT 'refine', round(period,6), round(max(power),7) FROM box2 {_ONE} GROUP BY period "
+    f"UNION ALL SELECT 'best', round(best_period,6), round(max_power,6) FROM best2 {_ONE} UNION ALL SELECT 'curve', i, round(v,6) FROM range(200) r(i) LEFT JOIN cu ON bin = i"
+)
+def scan_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """What a scan of one series works out on the way."""
+    done = pipelines.scan_all(A.cadence(spark, sf).select("series_id", "t", "flux"), "3", _cfg())
+    part = lambda df, name, x, y, d: df.select(F.lit(name).alias("part") if isinstance(name, str) else name.alias("part"), F.round(F.col(x).cast("double"), 6).alias("x"), F.round(y, d).alias("y"))
+    out = part(done.cleaned, "cleaned", "t", "flux", 6).unionByName(part(done.spectrum, F.col("pass"), "period", "power", 7))
+    return out.unionByName(part(done.best, "best", "best_period", "max_power", 6)).unionByName(part(done.curve, "curve", "bin", "value", 6))
+
+
+_LEAST, _SWEEP_GATE = 10, 1.0
+
+
+def _swept() -> str:
+    """As ``hunt``, for each sector's part of a series, with the sweep's gates."""
+    cad = CAD.replace("cadence AS", "whole AS") + ", cadence AS (SELECT sector || '|' || series_id series_id, t, flux FROM whole)"
+    out = _hunted().replace(CAD, cad).replace("n >= 50", f"n >= {_LEAST}").split(" SELECT series_id, n, CASE")[0]
+    status = f"CASE WHEN n < {_LEAST} THEN 'ERROR' WHEN max_power < {_SWEEP_GATE} THEN 'NO_SIGNAL' ELSE 'CLEARED' END"
+    return f"{out}, {_KNOWN}, sw AS (SELECT CAST(split_part(series_id,'|',1) AS INT) sector, {status} kind, max_power, k.tic_id IS NOT NULL is_known FROM n LEFT JOIN best2 USING (series_id) LEFT JOIN known k ON k.tic_id = split_part(series_id,'|',2))"
+
+
+@query(f"{_swept()} SELECT sector, kind, CAST(grouping_id(sector, kind) AS INT) AS level, count(*) done, count(*) FILTER (is_known) known, count(*) FILTER (NOT is_known) AS new, round(max(max_power),6) best FROM sw GROUP BY ROLLUP (sector, kind)")
+def sweep_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """A sweep that searches: on the given table a user has about 13 rows a sector, so the gate is 10 rows here."""
+    known = A.table(spark, sf, "orders").select(F.col("o_custkey").cast("string"))
+    cfg = replace(_cfg(), least=_LEAST, bls_threshold=_SWEEP_GATE)
+    return _r(pipelines.sector_totals(pipelines.sweep(A.cadence(spark, sf), known, cfg)), best=6)
+
+
 @query()
 def train_and_score(spark: SparkSession, sf: str) -> DataFrame:
     """A classifier on embeddings as views: labels 0 to 4 against the rest."""

@@ -13,7 +13,7 @@ from undertow.plans.queries import CAD, HIGH, LOW, PROG, _boxes, _grid, _r, quer
 from undertow.sources import adapters as A
 
 WIDE = 0.25
-_BASE = f"WITH {CAD}, {_boxes(_grid(60))}, ph AS (SELECT c.series_id, t, flux, floor((t - epoch)/best_period) k, (t - epoch)/best_period - floor((t - epoch)/best_period) phase, best_period, max_power FROM cadence c JOIN best USING (series_id))"
+_BASE = f"WITH {CAD}, {_boxes(_grid(60))}, ph AS (SELECT c.series_id, t, flux, floor((t - best_bin/20.0*best_period)/best_period) k, (t - best_bin/20.0*best_period)/best_period - floor((t - best_bin/20.0*best_period)/best_period) phase, best_period, max_power FROM cadence c JOIN best USING (series_id))"
 _SIDES = (
     f"g AS (SELECT series_id, CASE WHEN phase >= {WIDE} THEN 'out' WHEN CAST(k AS BIGINT) % 2 <> 0 THEN 'odd' ELSE 'even' END side, count(*) n, avg(flux) m, var_samp(flux) v, count(DISTINCT k) tr FROM ph GROUP BY 1, 2), "
     "oe AS (SELECT series_id, coalesce(max(n) FILTER (side='odd'), 0) n_odd, coalesce(max(n) FILTER (side='even'), 0) n_even, coalesce(max(tr) FILTER (side='odd'), 0) transits_odd, coalesce(max(tr) FILTER (side='even'), 0) transits_even, "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,6 +153,20 @@ def state_read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("sector int").parquet(path).distinct() if exists(spark, path) else empty
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster shares (``spark.checkpoint.dir``), for a run's tables.
+
+    Where the session has none, a local one is set for it if it runs on this machine alone; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='undertow-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
