@@ -96,5 +96,26 @@ FROM f JOIN up ON up.k = f.k LEFT JOIN f q ON f.d > 0 AND q.d = f.d - 1 AND q.k
 """
 
 
+def vector_codes(rounds: int = 6) -> str:
+    """Rounds of assignment and update over (vector, part, component) rows."""
+    step = ""
+    for r in range(rounds + 1):
+        step += f"""
+d{r} AS MATERIALIZED (SELECT * FROM (SELECT vec_id, x.part, entry, sum((v - y) * (v - y)) d FROM x JOIN e{r} USING (part, j) GROUP BY 1, 2, 3)
+    QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1),"""
+        if r < rounds:
+            step += f"""
+u{r} AS (SELECT x.part, entry, j, CAST(floor(sum(v) / count(*)) AS BIGINT) y FROM d{r} JOIN x USING (vec_id, part) GROUP BY 1, 2, 3),
+e{r + 1} AS MATERIALIZED (SELECT e.part, e.entry, e.j, coalesce(u.y, e.y) y FROM e{r} e LEFT JOIN u{r} u USING (part, entry, j)),"""
+    return f"""
+WITH k AS (SELECT vec_id, label, embedding e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS MATERIALIZED (SELECT vec_id, i // 8 part, i % 8 j, CAST(floor(4096 * CAST(e[i + 1] AS DOUBLE)) AS BIGINT) v FROM k, range(64) r(i)),
+e0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, j, v y FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16)),{step}
+c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) code, CAST(sum(d) AS BIGINT) error FROM d{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) label_error,
+       (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, j)) FROM e{rounds}) codebooks_sha256 FROM c JOIN k USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE, "op4_jaccard": JACCARD, "op5_exactdedup": EXACT, "op10_licenses": licences(), "op13_prefixtrie": TRIE}
+    return {"op1_decontaminate": DECONTAMINATE, "op4_jaccard": JACCARD, "op5_exactdedup": EXACT, "op10_licenses": licences(), "op11_vectorcodes": vector_codes(), "op13_prefixtrie": TRIE}
