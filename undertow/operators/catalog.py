@@ -67,9 +67,8 @@ def rank_candidates(rows: DataFrame, by: str, key: str = "tic_id", group: str |
 def cross_match(candidates: DataFrame, known: DataFrame, key: str = "tic_id") -> DataFrame:
     """``discovery_status``: KNOWN or NEW_CANDIDATE, unless there is one already. An empty list tags nothing."""
     ids = known.select(S.normalize_id(F.col(known.columns[0]).cast("string")).alias("_id")).where("_id is not null").distinct().withColumn("_known", F.lit(True))
-    if ids.isEmpty():
-        return candidates
-    told = F.when(F.col("_known"), "KNOWN").otherwise("NEW_CANDIDATE")
+    some = ids.limit(1).agg(F.count("*").alias("n")).scalar() > 0  # looked up by the plan itself
+    told = F.when(F.col("_known"), "KNOWN").when(some, "NEW_CANDIDATE")
     had = F.col("discovery_status") if "discovery_status" in candidates.columns else F.lit(None)
     joined = candidates.withColumn("_id", S.normalize_id(F.col(key).cast("string"))).join(ids, "_id", "left")
     return joined.withColumn("discovery_status", F.coalesce(had, told)).drop("_id", "_known")

@@ -338,18 +338,27 @@ def centroid_offset(spark: SparkSession, sf: str) -> DataFrame:
     return _r(fold.centroid_offset(px, best, ids.withColumn("center", F.lit(0.3))), centroid_offset=4)
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) s, 128 AS n_pad, 100 AS n_res FROM embeddings")
+_VEC = "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings)"
+
+
+@query(
+    f"WITH {_VEC}, r AS (SELECT vec_id, v, i, i*(63/99.0::DOUBLE) x FROM e, range(100) g(i)), l AS (SELECT *, CAST(least(floor(x), 62) AS BIGINT) lo FROM r) "
+    "SELECT vec_id, 'pad' kind, CAST(i AS INT) i, round(coalesce(v[i + 1], 0.0), 6) AS value FROM e, range(128) g(i) UNION ALL SELECT vec_id, 'cut', CAST(i AS INT), round(v[i + 1], 6) FROM e, range(50) g(i) "
+    "UNION ALL SELECT vec_id, 'resample', CAST(i AS INT), round(v[lo + 1] + (v[lo + 2] - v[lo + 1])*(x - lo), 6) FROM l"
+)
 def view_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Every element of longer, shorter and resampled views."""
     e = A.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    pad = V.pad_view(F.col("v"), 128)
-    return e.select("vec_id", F.round(F.aggregate(pad, F.lit(0.0), lambda a, x: a + x), 4).alias("s"), F.size(pad).alias("n_pad"), F.size(V.resample_view(F.col("v"), 100)).alias("n_res"))
+    kinds = {"pad": V.pad_view(F.col("v"), 128), "cut": V.pad_view(F.col("v"), 50), "resample": V.resample_view(F.col("v"), 100)}
+    all_ = F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("view")) for k, x in kinds.items()))
+    cells = e.select("vec_id", F.explode(all_).alias("x")).select("vec_id", "x.kind", F.posexplode("x.view").alias("i", "value"))
+    return _r(cells, value=6)
 
 
-@query("WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 2) v FROM embeddings), k AS (SELECT vec_id, v, list_aggregate(v, 'median') md FROM m) SELECT vec_id, round(list_sum(list_transform(v, lambda x: x/md - 1)), 4) s, round(list_aggregate(list_transform(v, lambda x: x/md - 1), 'median'), 6) med FROM k")
+@query("WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 2) v FROM embeddings), k AS (SELECT vec_id, v, list_aggregate(v, 'median') md FROM m) SELECT vec_id, CAST(i AS INT) i, round(v[i + 1]/md - 1, 6) AS value FROM k, range(64) g(i)")
 def normalize_view(spark: SparkSession, sf: str) -> DataFrame:
     e = A.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 2).alias("v"))
-    out = e.select("vec_id", V.normalize_view(F.col("v")).alias("v"))
-    return out.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("s"), (F.round(V.array_median(F.col("v")), 6) + 0.0).alias("med"))
+    return _r(e.select("vec_id", F.posexplode(V.normalize_view(F.col("v"))).alias("i", "value")), value=6)
 
 
 # --- identifiers, gates, sources
@@ -373,9 +382,9 @@ def gates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"WITH {CAD} SELECT series_id, count(*) n, round(min(t),6) t0, round(max(t),6) t1, round(avg(flux),6) mean, CASE WHEN count(*) < 50 THEN '{S.TOO_SHORT}' END status FROM cadence WHERE sector = 2 OR sector = 5 GROUP BY 1")
+@query(f"WITH {CAD} SELECT series_id, count(*) n, round(min(t),6) t0, round(max(t),6) t1, round(avg(flux),6) mean, CASE WHEN count(*) < 50 THEN '{S.TOO_SHORT}' END status FROM cadence GROUP BY 1")
 def series_summary(spark: SparkSession, sf: str) -> DataFrame:
-    c = A.cadence(spark, sf).where("sector in (2, 5)").groupBy("series_id").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.avg("flux").alias("mean"))
+    c = A.cadence(spark, sf).groupBy("series_id").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.avg("flux").alias("mean"))
     return _r(c.withColumn("status", S.length_status(F.col("n"))), t0=6, t1=6, mean=6)
 
 
@@ -391,10 +400,12 @@ def candidate_score(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.score_candidates(A.evidence(spark, sf)).select("tic_id", "profile", "score")
 
 
-@query(f"WITH {_SCORED} SELECT tic_id, profile, CAST(lo AS DOUBLE) period_min, CASE WHEN CAST(tic_id AS BIGINT) % 2 = 0 THEN 9.5 ELSE CAST(hi AS DOUBLE) END period_max FROM sc")
+@query(f"WITH {_SCORED} SELECT tic_id, profile, CASE WHEN CAST(tic_id AS BIGINT) % 3 = 0 THEN 0.7 ELSE CAST(lo AS DOUBLE) END period_min, CASE WHEN CAST(tic_id AS BIGINT) % 2 = 0 THEN 9.5 ELSE CAST(hi AS DOUBLE) END period_max, CASE WHEN CAST(tic_id AS BIGINT) % 5 = 0 THEN CAST(77 AS INT) ELSE CASE p WHEN 'balanced' THEN 10000 WHEN 'ultra_short_period' THEN 15000 WHEN 'single_transit_long_period' THEN 8000 ELSE 12000 END END nperiods, CASE p WHEN 'balanced' THEN 0.85 WHEN 'ultra_short_period' THEN 0.80 WHEN 'single_transit_long_period' THEN 0.75 ELSE 0.70 END::DOUBLE threshold FROM sc")
 def profile_params(spark: SparkSession, sf: str) -> DataFrame:
-    rows = catalog.resolve_profiles(A.evidence(spark, sf)).withColumn("override_period_max", F.when(F.col("tic_id").cast("long") % 2 == 0, 9.5))
-    return catalog.with_overrides(rows, "period_max").select("tic_id", "profile", "period_min", "period_max")
+    rows = catalog.resolve_profiles(A.evidence(spark, sf))
+    k = F.col("tic_id").cast("long")
+    rows = rows.withColumns({"override_period_min": F.when(k % 3 == 0, 0.7), "override_period_max": F.when(k % 2 == 0, 9.5), "override_nperiods": F.when(k % 5 == 0, 77)})
+    return catalog.with_overrides(rows, "period_min", "period_max", "nperiods").select("tic_id", "profile", "period_min", "period_max", "nperiods", "threshold")
 
 
 @query(f"WITH {EV} SELECT tic_id, round(best_period,4) best_period, round(prob_planet,3) prob_planet, round(bls_power,6) bls_power, round(coalesce(centroid_offset,0),3) centroid_offset FROM evidence WHERE coalesce(discovery_status,'Unknown') IN ('Unknown','NEW_CANDIDATE') AND prob_planet >= 0.4")
@@ -480,9 +491,9 @@ def throughput(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.throughput(A.progress(spark, sf))
 
 
-@query("SELECT count(*) AS series, round(avg(value),6) mean_phase1_ms, round(avg(value*2),6) mean_phase2_ms, round(avg(value+1),6) mean_phase3_ms, round(avg(user_id*1.0),6) mean_predict_ms, round(avg(value*4+1+user_id),6) mean_total_ms FROM events WHERE event_type = 'error'")
+@query("SELECT count(*) AS series, round(avg(value),6) mean_phase1_ms, round(avg(value*2),6) mean_phase2_ms, round(avg(value+1),6) mean_phase3_ms, round(avg(user_id*1.0),6) mean_predict_ms, round(avg(value*4+1+user_id),6) mean_total_ms FROM events")
 def timing_summary(spark: SparkSession, sf: str) -> DataFrame:
-    e, v = A.table(spark, sf, "events").where("event_type = 'error'"), F.col("value")
+    e, v = A.table(spark, sf, "events"), F.col("value")
     own = {"phase1_ms": v, "phase2_ms": v * 2, "phase3_ms": v + 1, "predict_ms": F.col("user_id").cast("double"), "total_ms": v * 4 + 1 + F.col("user_id")}
     return catalog.timing_summary(e.select(*(x.alias(n) for n, x in own.items())))
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.operators import catalog, harmonics, search, vetting
-from undertow.plans.queries import CAD, HIGH, LOW, PROG, _boxes, _grid, _r, query
+from undertow.operators import catalog, harmonics, ml, search, vetting
+from undertow.plans import pipelines
+from undertow.plans.queries import CAD, HIGH, LOW, PROG, _boxes, _cfg, _grid, _r, query
 from undertow.sources import adapters as A
+from undertow.sources import io
 
 WIDE = 0.25
 _BASE = f"WITH {CAD}, {_boxes(_grid(60))}, ph AS (SELECT c.series_id, t, flux, floor((t - best_bin/20.0*best_period)/best_period) k, (t - best_bin/20.0*best_period)/best_period - floor((t - best_bin/20.0*best_period)/best_period) phase, best_period, max_power FROM cadence c JOIN best USING (series_id))"
@@ -117,3 +119,40 @@ def lomb_scargle_sql(spark: SparkSession, sf: str) -> DataFrame:
 def throughput_running(spark: SparkSession, sf: str) -> DataFrame:
     told = catalog.throughput_running(A.progress(spark, sf))
     return told.withColumn("hour", F.unix_seconds("hour"))
+
+
+# --- models: no SQL; tests hold them against planted labels
+@query()
+def boosted_early_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees on embeddings as views, for labels 0 to 4 against the rest, that end where validation gains no more."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = A.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("series_id"), v.alias("global_view"), F.slice(v, 1, 16).alias("local_view"), F.lit(None).cast("double").alias("centroid_offset"), (F.col("label") < 5).cast("int").alias("label")
+    )
+    model, trees = ml.fit_boosted(*ml.train_val_split(rows, "series_id"), rounds=30, maxDepth=3)
+    return ml.classify(ml.score_batch(rows, model)).select("series_id", "label", "prob_planet", "predicted", F.lit(trees).alias("trees"))
+
+
+def _parity(series: DataFrame) -> DataFrame:
+    """Odd users against even ones: a stand-in for a catalogue's labels."""
+    return series.select("series_id", (F.col("series_id").cast("long") % 2).cast("int").alias("label")).distinct()
+
+
+@query()
+def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A random forest on the ten scalars of every series."""
+    series, best = _found(spark, sf)
+    path = io.work_dir(spark, "tabular")
+    vetting.tabular_features(series, best, WIDE).join(_parity(series), "series_id").write.parquet(path)
+    rows = spark.read.parquet(path)
+    return ml.score_forest(rows, ml.fit_forest(rows, vetting.TABULAR, numTrees=20)).select("series_id", "label", "prob_planet")
+
+
+@query()
+def train_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """A labelled set of the given series, cleaned, searched and folded; the best of two models; its validation metrics."""
+    series = A.cadence(spark, sf).select("series_id", "t", "flux")
+    path = io.work_dir(spark, "labelled")
+    labels = _parity(series).withColumnRenamed("series_id", "tic_id")
+    pipelines.build_labelled_set(labels, series, cfg=_cfg()).write.parquet(path)
+    return pipelines.train(spark.read.parquet(path), [{"maxIter": 10}, {"maxIter": 10, "regParam": 0.1}], patience=1)[1]
