@@ -540,3 +540,34 @@ def test_wrapper_copies_and_split_articles(spark):
     assert all(r[i].text == "Always here One story its end" for i in range(12))
     assert [r[20 + i].text for i in range(5)] == [f"Story {i}" for i in range(5)]
     assert (r[30].text, r[31].text) == ("First part A second and longer part", "One Two two")
+
+
+def test_wrapper_template_of_pages_with_ids_of_their_own(spark):
+    """No mark tells the parts; ids and numbered classes differ from page to page, and so do numbers of paragraphs."""
+    rows = []
+    for i in range(400):
+        own = "".join(f"<p id='p{i}-{k}'>Article {i} says {k} {'xyz'[k % 3] * (i % 7)}</p>" for k in range(1 + i % 4))
+        rows.append((i, f"http://h/{i}", f"<div class='c{i}'>Site menu</div><div id='post-{i}' class='post item-{i}'>{own}<p>Read our terms here</p></div><div>Foot line</div>"))
+    r = by_id(wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)), "page_id")
+    for i in range(400):
+        assert r[i].text == " ".join(" ".join(f"Article {i} says {k} {'xyz'[k % 3] * (i % 7)}".split()) for k in range(1 + i % 4))
+
+
+def test_wrapper_templates_stay_small_and_fast():
+    import time
+
+    shapes, t, began = wrapper.Shapes(), None, time.process_time()
+    for i in range(1500):
+        page = wrapper.parse("<div>menu</div>" + "".join(f"<div class='{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}'><p>text {i} {k}</p></div>" for k in range(6)) + "<i>foot</i>")
+        u = wrapper.as_template(page, i * 7919 % 10007)
+        wrapper.numbered(u, shapes)
+        t = u if t is None else wrapper.merge(t, u, shapes)
+    assert wrapper.numbered(t, shapes) <= wrapper.NODES + 20 and time.process_time() - began < 60
+
+
+def test_wrapper_matches_deep_trees_without_a_limit():
+    deep = lambda n, end: wrapper.parse("<div>" * n + end + "</div>" * n)
+    shapes = wrapper.Shapes()
+    a, b = (wrapper.as_template(p, 1) for p in (deep(3000, "<p>x</p>"), deep(3000, "<p>x</p><b>y</b>")))
+    wrapper.numbered(a, shapes), wrapper.numbered(b, shapes)
+    assert shapes.weight(a.shape, b.shape) == 1 + 3000 + 2
