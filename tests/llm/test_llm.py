@@ -571,3 +571,15 @@ def test_wrapper_matches_deep_trees_without_a_limit():
     a, b = (wrapper.as_template(p, 1) for p in (deep(3000, "<p>x</p>"), deep(3000, "<p>x</p><b>y</b>")))
     wrapper.numbered(a, shapes), wrapper.numbered(b, shapes)
     assert shapes.weight(a.shape, b.shape) == 1 + 3000 + 2
+
+
+def test_licenses_of_full_texts_names_and_tags(spark):
+    cases = {
+        'Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n 1. Definitions. "License" shall mean the terms': "apache",
+        "CC0 1.0 Universal Public Domain Dedication": "cc0", "// SPDX-License-Identifier: MIT": "mit", "# SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "Eclipse Public License - v 2.0": "epl",
+        "under Creative Commons Attribution 3.0 Unported": "cc-by", "Attribution-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa", "Licensed under CC BY-NC-ND 4.0": "cc-by-nc-nd",
+        "CC BY-NC 4.0 and CC BY 2.5": "cc-by,cc-by-nc", "attribution 4.0 cc by nc spdx identifier license mit": "", "\u212airk wor\u212a cc by 4.0": "cc-by",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases

@@ -10,6 +10,7 @@ phrases are in the file in full. The base phrases are templates that need all th
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,15 +81,64 @@ TEMPLATES = [
         restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
         software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
         software. 3. This notice may not be removed or altered from any source distribution."""),
-    ("cc-by", ["cc by 4"], "Licensed under CC BY 4.0"),
-    ("cc-by-sa", ["cc by sa"], "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc", ["cc by nc"], "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nd", ["cc by nd"], "Licensed under CC BY-ND 4.0"),
-    ("cc-by", ["creative commons attribution 4"], "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", ["attribution sharealike"], "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-nc", ["attribution noncommercial"], "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-nd", ["attribution noderivatives"], "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("isc", ["the author disclaims all warranties"], """
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("bsd", ["provided by the copyright holders and contributors as is"], """
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED."""),
+    ("bsd", ["may be used to endorse or promote products derived from this software"], """
+        Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission."""),
+    ("apache", ["terms and conditions for use reproduction and distribution"], """
+        Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND
+        DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as
+        defined by Sections 1 through 9 of this document."""),
+    ("apache", ["apache license version 2 0 january 2004"], "Apache License Version 2.0, January 2004"),
+    ("gpl", ["gnu general public license"], """
+        The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most
+        software and other practical works are designed to take away your freedom to share and change the works."""),
+    ("gpl", ["gnu general public license"], """
+        The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General
+        Public License is intended to guarantee your freedom to share and change free software"""),
+    ("lgpl", ["lesser general public license"], """
+        This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU
+        General Public License, supplemented by the additional permissions listed below."""),
+    ("agpl", ["affero general public license"], """
+        The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically
+        designed to ensure cooperation with the community in the case of network server software."""),
+    ("mpl", ["mozilla public license version 2 0"], """
+        Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates,
+        contributes to the creation of, or owns Covered Software."""),
+    ("epl", ["eclipse public license"], """
+        THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION
+        OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."""),
+    ("epl", [], "Eclipse Public License - v 1.0"),
+    ("epl", [], "Eclipse Public License - v 2.0"),
+    ("cc0", [], "CC0 1.0 Universal"),
 ]
+#: The parts of attribution licences, short and in full; their versions; tags of licence files with labels.
+CC_PARTS = {"by": "attribution", "nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}
+CC_KINDS = ["by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"]
+CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
+TAGS = {
+    "mit": ["mit"], "apache": ["apache 2 0"], "gpl": ["gpl 2 0", "gpl 3 0"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "agpl": ["agpl 3 0"], "mpl": ["mpl 2 0"], "epl": ["epl 1 0", "epl 2 0"],
+    "bsd": ["bsd 2 clause", "bsd 3 clause"], "isc": ["isc"], "zlib": ["zlib"], "unlicense": ["unlicense"], "cc0": ["cc0 1 0"],
+}
+SHORT = 12  # templates of fewer words need all of them in place
+
+
+def short_templates() -> list[tuple[str, list[str], str]]:
+    """Names of attribution licences, short and in full, by kind and version, and tags that name a file's licence."""
+    out = [(label, [], f"spdx license identifier {tag}") for label, tags in TAGS.items() for tag in tags]
+    for kind in CC_KINDS:
+        full = " ".join(CC_PARTS[p] for p in kind.split("-"))
+        for version in CC_VERSIONS:
+            out += [(f"cc-{kind}", [], f"cc {kind} {version}"), (f"cc-{kind}", [], f"{'creative commons ' if kind == 'by' else ''}{full} {version}")]
+    return out
+
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The least share of a template's words in place.
 COVERAGE = 0.7
@@ -98,16 +148,15 @@ def template_rows(coverage: float = COVERAGE) -> list[tuple]:
     """tpl, label, base, words, keys, need: the words that must be in place."""
     words = lambda text: [w for w in re.split(SEPARATORS, text.lower()) if w]
     rows = [(i, label, True, words(phrase), [f" {phrase} "], len(words(phrase))) for i, (phrase, label) in enumerate(BASE.items())]
-    for i, (label, keys, text) in enumerate(TEMPLATES):
+    for i, (label, keys, text) in enumerate([*TEMPLATES, *short_templates()]):
         own = words(text)
-        rows.append((len(BASE) + i, label, False, own, [f" {k} " for k in keys], max(2, -int(-len(own) * coverage // 1))))
+        rows.append((len(BASE) + i, label, False, own, [f" {k} " for k in keys], len(own) if len(own) < SHORT else -int(-len(own) * coverage // 1)))
     return rows
 
 
 def words_column(text: str):
-    """Words of a text. ``lower`` differs from lower-casing A-Z only within words beyond ASCII: there it
-    keeps their bounds, and of ASCII letters it can produce only k (from the Kelvin sign), which no base phrase has."""
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), "")
+    """Words of a text, with A-Z lower-cased and nothing else."""
+    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase), SEPARATORS), "")
 
 
 def rare_positions(docs: DataFrame, templates: DataFrame, text: str = "text") -> DataFrame:
