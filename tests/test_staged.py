@@ -101,6 +101,14 @@ def test_totals_by_sector_and_for_the_sweep(spark):
     assert "elapsed" not in pipelines.sector_totals(swept).columns
 
 
+def test_a_staged_sweep_tells_what_each_sector_took(spark, series, tmp_path):
+    swept, timings = pipelines.staged_sweep(series, spark.createDataFrame([("2",)], "id string"), str(tmp_path / "w"), CFG)
+    assert {(r.sector, r.series_id, r.discovery_status) for r in swept.collect()} == {(1, "2", "KNOWN"), (1, "4", "NEW_CANDIDATE"), (2, "1", "NEW_CANDIDATE"), (2, "3", "NEW_CANDIDATE")}
+    got = {(r.sector, r.level): r for r in pipelines.sector_totals(swept, timings).where("level > 0").collect()}
+    whole = timings.agg(F.sum("total_ms")).first()[0] / 1000
+    assert got[(None, 3)].done == 4 and got[(None, 3)].elapsed == pytest.approx(whole) and got[(1, 1)].elapsed + got[(2, 1)].elapsed == pytest.approx(whole)
+
+
 def test_running_throughput(spark):
     hours = [0.1, 0.5, 1.2, 30.0]
     log = spark.createDataFrame([(str(i), "DONE", h) for i, h in enumerate(hours)] + [("x", "phase1", 3.0)], "tic_id string, last_stage string, h double")

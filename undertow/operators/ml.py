@@ -150,11 +150,12 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(f"{path}/model")
 
 
-def score_with(rows: DataFrame, make_predict, batch_size: int = 32) -> DataFrame:
+def score_with(rows: DataFrame, make_predict, batch_size: int = 32, width: int | None = None) -> DataFrame:
     """``prob_planet`` by a user's own model. ``make_predict`` returns a function from a NumPy matrix, a row for each
-    series (global view, local view, centroid, all of the same length), to probabilities; it is called once in each
-    Python worker."""
-    sizes = rows.select((F.size("global_view") + F.size("local_view") + 1).alias("n")).first()
-    shape = [sizes["n"] if sizes else 1]
-    predict = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[shape])
+    series (global view, local view, centroid, ``width`` numbers in all), to probabilities; it is called once in each
+    Python worker. Without ``width`` a first row is looked at."""
+    if width is None:
+        first = rows.select((F.size("global_view") + F.size("local_view") + 1).alias("n")).first()
+        width = first["n"] if first else 1
+    predict = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[width]])
     return rows.withColumn("prob_planet", predict(F.concat("global_view", "local_view", F.array(centroid_or_zero(F.col("centroid_offset"))))))

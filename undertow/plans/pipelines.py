@@ -162,13 +162,26 @@ def scan_all(series: DataFrame, series_id: str, cfg: Config = Config(), model: P
 
 def sweep(series: DataFrame, known: DataFrame, cfg: Config = Config(), model: PipelineModel | None = None, pending: DataFrame | None = None) -> DataFrame:
     """All pending sectors in one job: each (sector, series) is a series of its own."""
+    return catalog.cross_match(_parted(hunt(_by_sector(series, pending), cfg, model), "series_id"), known, "series_id")
+
+
+def staged_sweep(
+    series: DataFrame, known: DataFrame, folder: str, cfg: Config = Config(), model: PipelineModel | None = None, pending: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A sweep with stage tables in ``folder``, and its timings (sector, tic_id, milliseconds); see ``staged_hunt``."""
+    done = staged_hunt(_by_sector(series, pending), folder, cfg, model)
+    return catalog.cross_match(_parted(done.found, "series_id"), known, "series_id"), _parted(done.timings, "tic_id")
+
+
+def _by_sector(series: DataFrame, pending: DataFrame | None) -> DataFrame:
     if pending is not None:
         series = series.join(F.broadcast(pending.select("sector")), "sector", "left_semi")
-    both = series.withColumn("series_id", F.concat_ws("|", F.col("sector").cast("string"), "series_id"))
-    found = hunt(both, cfg, model)
-    part = F.split("series_id", r"\|", 2)
-    found = found.withColumns({"sector": part[0].cast("int"), "series_id": part[1]})
-    return catalog.cross_match(found, known, "series_id")
+    return series.withColumn("series_id", F.concat_ws("|", F.col("sector").cast("string"), "series_id"))
+
+
+def _parted(rows: DataFrame, key: str) -> DataFrame:
+    part = F.split(key, r"\|", 2)
+    return rows.withColumns({"sector": part[0].cast("int"), key: part[1]})
 
 
 def sector_summary(swept: DataFrame) -> DataFrame:
