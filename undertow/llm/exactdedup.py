@@ -21,6 +21,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else executors hold the stores' memory in later steps
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores takes 4 MB of disk ahead
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }

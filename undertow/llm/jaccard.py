@@ -36,7 +36,7 @@ LEAF = 16  # points in a leaf of the tree
 TILE = 4096  # points of a block that one task holds at a time; larger blocks go through all pairs of their tiles
 LOW = 8  # of a set's blocks, those of least number, by which the block that tells a pair is known
 BROADCAST_KEYS = 4_000_000  # of 8 bytes each
-KNOWN = 200_000  # sets that a task remembers, so as to deal copies out once
+KNOWN = 100_000  # sets that a task remembers, so as to deal copies out once
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -51,7 +51,7 @@ class WordHashes(dict):
     """Hashes of words, kept while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -180,7 +180,7 @@ def intersect(numer: int, denom: int):
     """Pairs of sets that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texts_in(batches, 256):  # two sets a row
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -258,7 +258,7 @@ def neighbours(numer: int, denom: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = first = None
-        for batch in batches:
+        for batch in texts_in(batches, 2048):  # a point of up to MOST_GROUPS counts a row
             rows = Rows(pa.Table.from_batches([batch]))
             a, b = [], []
             cut = [0, *(np.flatnonzero(rows.block[1:] != rows.block[:-1]) + 1), len(rows.block)]
