@@ -15,7 +15,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,33 +146,32 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def build_automata(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """``part, nth, automaton`` (pickled): built in tasks, each from at most AUTOMATON_WORDS words (or one longer item)."""
+    """``part, nth, automaton`` (pickled): built in tasks, each from at most AUTOMATON_WORDS words (or one longer item).
+
+    Their number follows from the items' words, and not from how Spark deals the items.
+    """
     most = AUTOMATON_WORDS
-    items = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    items = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null").distinct()
     sizes = items.mapInArrow(_word_counts, "words long").agg(F.sum("words").alias("n"))
     parts = max(1, -(-2 * (sizes.first()["n"] or 0) // most))  # one number
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, own, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def row() -> pa.RecordBatch:
-            made = pickle.dumps(SuffixAutomaton(window).build(own), pickle.HIGHEST_PROTOCOL)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([made], pa.binary())], names=["part", "nth", "automaton"])
-
-        for batch in texts_in(batches):
-            for item, raw in zip(batch.column("item").to_pylist(), raw_bytes(batch.column("text")), strict=True):
-                words = words_of(raw)
-                if own and size + len(words) > most:
-                    yield row()
-                    nth, own, size = nth + 1, [], 0
-                if words:
-                    own.append((item, words))
-                    size += len(words)
+    def build(rows: pa.Table) -> pa.Table:
+        made, own, size = [], [], 0
+        for item, raw in zip(rows.column("item").to_pylist(), raw_bytes(rows.column("text")), strict=True):
+            words = words_of(raw)
+            if own and size + len(words) > most:
+                made.append(SuffixAutomaton(window).build(own))
+                own, size = [], 0
+            if words:
+                own.append((item, words))
+                size += len(words)
         if own:
-            yield row()
+            made.append(SuffixAutomaton(window).build(own))
+        part, nth = [rows.column("part")[0].as_py()] * len(made), list(range(len(made)))
+        return pa.table([pa.array(part, pa.int32()), pa.array(nth, pa.int32()), pa.array([pickle.dumps(x, pickle.HIGHEST_PROTOCOL) for x in made], pa.binary())], names=["part", "nth", "automaton"])
 
-    dealt = items.repartition(parts, F.xxhash64("item", "text"))
-    return written(dealt.mapInArrow(build, "part int, nth int, automaton binary"), "automata")
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int"))
+    return written(dealt.groupBy("part").applyInArrow(build, "part int, nth int, automaton binary"), "automata")
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
