@@ -21,3 +21,54 @@ def test_statuses_round_by_the_binary_value(spark, tmp_path):
     import hashlib
 
     assert events.select(key).first()[0] == hashlib.md5(f"a_all_{0.0000005:.6f}_phase3".encode()).hexdigest()
+
+
+def _random_series(rng, n):
+    t = np.sort(np.round(rng.uniform(0, 30, n) * 24) / 24)
+    return t, np.round(rng.exponential(50, n), 1)
+
+
+def test_a_search_that_skips_periods_equals_one_of_all(spark):
+    """Times on whole hours fall on boxes' edges, and few rows tie at many periods."""
+    from undertow.operators import search
+
+    rng, grid = np.random.default_rng(3), search.log_grid(1.0, 15.0, 400)
+    for n in (3, 4, 7, 13, 66, 900):
+        for k in (1, 2, 3):
+            t, flux = _random_series(rng, n)
+            kernel = search.Kernel(width=k)
+            direct = np.floor(np.mod(t[None, :], grid[:, None]) / grid[:, None] * 20).astype(int)
+            assert (kernel.cells(t, grid).reshape(400, n) // 400 == direct).all()
+            best = np.concatenate([kernel.boxes(t, flux, grid[i : i + 1])[2] for i in range(400)])
+            scatter = (flux * flux).sum() - flux.sum() ** 2 / n
+            share = np.where(best >= 0, np.round(best / scatter, 9), -1.0)
+            at, cell = divmod(int(share.argmax()), 20)
+            assert kernel.best(t, flux, grid)[0] == grid[at] and kernel.best(t, flux, grid)[3] == cell
+            if k == 1 and n >= 66:
+                assert len(kernel.near_best(t, flux, grid, scatter)) < 40
+    assert kernel.best(t, np.full(900, 3.0), grid)[0] == grid[0]
+
+
+def test_sinusoids_by_single_precision_first_equal_those_of_all_periods():
+    from undertow.operators import harmonics, search
+
+    rng, grid = np.random.default_rng(4), search.log_grid(1.0, 15.0, 1000)
+    for n in (2, 4, 5, 13, 66, 900):
+        for _ in range(3):
+            t, flux = _random_series(rng, n)
+            near = harmonics._near_best(t, flux, grid)
+            own, whole = harmonics._numpy(t, flux, near)[0], harmonics._numpy(t, flux, grid)[0]
+            assert near[np.round(own, 9).argmax()] == grid[np.round(whole, 9).argmax()]
+            assert n < 66 or len(near) < 200
+
+
+@pytest.mark.parametrize("snr", [None, 5.0])
+def test_a_hunt_searches_each_series_once(spark, snr):
+    from undertow.plans import pipelines
+
+    t, flux = _random_series(np.random.default_rng(5), 60)
+    series = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip(t, flux)], "series_id string, t double, flux double")
+    found = pipelines.hunt(series, pipelines.Config(low=1.0, high=15.0, coarse=50, refine=20, snr=snr))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    row = found.first()
+    assert row.n == 60 and row.prob_planet is None and row.best_period is not None

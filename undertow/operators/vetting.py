@@ -22,10 +22,10 @@ PARITY_GATE, SECOND_GATE = 3.0, 7.1
 QUALITY_WEIGHTS = {"completeness": 0.3, "noise_level": 0.3, "max_gap": 0.2, "systematic_errors": 0.2}
 
 
-def _phased(series: DataFrame, best: DataFrame) -> DataFrame:
-    """Good rows with ``turns``, periods since the epoch; ``transit``, their whole number; ``phase``, the rest."""
+def _phased(series: DataFrame, best: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Good rows with ``turns``, periods since the epoch; ``transit``, their whole number; ``phase``, the rest; and best's ``keep``."""
     start = F.col("best_bin") / SEARCH_BINS * F.col("best_period") if "best_bin" in best.columns else F.col("epoch")
-    rows = series.where("flux is not null and not isnan(flux) and t is not null").join(best.select("series_id", "best_period", start.alias("_start")), "series_id")
+    rows = series.where("flux is not null and not isnan(flux) and t is not null").join(best.select("series_id", "best_period", start.alias("_start"), *(c for c in keep if c != "best_period")), "series_id")
     turns = (F.col("t") - F.col("_start")) / F.col("best_period")
     rows = rows.where("best_period > 0").withColumn("turns", turns).withColumn("transit", F.floor("turns"))
     return rows.withColumn("phase", F.col("turns") - F.col("transit"))
@@ -118,22 +118,24 @@ def secondary_eclipse(
     return found.select("series_id", "x.*", (F.col("x.snr") > gate).alias("flagged"))
 
 
-def depth_snr(series: DataFrame, best: DataFrame, width: float = WIDTH, gate: float = SNR_GATE) -> DataFrame:
+def depth_snr(series: DataFrame, best: DataFrame, width: float = WIDTH, gate: float = SNR_GATE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Depth of the transit and its signal-to-noise ratio with a robust noise.
 
     series_id, n_in, depth (median outside less the mean inside), noise (1.4826 times the median absolute deviation
     outside), snr (depth over noise, times the root of the rows inside), transits (that have rows), detected. ``series``
-    is to be detrended. Null where a side has no rows; no ratio without noise.
+    is to be detrended. Null where a side has no rows; no ratio without noise. Columns of ``best`` in ``keep`` come along,
+    so that a search need not run again for a join with it.
     """
-    rows = _phased(series, best).withColumn("_in", F.col("phase") < width)
+    rows = _phased(series, best, keep).withColumn("_in", F.col("phase") < width)
     level = F.median(F.when(~F.col("_in"), F.col("flux"))).over(Window.partitionBy("series_id"))
     rows = rows.withColumn("_level", level)
     told = rows.groupBy("series_id").agg(
         F.count_if("_in").alias("n_in"), (F.max("_level") - F.avg(F.when(F.col("_in"), F.col("flux")))).alias("depth"),
         (F.median(F.when(~F.col("_in"), F.abs(F.col("flux") - F.col("_level")))) * MAD_TO_SIGMA).alias("noise"), F.count_distinct(F.when(F.col("_in"), F.col("transit"))).alias("transits"),
+        *(F.first(c).alias(c) for c in keep),
     )
     snr = _over(F.col("depth"), F.col("noise")) * F.sqrt("n_in")
-    return told.select("series_id", "n_in", "depth", "noise", snr.alias("snr"), "transits", F.coalesce(snr > gate, F.lit(False)).alias("detected"))
+    return told.select("series_id", *keep, "n_in", "depth", "noise", snr.alias("snr"), "transits", F.coalesce(snr > gate, F.lit(False)).alias("detected"))
 
 
 def series_quality(series: DataFrame) -> DataFrame:
