@@ -72,3 +72,21 @@ def test_a_hunt_searches_each_series_once(spark, snr):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
     row = found.first()
     assert row.n == 60 and row.prob_planet is None and row.best_period is not None
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_boxes_meet_without_a_shuffle_in_tasks_of_bounded_work(spark, width, monkeypatch):
+    from undertow.operators import search
+
+    rng = np.random.default_rng(6)
+    rows = [(str(k), float(x), float(y)) for k in range(40) for x, y in zip(*_random_series(rng, 30))]
+    series = spark.createDataFrame(rows, "series_id string, t double, flux double")
+    grid = search.period_grid(spark, 1.0, 10.0, 10)
+    want = {(r.series_id, r.pid, r.bin): r.power for r in search.box_power(series, grid, width=width).collect()}
+    monkeypatch.setattr(search, "DEALT", 1000)
+    boxes = search.box_power(series, grid, width=width)
+    assert boxes.rdd.getNumPartitions() == 12  # 1200 rows and 10 periods
+    plan = boxes._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") <= 2
+    got = {(r.series_id, r.pid, r.bin): r.power for r in boxes.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
