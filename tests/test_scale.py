@@ -90,3 +90,23 @@ def test_boxes_meet_without_a_shuffle_in_tasks_of_bounded_work(spark, width, mon
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") <= 2
     got = {(r.series_id, r.pid, r.bin): r.power for r in boxes.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_the_limit_of_clear_languages_counts_all_rows(spark, monkeypatch):
+    """The sample has some 20 rows a language; the limit follows from the margins of all 600."""
+    from undertow.llm import langid
+
+    monkeypatch.setattr(langid, "PER_LANG", 20)
+    monkeypatch.setattr(langid, "LEAST_LANG", 20)
+    monkeypatch.setattr(langid, "CLEAR_LOST", 0.1)
+    rng, words = np.random.default_rng(8), {"en": "the and house of water tree".split(), "de": "und der wasser baum haus ist".split()}
+    rows = [(i, " ".join(rng.choice(words[lang] + words["de" if i % 9 == 0 and lang == "en" else lang], 12)), lang) for i in range(600) for lang in ("en" if i % 2 else "de",)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept, whole = {}, langid.clear_limit
+    monkeypatch.setattr(langid, "clear_limit", lambda labelled, langs, machines, *names: kept.update(langs=langs, machines=machines, n=labelled.count()) or whole(labelled, langs, machines, *names))
+    model = langid.fit_languages(docs, clear=True)
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", langid.fold_of("doc_id").alias("f")).collect()}
+    margins = sorted(float(kept["machines"][fold[i]][kept["langs"].index(lang)] @ np.append(langid.features(t), np.float32(1))) for i, t, lang in rows)
+    want = np.clip(margins[60], langid.CLEAR_LEAST, langid.CLEAR_MOST)
+    assert kept["n"] == 600 and len(set(fold.values())) == 2
+    assert want - 1.0001 / langid.CLEAR_STEPS <= model.limit <= want

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ DIM = 4096
 TRAIN_ROWS, PER_LANG, LEAST_LANG = 6000, 1200, 50
 #: Share of labelled rows that the margin of a clear language may lose, and the bounds of that margin: under 0 all machines say no.
 CLEAR_LOST, CLEAR_LEAST, CLEAR_MOST = 0.001, 0.0, 0.5
+CLEAR_STEPS = 10_000  # of a margin of 1
 #: Families of ISO 639-1 codes. A language that isn't here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -117,18 +118,35 @@ class Model:
         return self.langs[self.families[f][k]], float(family[f] * own[k]), float((self.rest @ x).max())
 
 
-def clear_limit(x: np.ndarray, y: np.ndarray, classes: int) -> float:
-    """The margin over which all but CLEAR_LOST of the labelled rows lie, each told by machines of the other fold; see CLEAR_LEAST."""
-    fold = np.arange(len(y)) % 2
-    own = [np.zeros(0, np.float32)]
-    for f in (0, 1):
-        w = svm(x[fold != f], y[fold != f], classes)
-        own.append((x[fold == f] * w[y[fold == f], :-1]).sum(axis=1) + w[y[fold == f], -1])
-    return float(np.clip(np.quantile(np.concatenate(own), CLEAR_LOST), CLEAR_LEAST, CLEAR_MOST))
+def clear_machines(x: np.ndarray, y: np.ndarray, fold: np.ndarray, classes: int) -> list[np.ndarray]:
+    """For each of two folds the machines of all languages, trained on rows of the other fold."""
+    return [svm(x[fold != f], y[fold != f], classes) for f in (0, 1)]
+
+
+def clear_limit(labelled: DataFrame, langs: list[str], machines: list[np.ndarray], text: str, label: str, key: str) -> float:
+    """The margin over which all but CLEAR_LOST of all the labelled rows lie, in steps of 1 / CLEAR_STEPS, each told for its
+    own language by the machines that no row of its fold has trained; see CLEAR_LEAST. The driver gets counts by step."""
+    shared = labelled.sparkSession.sparkContext.broadcast(({lang: i for i, lang in enumerate(langs)}, machines))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, w = shared.value
+        for batch in texts_in(batches):
+            rows = zip(batch.column(text).to_pylist(), batch.column(label).to_pylist(), batch.column("_fold").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([float(w[f][at[lang]] @ np.append(features(t), np.float32(1))) for t, lang, f in rows if lang in at], pa.float64())], names=["margin"])
+
+    told = labelled.select(text, label, fold_of(key).alias("_fold")).mapInArrow(own, "margin double")
+    step = F.floor(F.least(F.greatest("margin", F.lit(CLEAR_LEAST)), F.lit(CLEAR_MOST)) * CLEAR_STEPS)
+    counts = sorted((r["step"], r["count"]) for r in told.groupBy(step.alias("step")).count().collect())  # at most CLEAR_MOST * CLEAR_STEPS + 1
+    room = CLEAR_LOST * sum(n for _, n in counts)
+    for at, n in counts:
+        room -= n
+        if room < 0:
+            return at / CLEAR_STEPS
+    return CLEAR_LEAST
 
 
 def train(rows: list[tuple[np.ndarray, str]], clear: bool = False) -> Model:
-    """With ``clear`` also the machines and the limit that tell how clear a text is; they take as long again."""
+    """With ``clear`` also the machines that tell how clear a text is; the limit follows from all labelled rows."""
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Model([], [], np.zeros((0, DIM + 1), np.float32), [], np.zeros((0, DIM + 1), np.float32), 0.0)
@@ -144,14 +162,19 @@ def train(rows: list[tuple[np.ndarray, str]], clear: bool = False) -> Model:
             mine = np.isin(y, (own[a], own[b]))
             machines[i] = svm(x[mine], (y[mine] == own[b]).astype(np.int64), 2)[0]
         within.append(machines)
-    rest, limit = (svm(x, y, len(langs)), clear_limit(x, y, len(langs))) if clear else (np.zeros((1, DIM + 1), np.float32), 0.0)
-    return Model(langs, families, svm(x, family, len(families)), within, rest, limit)
+    rest = svm(x, y, len(langs)) if clear else np.zeros((1, DIM + 1), np.float32)
+    return Model(langs, families, svm(x, family, len(families)), within, rest, CLEAR_LEAST)
+
+
+def fold_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(2)).cast("int")
 
 
 def fit_languages(labelled: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", clear: bool = False) -> Model:
     """Trains on a bounded sample of ``labelled`` rows, chosen by a hash of the key: see TRAIN_ROWS.
 
-    The sample's feature vectors (whole texts) meet in one task; the weights come to the driver.
+    The sample's feature vectors (whole texts) meet in one task; the weights come to the driver. With ``clear`` all
+    labelled rows then tell the limit.
     """
     labelled = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     counts = written(labelled.groupBy(label).agg(F.count("*").alias("_n")), "langid-counts")  # one row a language
@@ -159,24 +182,30 @@ def fit_languages(labelled: DataFrame, *, text: str = "text", label: str = "lang
         return train([])
     each = max(LEAST_LANG, min(PER_LANG, TRAIN_ROWS // n_langs))
     share = F.least(F.lit(1.0), F.lit(each) / F.col("_n"))
-    chosen = labelled.join(F.broadcast(counts), label).where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1_000_000)) < share * 1_000_000).select(text, label, F.xxhash64(key).alias("_order"))
+    chosen = labelled.join(F.broadcast(counts), label).where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1_000_000)) < share * 1_000_000).select(text, label, F.xxhash64(key).alias("_order"), fold_of(key).alias("_fold"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts_in(batches, 256):
             v = [features(t).tobytes() for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), batch.column(label), batch.column("_order")], names=["v", "lang", "o"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), batch.column(label), batch.column("_order"), batch.column("_fold")], names=["v", "lang", "o", "f"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(v, np.float32), lang) for b in batches for v, lang in zip(b.column("v").to_pylist(), b.column("lang").to_pylist(), strict=True)]
+        seen = [(np.frombuffer(v, np.float32), lang, f) for b in batches for v, lang, f in zip(*(b.column(c).to_pylist() for c in ("v", "lang", "f")), strict=True)]
         import pickle
 
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows, clear))], pa.binary())], names=["model"])
+        model, machines = train([(v, lang) for v, lang, _ in seen], clear), []
+        if clear and seen:
+            machines = clear_machines(np.stack([v for v, _, _ in seen]), np.array([model.langs.index(lang) for _, lang, _ in seen]), np.array([f for _, _, f in seen]), len(model.langs))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model, machines))], pa.binary())], names=["model"])
 
-    sample = written(chosen.mapInArrow(vectors, "v binary, lang string, o long"), "langid-sample")
+    sample = written(chosen.mapInArrow(vectors, "v binary, lang string, o long, f int"), "langid-sample")
     fitted = sample.repartition(1).sortWithinPartitions("o", "lang").mapInArrow(fit, "model binary").collect()
     import pickle
 
-    return pickle.loads(fitted[0][0]) if fitted else train([])
+    model, machines = pickle.loads(fitted[0][0]) if fitted else (train([]), [])
+    if machines:
+        model.limit = clear_limit(labelled, model.langs, machines, text, label, key)
+    return model
 
 
 def predict_languages(docs: DataFrame, model: Model, *, text: str = "text", columns: list[str] | None = None, margin: bool = False) -> DataFrame:
