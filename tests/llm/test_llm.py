@@ -553,6 +553,21 @@ def test_wrapper_template_of_pages_with_ids_of_their_own(spark):
         assert r[i].text == " ".join(" ".join(f"Article {i} says {k} {'xyz'[k % 3] * (i % 7)}".split()) for k in range(1 + i % 4))
 
 
+def test_wrapper_slots_are_told_by_all_articles(spark):
+    """A line that is the same on the articles of the 140 least digests, and another on each of 260 others, is content."""
+    import zlib
+
+    lines, same = [], 0
+    for i in range(400):
+        tries = ["Same line", *(f"Line {i} {k}" for k in range(1000))][0 if same < 140 else 1 :]
+        line = next(x for x in tries if (zlib.crc32(f"{x} Story {i} Foot".encode()) < 1 << 31) == (x == "Same line"))
+        lines, same = [*lines, line], same + (line == "Same line")
+    assert same == 140
+    page = "<html><body><div>{}</div><div><p>Story {}</p></div><i>Foot</i><script 'a>raw</script></body></html>"
+    r = article_pages(spark, [(i, "http://all/x", page.format(x, i)) for i, x in enumerate(lines)])
+    assert [r[i].text for i in range(400)] == [f"{x} Story {i}" for i, x in enumerate(lines)]
+
+
 def test_wrapper_templates_stay_small_and_fast():
     import time
 

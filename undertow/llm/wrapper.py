@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host are DOM trees that are aligned by simple tree matching and merged to the host's
-template tree. A text slot of the template remembers what it held on a sample of the host's different
-articles: slots that hold the same on most of them are the host's template, slots that vary are content.
-A page's text is the content of its main container, less what its markup or the host's template tells to
+template tree. All pages are then aligned with their host's tree, and Spark counts what each text slot holds on
+the host's different articles: slots that hold the same on most of them are the host's template, slots that vary are
+content. A page's text is the content of its main container, less what its markup or the host's template tells to
 be no part of the article.
 """
 
@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
 CLOSES_P = BLOCK - {"br", "html", "body"} | {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+ENDS = {t: frozenset(CLOSES.get(t, set()) | ({"p"} if t in CLOSES_P else set())) for t in CLOSES_P | CLOSES.keys()}  # what a start tag closes
 SCOPE = set("html body table td th ul ol dl div section article main aside nav header footer form blockquote".split())
 #: Words of class names and ids that mark other parts than the article, and words that may go with them.
 #: Only a name all of whose words are of these, and one of the first kind, marks a part: "share-bar", not "share-prices".
@@ -45,14 +47,14 @@ PARTS = set(
 )
 BESIDE = set("area bar block body bottom box button buttons center container content count form group icons inner item items left link links list main outer page panel posts right row section site slot text thread top unit wrap wrapper".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: A text slot is the host's template if a sample of SAMPLE different articles has at least so many in it, and there are
-#: at most this share of different texts among them; within a main container only if it never differs. (What counts as
+#: A text slot is the host's template if at least this share of all its different articles, and so many, have it, and there
+#: are at most this share of different texts among them; within a main container only if it never differs. (What counts as
 #: a page's article is the text of its main containers, else of the whole page; copies of a page count once.) A host has
-#: a template only if some slot of most pages holds mostly different texts: pages that vary nowhere are near copies.
-SAMPLE, LEAST_OUTSIDE, LEAST_WITHIN, MOST_VARIETY, CONTENT_VARIETY = 128, 5, 8, 0.5, 0.8
-LEAST_SHARE = 0.9  # of the host's sampled articles that have the slot
-#: A template of more nodes than this, of a host whose sample is full, drops text slots that fewer of the sampled
-#: articles than RARE have: one that most pages have is far above it after the first few hundred pages.
+#: a template only if some slot of most articles holds mostly different texts: pages that vary nowhere are near copies.
+LEAST_OUTSIDE, LEAST_WITHIN, LEAST_SHARE, MOST_VARIETY, CONTENT_VARIETY = 5, 8, 0.9, 0.5, 0.8
+#: What a slot holds mostly is told from so many pages while trees grow. It only helps to align runs of like nodes.
+SAMPLE = 128
+#: A tree of more nodes than this, of at least SAMPLE pages, drops text slots that fewer of its pages than RARE have.
 NODES, RARE = 4_000, 0.05
 SHAPES_HELD = 200_000  # shapes of subtrees that a worker remembers
 HOSTS_HELD = 2000  # templates a task holds before it passes them on
@@ -79,15 +81,20 @@ def _marks_part(names: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "sig", "children", "text", "bad", "main", "shape")
+    """A node of a page. ``prepared`` adds ``kids`` (without blank texts and raw elements), ``shape``, ``size`` (texts in
+    it), ``first`` (its first text's place on the page) and a text's ``digest``."""
 
-    def __init__(self, tag: str, sig: str = "", text: str | None = None, bad: bool = False, main: bool = False) -> None:
+    __slots__ = ("tag", "sig", "children", "text", "bad", "main", "shape", "kids", "size", "first", "digest")
+
+    def __init__(self, tag: str, sig: str = "", bad: bool = False, main: bool = False, text: str | None = None) -> None:
         self.tag, self.sig, self.text, self.bad, self.main, self.children = tag, sig or tag, text, bad, main, []
 
 
-def _element(tag: str, attrs: str) -> Node:
+@lru_cache(100_000)
+def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """An element's signature, whether it is no part of the article, and whether it is a main container."""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return Node(tag, bad=tag in NEVER, main=tag in ("article", "main"))
+        return tag, tag in NEVER, tag in ("article", "main")
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     bad = (
@@ -97,23 +104,33 @@ def _element(tag: str, attrs: str) -> Node:
     main = tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody"
     # Ids, and class names with digits, name one page or item and not its kind.
     kind = " ".join(c for c in found.get("class", "").lower().split() if not _DIGIT.search(c))
-    return Node(tag, f"{tag}.{kind}" if kind else tag, bad=bad, main=main)
+    return f"{tag}.{kind}" if kind else tag, bad, main
 
 
 def parse(page: str) -> Node:
     """The DOM tree: elements and text nodes; end tags that HTML lets one leave out are put in."""
+    return parsed(page)[0]
+
+
+def parsed(page: str) -> list[Node]:
+    """All nodes of the DOM tree in page order."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at, nodes = [root], 0, [root]
 
     def add_text(a: int, b: int) -> None:
         if a < b:
-            stack[-1].children.append(Node("#text", text=page[a:b]))
+            nodes.append(Node("#text", text=page[a:b]))
+            stack[-1].children.append(nodes[-1])
 
     end, m = page.rfind(">") + 1, None  # no tag ends beyond
     for m in _TAG.finditer(page, 0, end):
-        add_text(at, m.start())
+        start, begun = m.start(), at
         at = m.end()
-        close, tag, attrs = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        if begun < start:
+            add_text(begun, start)
+        _, close, tag, attrs, close2, tag2, attrs2 = m.groups()
+        if not tag:
+            close, tag, attrs = close2, tag2, attrs2
         if not tag:
             continue
         tag = tag.lower()
@@ -125,49 +142,105 @@ def parse(page: str) -> Node:
                 if stack[k].tag in SCOPE and tag not in SCOPE:
                     break
             continue
-        if tag in CLOSES_P or tag in CLOSES:
-            ends = CLOSES.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+        if ends := ENDS.get(tag):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
                     del stack[k:]
                     break
                 if stack[k].tag in SCOPE and stack[k].tag not in ends:
                     break
-        node = _element(tag, attrs or "")
+        node = Node(tag, *(_kind if len(m[0]) < 200 else _kind.__wrapped__)(tag, attrs or ""))
+        nodes.append(node)
         stack[-1].children.append(node)
         if tag not in VOID and not (attrs or "").endswith("/"):
             stack.append(node)
     unclosed = m is not None and m.end() == end and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[1] and not _END.search(m[0]))
     if not unclosed:
         add_text(at, len(page))
-    return root
+    return nodes
 
 
 def clean(text: str) -> str:
     return " ".join((entities.unescape(text) if "&" in text else text).split())
 
 
-def _pieces(node: Node, out: list[str], skip: set[int]) -> None:
-    todo: list = [node]  # no recursion: trees may be deep
+def prepared(nodes: list[Node], shapes: Shapes, digests: bool = False) -> Node:
+    """The tree as templates see it; ``nodes`` is in page order, so children stand behind their parents."""
+    for x in reversed(nodes):
+        if x.text is not None:
+            own = clean(x.text) if digests or "&" in x.text else not x.text.isspace()
+            x.size, x.kids, x.shape = 1 if own else 0, (), shapes.number("#text", ()) if own else -1
+            if digests:
+                x.digest, x.first = zlib.crc32(own.encode()), -1  # none within raw elements
+        else:
+            x.kids = kids = [c for c in x.children if c.size or c.text is None and c.tag not in RAW]
+            x.size, x.shape = sum([c.size for c in kids]), shapes.number(x.sig, tuple([c.shape for c in kids]))
+    if digests:
+        nodes[0].first = 0
+        todo = [nodes[0]]
+        while todo:
+            x = todo.pop()
+            at = x.first
+            for c in x.kids:
+                c.first = at
+                at += c.size
+            todo += x.kids
+    return nodes[0]
+
+
+def pieces(root: Node, slots: list[int]) -> tuple[list[str], list[int]]:
+    """A prepared page's text in pieces, each with a mark: 1 for the main containers' text (the whole page's if there is
+    none), 2 for the whole page's, 4 within a main container, and 8 times the number of its template's slot, from 1 on.
+    """
+    mains = {id(x) for x in main_nodes(root)}
+    texts, marks, held, mark = [], [], [], -1
+    todo: list = [(root, 2 if mains else 3, 0)]  # no recursion: trees may be deep
     while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
+        x, flags, within = todo.pop()
+        if x.__class__ is str:
+            text, now = x, flags
         elif x.text is not None:
-            if id(x) not in skip:
-                out.append(entities.unescape(x.text) if "&" in x.text else x.text)
-        elif not x.bad or x is node:
-            gap = x.tag in BLOCK
+            text, now = entities.unescape(x.text) if "&" in x.text else x.text, flags
+            if slots and x.size and (slot := slots[x.first]) >= 0:
+                now += 8 * slot + 8 + within
+        else:
+            if x.bad and x is not root:
+                flags = 0
+                if x.tag not in ("html", "body", "form"):
+                    continue
+            gap = flags if x.tag in BLOCK else 0
+            if id(x) in mains:
+                flags |= 1
+                gap |= 1
             if gap:
-                out.append("\n")
-                todo.append("\n")
-            todo += reversed(x.children)
-
-
-def text_of(node: Node, skip: set[int]) -> str:
-    out: list[str] = []
-    _pieces(node, out, skip)
-    return " ".join("".join(out).split())
+                todo.append(("\n", gap, 0))
+            inside = 4 if within or x.main else 0
+            if flags or mains:
+                todo += [(c, flags, inside) for c in reversed(x.children)]
+            text, now = "\n", gap
+        if now & 3:
+            if now != mark or now >= 8:
+                if held:
+                    texts.append("".join(held))
+                    marks.append(mark)
+                held, mark = [], now
+            held.append(text)
+    if held:
+        texts.append("".join(held))
+        marks.append(mark)
+    return texts, marks
+
+
+def text_of(texts: list[str], marks: list[int], told: dict[int, int]) -> str:
+    """The main containers' text without the slots in ``told`` (1: outside of main containers, 2: within them too), or the
+    whole page's if that is empty."""
+    if told:
+        stays = [told.get((m >> 3) - 1, 0) <= (m >> 2 & 1) for m in marks]
+        texts, marks = [t for t, s in zip(texts, stays, strict=True) if s], [m for m, s in zip(marks, stays, strict=True) if s]
+    text = ""
+    for flag in (1, 2):
+        text = text or " ".join("".join([t for t, m in zip(texts, marks, strict=True) if m & flag]).split())
+    return text
 
 
 def main_nodes(root: Node) -> list[Node]:
@@ -286,13 +359,13 @@ def _fresh_shapes() -> Shapes:
 
 
 class Slot:
-    """A node of a template. ``sample`` has for the text slot (for the root: for the page) the least article digests
-    and what the slot held on them; ``constant``, once decided, is how it is told: 0 content, 1 outside, 2 within too."""
+    """A node of a template. ``n`` is how many pages have the text slot (for the root: how many pages there are), ``sample``
+    what it held on those of least digests. ``placed`` adds ``first`` and ``size``, as a page's nodes have them."""
 
-    __slots__ = ("sig", "children", "sample", "shape", "constant")
+    __slots__ = ("sig", "children", "sample", "shape", "n", "first", "size")
 
-    def __init__(self, sig: str, children: list[Slot] | None = None, sample: dict[int, int] | None = None, constant: int = 0) -> None:
-        self.sig, self.children, self.sample, self.constant = sig, children or [], sample or {}, constant
+    def __init__(self, sig: str, children: list[Slot] | None = None, sample: dict[int, int] | None = None, n: int = 0) -> None:
+        self.sig, self.children, self.sample, self.n = sig, children or [], sample or {}, n
 
 
 def numbered(root, shapes: Shapes) -> int:
@@ -309,12 +382,12 @@ def numbered(root, shapes: Shapes) -> int:
 
 
 def pruned(root: Slot) -> None:
-    """Drops text slots that few of the sampled articles have, and elements without any text slot left."""
-    least, todo = RARE * len(root.sample), [(root, False)]
+    """Drops text slots that few of the pages have, and elements without any text slot left."""
+    least, todo = RARE * root.n, [(root, False)]
     while todo:
         x, done = todo.pop()
         if done:
-            x.children = [c for c in x.children if c.children or c.sig == "#text" and sum(k in root.sample for k in c.sample) >= least]
+            x.children = [c for c in x.children if c.children or c.sig == "#text" and c.n >= least]
         else:
             todo.append((x, True))
             todo += [(c, False) for c in x.children if c.children]
@@ -322,7 +395,7 @@ def pruned(root: Slot) -> None:
 
 def as_template(node: Node, article: int) -> Slot:
     """Of a page: elements and texts that aren't blank."""
-    root = Slot(node.sig, sample={article: 0})
+    root = Slot(node.sig, sample={article: 0}, n=1)
     todo = [(node, root)]
     while todo:
         x, t = todo.pop()
@@ -332,7 +405,7 @@ def as_template(node: Node, article: int) -> Slot:
                     t.children.append(Slot(c.sig))
                     todo.append((c, t.children[-1]))
             elif text := clean(c.text):
-                t.children.append(Slot("#text", sample={article: zlib.crc32(text.encode())}))
+                t.children.append(Slot("#text", sample={article: zlib.crc32(text.encode())}, n=1))
     return root
 
 
@@ -344,10 +417,10 @@ def _held(x: Slot) -> int | None:
     return value if 2 * n >= len(x.sample) else None
 
 
-def _shown(x: Seen) -> int | None:
-    while len(x.children) == 1:
-        x = x.children[0]
-    return zlib.crc32(clean(x.node.text).encode()) if x.sig == "#text" else None
+def _shown(x: Node) -> int | None:
+    while len(x.kids) == 1:
+        x = x.kids[0]
+    return x.digest if x.text is not None else None
 
 
 def aligned(mine: list, other: list, shapes: Shapes, told_a=_held, told_b=_held) -> list[tuple[int, int]]:
@@ -362,17 +435,38 @@ def aligned(mine: list, other: list, shapes: Shapes, told_a=_held, told_b=_held)
     return shapes.aligned([c.shape for c in mine[: n - k]], [c.shape for c in other[: m - k]]) + [(n - i, m - i) for i in range(k, 0, -1)]
 
 
-def merge(t: Slot, u: Slot, shapes: Shapes) -> Slot:
-    """Adds template ``u`` to ``t``; both are numbered, and so is the result."""
+def _least(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
+    """The samples of two slots as one of at most SAMPLE pages."""
+    if len(b) == 1 and len(a) >= SAMPLE and min(b) > max(a):
+        return a
+    both = {**a, **{k: min(v, a.get(k, v)) for k, v in b.items()}}
+    return both if len(both) <= SAMPLE else {k: both[k] for k in sorted(both)[:SAMPLE]}
+
+
+def _counted(u: Slot) -> list[Slot]:
+    """The root and text slots of a page's tree."""
+    met, todo = [], [u]
+    while todo:
+        x = todo.pop()
+        if x.n:
+            met.append(x)
+        todo += x.children
+    return met
+
+
+def merge(t: Slot, u: Slot, shapes: Shapes, met: list[Slot] | None = None) -> Slot:
+    """Adds template ``u`` to ``t``; both are numbered, and so is the result. ``met`` gets the slots that ``u`` has there."""
     todo, grown = [(t, u)], False
     while todo:
         t0, u0 = todo.pop()
         if u0.sample:
-            both = {**t0.sample, **{k: min(v, t0.sample.get(k, v)) for k, v in u0.sample.items()}}
-            t0.sample = both if len(both) <= SAMPLE else {k: both[k] for k in sorted(both)[:SAMPLE]}
+            t0.sample = _least(t0.sample, u0.sample)
+        t0.n += u0.n
+        if met is not None and u0.n:
+            met.append(t0)
         mine, other = t0.children, u0.children
         pairs = aligned(mine, other, shapes)
-        todo += [(mine[i], other[j]) for i, j in pairs if mine[i].children or other[j].children or other[j].sample]
+        todo += [(mine[i], other[j]) for i, j in pairs if mine[i].children or other[j].children or other[j].n]
         if len(pairs) < len(other):
             taken, out, at, grown = {j: i for i, j in pairs}, [], 0, True
             for j, child in enumerate(other):
@@ -381,28 +475,53 @@ def merge(t: Slot, u: Slot, shapes: Shapes) -> Slot:
                     at = taken[j] + 1
                 else:
                     out.append(child)
+                    if met is not None:
+                        met += _counted(child)
             t0.children = out + mine[at:]
-    if grown and numbered(t, shapes) > NODES and len(t.sample) >= SAMPLE:
+    if grown and numbered(t, shapes) > NODES and t.n >= SAMPLE:
         pruned(t)
         numbered(t, shapes)
     return t
 
 
-def decided(root: Slot) -> Slot:
-    """Tells which text slots are the host's template, and forgets the samples but for what those hold mostly."""
-    pages, todo, varies, told = root.sample, [root], False, []
+def placed(root: Slot) -> Slot:
+    """Gives each node of a numbered template its size and the place of its first text slot."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += x.children
+    for x in reversed(order):
+        x.size = 1 if x.sig == "#text" else sum(c.size for c in x.children)
+    root.first = 0
+    for x in order:
+        at = x.first
+        for c in x.children:
+            c.first = at
+            at += c.size
+    return root
+
+
+def slots_of(page: Node, template: Slot, shapes: Shapes) -> list[int]:
+    """The template's text slot of each of the page's texts in order; -1 for none. The template is numbered and placed."""
+    slots, todo = [-1] * page.size, [(page, template)]
+    while todo:
+        x, t = todo.pop()
+        if x.shape == t.shape:
+            slots[x.first : x.first + x.size] = range(t.first, t.first + t.size)
+        else:
+            todo += [(x.kids[i], t.children[j]) for i, j in aligned(x.kids, t.children, shapes, _shown, _held)]
+    return slots
+
+
+def settled(root: Slot) -> Slot:
+    """The tree without samples but for what each text slot held mostly."""
+    todo = [root]
     while todo:
         x = todo.pop()
         todo += x.children
-        if x.sig == "#text":
-            own = [v for k, v in x.sample.items() if k in pages]
-            n, kinds = len(own), len(set(own))
-            varies |= n >= max(LEAST_OUTSIDE, len(pages) / 2) and kinds >= CONTENT_VARIETY * n
-            if n >= max(LEAST_OUTSIDE, LEAST_SHARE * len(pages)) and kinds <= MOST_VARIETY * n:
-                told.append((x, 2 if kinds == 1 and n >= LEAST_WITHIN else 1, Counter(own).most_common(1)[0][0]))
-        x.sample = {}
-    for x, constant, text in told if varies else ():
-        x.constant, x.sample = constant, {0: text}
+        value = _held(x) if x.sig == "#text" else None
+        x.sample = {} if value is None else {0: value}
     return root
 
 
@@ -411,7 +530,7 @@ def dumped(root: Slot) -> str:
     flat, todo = [], [root]
     while todo:
         x = todo.pop()
-        flat.append([x.sig, len(x.children), x.constant, *(n for kv in sorted(x.sample.items()) for n in kv)])
+        flat.append([x.sig, len(x.children), x.n, *(n for kv in sorted(x.sample.items()) for n in kv)])
         todo += reversed(x.children)
     return json.dumps(flat, separators=(",", ":"))
 
@@ -419,102 +538,72 @@ def dumped(root: Slot) -> str:
 def loaded(text: str) -> Slot:
     top = Slot("")
     open_ = [[top, 1]]
-    for sig, children, constant, *sample in json.loads(text):
+    for sig, children, pages, *sample in json.loads(text):
         while not open_[-1][1]:
             open_.pop()
         open_[-1][1] -= 1
-        slot = Slot(sig, None, dict(zip(sample[::2], sample[1::2], strict=True)), constant)
+        slot = Slot(sig, None, dict(zip(sample[::2], sample[1::2], strict=True)), pages)
         open_[-1][0].children.append(slot)
         open_.append([slot, children])
     return top.children[0]
 
 
-def constants(page: Node, template: Slot | None, shapes: Shapes) -> set[int]:
-    """ids of the page's text nodes that are the host's template. The template is numbered."""
-    skip: set[int] = set()
-    if template is None:
-        return skip
-    own = as_nodes(page)
-    numbered(own, shapes)
-    todo = [(own, template, False)]
-    while todo:
-        x, t, within = todo.pop()
-        for i, j in aligned(x.children, t.children, shapes, _shown, _held):
-            c, u = x.children[i], t.children[j]
-            if c.sig == "#text":
-                if u.constant > within:
-                    skip.add(id(c.node))
-            elif u.children:
-                todo.append((c, u, within or c.node.main))
-    return skip
-
-
-class Seen:
-    """A page's node as templates see it: without blank texts and raw elements."""
-
-    __slots__ = ("sig", "children", "shape", "node")
-
-    def __init__(self, sig: str, node: Node) -> None:
-        self.sig, self.node, self.children = sig, node, []
-
-
-def as_nodes(page: Node) -> Seen:
-    root = Seen(page.sig, page)
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        for c in x.node.children:
-            if c.text is None:
-                if c.tag not in RAW:
-                    x.children.append(Seen(c.sig, c))
-                    todo.append(x.children[-1])
-            elif not c.text.isspace() and clean(c.text):
-                x.children.append(Seen("#text", c))
-    return root
-
-
-def main_text(page: str | None, template: Slot | None, shapes: Shapes | None = None) -> str:
-    if not page:
-        return ""
-    root = parse(page)
-    skip = constants(root, template, shapes or _shapes)
-    texts = [text_of(x, skip) for x in main_nodes(root)]
-    return " ".join(t for t in texts if t) or text_of(root, skip)
-
-
 def host_of(url: str | None) -> str:
     return (url or "").partition("://")[2].partition("/")[0].lower()
 
 
 def induce(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, template`` (JSON) of the hosts whose template has a slot to tell.
+    """``host, template`` (JSON) of the hosts that have enough pages for a slot to be told.
 
-    Every task merges its own pages to one tree a host, in the order it reads them. A host's trees are then merged
-    in the order of tasks, first those of tasks with an equal number modulo 64, then the results; so a task that
-    is run again gives the same. What single pages have of their own is dropped as a tree grows (see NODES): it has the
-    slots that a share of the pages has, each with a sample of bounded size.
+    Every task merges its own pages to one tree a host, in the order it reads them; a page whose shape the tree holds
+    already is only counted, once the sample is full. A host's trees are then merged in the order of tasks, first those of
+    tasks with an equal number modulo 64, then the results; so a task that is run again gives the same. What single pages
+    have of their own is dropped as a tree grows (see NODES).
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Slot] = {}
+        known: dict[str, dict[int, list]] = {}  # by host and shape: pages that were only counted, and their slots
         shapes, part, nth = _fresh_shapes(), TaskContext.get().partitionId(), 0
 
+        def count(host: str) -> None:
+            for n, slots in known.pop(host, {}).values():
+                for x in slots if n else ():
+                    x.n += n
+
+        def add(host: str, h: str) -> None:
+            root, key = prepared(parsed(h), shapes), zlib.crc32(h.encode())
+            t, seen = held.get(host), known.setdefault(host, {})
+            if t is not None and root.shape in seen and len(t.sample) >= SAMPLE and key > max(t.sample):
+                seen[root.shape][0] += 1
+                return
+            u = as_template(root, key)
+            if t is not None and shapes.sizes[t.shape] + numbered(u, shapes) > NODES:
+                count(host)  # the tree may be pruned
+                held[host] = merge(t, u, shapes)
+                return
+            met: list[Slot] = []
+            if t is None:
+                numbered(u, shapes)
+                held[host], met = u, _counted(u)
+            else:
+                held[host] = merge(t, u, shapes, met)
+            seen[root.shape] = [seen[root.shape][0] if root.shape in seen else 0, met]
+
         def out() -> pa.RecordBatch:
-            names, trees = list(held), [dumped(t) for t in held.values()]
+            for host in held:
+                count(host)
+            names, trees, n = list(held), [dumped(t) for t in held.values()], [t.n for t in held.values()]
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([part % 64] * len(names), pa.int32()), pa.array([part] * len(names), pa.int64()), pa.array([nth] * len(names), pa.int64()), pa.array(trees, pa.string())],
-                names=["host", "salt", "part", "nth", "template"],
+                [pa.array(names, pa.string()), pa.array([part % 64] * len(names), pa.int32()), pa.array([part] * len(names), pa.int64()), pa.array([nth] * len(names), pa.int64()), pa.array(n, pa.int64()), pa.array(trees, pa.string())],
+                names=["host", "salt", "part", "nth", "n", "template"],
             )
 
         for batch in texts_in(batches, 128):
             for u, h in zip(batch.column(url).to_pylist(), batch.column(html).to_pylist(), strict=True):
                 if h:
-                    root, host = parse(h), host_of(u)
-                    own = main_nodes(root) or [root]
-                    t = as_template(root, zlib.crc32("\n".join(text_of(x, set()) for x in own).encode()))
-                    numbered(t, shapes)
-                    held[host] = merge(held[host], t, shapes) if host in held else t
+                    add(host_of(u), h)
             if len(held) > HOSTS_HELD or len(shapes.shapes) > SHAPES_HELD:
                 yield out()
                 shapes, nth = _fresh_shapes(), nth + 1
@@ -527,17 +616,39 @@ def induce(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFra
                 u = loaded(text)
                 numbered(u, shapes)
                 t = u if t is None else merge(t, u, shapes)
-            if last:
-                t = decided(t)
-            return rows.iloc[:1].assign(template=dumped(t))
+            return rows.iloc[:1].assign(n=t.n, template=dumped(settled(t) if last else t))
 
         return run
 
-    schema = "host string, salt int, part long, nth long, template string"
+    schema = "host string, salt int, part long, nth long, n long, template string"
     parts = written(pages.select(url, html).mapInArrow(partial, schema), "wrapper-parts")
     some = parts.groupBy("host", "salt").applyInPandas(fold(False), schema)
     whole = some.groupBy("host").applyInPandas(fold(True), schema)
-    return written(whole.where(F.col("template").rlike(r'",[0-9]+,[12],')).select("host", "template"), "wrapper-templates")
+    return written(whole.where(F.col("n") >= LEAST_OUTSIDE).select("host", "template"), "wrapper-templates")
+
+
+def told_slots(aligned_pages: DataFrame) -> DataFrame:
+    """``_host, _told``: the text slots (numbers from 0 on) that are a host's template, each with 1 (outside of main
+    containers) or 2 (within them too).
+
+    ``aligned_pages`` has _host, _article (digest), and _slots with what they hold in _digests. All articles count, each once:
+    of copies the row of least arrays. Slot -1 stands for the article itself.
+    """
+    once = aligned_pages.where("_slots is not null").groupBy("_host", "_article").agg(F.min(F.struct("_slots", "_digests")).alias("x"))
+    own = once.select("_host", F.explode(F.arrays_zip("x._slots", "x._digests")).alias("x")).select("_host", F.col("x._slots").alias("slot"), F.col("x._digests").alias("digest"))
+    kinds = own.groupBy("_host", "slot", "digest").agg(F.count("*").alias("n")).groupBy("_host", "slot").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    whole = kinds.groupBy("_host").agg(F.max(F.when(F.col("slot") < 0, F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("slot") >= 0, F.struct("slot", "n", "kinds"))).alias("all"))
+    least = lambda share: F.greatest(F.lit(float(LEAST_OUTSIDE)), share * F.col("pages"))
+    varies = F.exists("all", lambda x: (x["n"] >= least(0.5)) & (x["kinds"] >= CONTENT_VARIETY * x["n"]))
+    told = F.filter("all", lambda x: (x["n"] >= least(LEAST_SHARE)) & (x["kinds"] <= MOST_VARIETY * x["n"]))
+    how = lambda x: F.when((x["kinds"] == 1) & (x["n"] >= LEAST_WITHIN), 2).otherwise(1)
+    return whole.where(varies & (F.size(told) > 0)).select("_host", F.transform(told, lambda x: F.struct(x["slot"].alias("slot"), how(x).alias("how"))).alias("_told"))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, size: str) -> DataFrame:
+    """``rows`` with the columns that ``table`` has for their host; the table is broadcast if its ``size`` is small."""
+    small = (table.agg(F.sum(F.expr(size))).first()[0] or 0) <= SMALL_BYTES
+    return rows.join(F.broadcast(table) if small else table, "_host", "left")
 
 
 def extract(pages: DataFrame, templates: DataFrame | None = None, *, url: str = "url", html: str = "html", columns: list[str] | None = None) -> DataFrame:
@@ -547,31 +658,58 @@ def extract(pages: DataFrame, templates: DataFrame | None = None, *, url: str =
     White space within it becomes single spaces. Null or empty html gives an empty text; an empty table gives no
     rows; pages without a host share a template, and pages of hosts with few articles are told by their markup
     alone. Repeated rows come back as often as they came; columns named as the new ones are replaced.
+
+    The pages' texts are written in pieces once, each with its template's slot; what the slots hold is counted from there
+    over all pages, and the texts are put together without those that are told.
     """
     templates = induce(pages, url=url, html=html) if templates is None else templates
     keep = [c for c in (columns or pages.columns) if c not in ("text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"://([^/]*)", 1))
-    size = templates.agg(F.sum(F.octet_length("template"))).first()[0] or 0
-    small = F.broadcast(templates) if size <= SMALL_BYTES else templates
-    joined = pages.withColumn("_host", host).join(small.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "_host", "left")
+    joined = _looked_up(pages.withColumn("_host", host), templates.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "octet_length(_template)")
     used = list(dict.fromkeys([*keep, html]))
+    kept = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Slot] = {}
         shapes = _fresh_shapes()
         for batch in texts_in(batches, 128):
-            texts = []
+            rows = []
             if len(known) > 500 or len(shapes.shapes) > SHAPES_HELD:
                 known, shapes = {}, _fresh_shapes()
             for t, h in zip(batch.column("_template").to_pylist(), batch.column(html).to_pylist(), strict=True):
+                if not h:
+                    rows.append(([], [], None, None, None))
+                    continue
                 if t is not None and t not in known:
                     known[t] = loaded(t)
                     numbered(known[t], shapes)
-                texts.append(main_text(h, known.get(t), shapes))
+                    placed(known[t])
+                nodes = parsed(h)
+                root = prepared(nodes, shapes, digests=t is not None)
+                slots = slots_of(root, known[t], shapes) if t is not None else []
+                texts, marks = pieces(root, slots)
+                if t is None:
+                    rows.append((texts, marks, None, None, None))
+                    continue
+                article = zlib.crc32(" ".join("".join([x for x, m in zip(texts, marks, strict=True) if m & 1]).split()).encode())
+                held = [(slots[x.first], x.digest) for x in nodes if x.text is not None and x.size and x.first >= 0 and slots[x.first] >= 0]
+                rows.append((texts, marks, article, [*(s for s, _ in held), -1], [*(d for _, d in held), 0]))
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "_host"]), *made], names=[*keep, "_host", *names])
+
+    names, kinds = ["_texts", "_marks", "_article", "_slots", "_digests"], [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    schema = ", ".join([*kept, "_host string, _texts array<string>, _marks array<int>, _article long, _slots array<int>, _digests array<long>"])
+    whole = written(joined.select(*used, "_host", "_template").mapInArrow(cut, schema), "wrapper-pages")
+    told = written(told_slots(whole), "wrapper-told")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in texts_in(batches, 128):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("_texts", "_marks", "_told")), strict=True)
+            texts = [text_of(x, m, {s["slot"]: s["how"] for s in told or ()}) for x, m, told in rows]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=[*keep, "text", "n_chars"],
             )
 
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), "text string, n_chars long"])
-    return joined.select(*used, "_template").mapInArrow(run, schema)
+    found = _looked_up(whole.select(*keep, "_host", "_texts", "_marks"), told, "8 * size(_told)")
+    return found.select(*keep, "_texts", "_marks", "_told").mapInArrow(put, ", ".join([*kept, "text string, n_chars long"]))
