@@ -110,3 +110,21 @@ def test_the_limit_of_clear_languages_counts_all_rows(spark, monkeypatch):
     want = np.clip(margins[60], langid.CLEAR_LEAST, langid.CLEAR_MOST)
     assert kept["n"] == 600 and len(set(fold.values())) == 2
     assert want - 1.0001 / langid.CLEAR_STEPS <= model.limit <= want
+
+
+def test_features_meet_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Views meet where rows are dealt by series."""
+    from undertow.operators import fold, search
+
+    rng = np.random.default_rng(9)
+    rows = [(str(k), float(x), float(y)) for k in range(40) for x, y in zip(*_random_series(rng, 30))]
+    series = spark.createDataFrame(rows, "series_id string, t double, flux double")
+    best = search.single_pass(series, 1.0, 10.0, 10)
+    want = {r.series_id: r for r in fold.features(series, best).collect()}
+    monkeypatch.setattr(fold, "DEALT", 100)
+    told = fold.features(series, best, rows=1200)
+    assert told.rdd.getNumPartitions() == 12
+    got = {r.series_id: r for r in told.collect()}
+    assert got.keys() == want.keys() and len(got) == 40
+    for k in want:
+        assert np.allclose(got[k].global_view, want[k].global_view) and np.allclose(got[k].local_view, want[k].local_view)
