@@ -128,3 +128,17 @@ def test_features_meet_in_tasks_of_bounded_rows(spark, monkeypatch):
     assert got.keys() == want.keys() and len(got) == 40
     for k in want:
         assert np.allclose(got[k].global_view, want[k].global_view) and np.allclose(got[k].local_view, want[k].local_view)
+
+
+def test_a_labelled_set_is_made_step_by_step(spark):
+    """Cleaning and search are behind the set once it is told; its plan has folding alone."""
+    from undertow.plans import pipelines
+
+    rng = np.random.default_rng(10)
+    rows = [(str(k), float(x), float(y)) for k in range(8) for x, y in zip(*_random_series(rng, 60))]
+    series = spark.createDataFrame(rows, "series_id string, t double, flux double")
+    labels = spark.createDataFrame([(str(k), k % 2) for k in range(8)], "tic_id string, label int")
+    told = pipelines.build_labelled_set(labels, series, most=3, cfg=pipelines.Config(low=1.0, high=15.0, coarse=20, refine=10))
+    assert "FlatMapGroups" not in told._jdf.queryExecution().optimizedPlan().toString()
+    got = told.collect()
+    assert sorted(r.label for r in got) == [0, 0, 0, 1, 1, 1] and all(len(r.global_view) == 2048 for r in got)
