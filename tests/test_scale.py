@@ -142,3 +142,8 @@ def test_a_labelled_set_is_made_step_by_step(spark):
     assert "FlatMapGroups" not in told._jdf.queryExecution().optimizedPlan().toString()
     got = told.collect()
     assert sorted(r.label for r in got) == [0, 0, 0, 1, 1, 1] and all(len(r.global_view) == 2048 for r in got)
+
+
+def test_statuses_of_what_is_no_number(spark):
+    rows = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (0.075,), (None,)], "x double")
+    assert [r[0] for r in rows.select(S.fixed(F.col("x"), 2)).collect()] == ["inf", "-inf", "nan", "0.07", None]
