@@ -568,6 +568,44 @@ def test_wrapper_slots_are_told_by_all_articles(spark):
     assert [r[i].text for i in range(400)] == [f"{x} Story {i}" for i, x in enumerate(lines)]
 
 
+def test_wrapper_reads_each_page_once(spark, tmp_path, monkeypatch):
+    """One plan has the pages' html: templates, slots and texts follow from what it has made of it."""
+    page = "<html><body><div>Our site</div><div><p>Story {}</p></div><i>Foot</i></body></html>"
+    rows = [(i, "http://once/x", page.format(i)) for i in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, raw_markup string").write.parquet(str(tmp_path / "pages"))
+    plans, write = [], wrapper.written
+    monkeypatch.setattr(wrapper, "written", lambda df, name: plans.append(df) or write(df, name))
+    plans.append(wrapper.extract(spark.read.parquet(str(tmp_path / "pages")), html="raw_markup", columns=["page_id"]))
+    assert [by_id(plans[-1], "page_id")[i].text for i in range(30)] == [f"Story {i}" for i in range(30)]
+    assert sum("raw_markup" in x._jdf.queryExecution().optimizedPlan().toString() for x in plans) == 1
+
+
+def test_wrapper_pages_of_one_layout():
+    """Layouts are shared by pages that differ in texts, links and ids; what is remembered of slots is what is found anew."""
+    rng = np.random.default_rng(5)
+    shapes = wrapper.Shapes()
+    trees, pages = wrapper.Trees(shapes), []
+    for i in range(300):
+        own = "".join(f"<p id='p{i}'>{rng.integers(9)} &amp; <a href='/{i}'>{k}</a>" for k in range(rng.integers(1, 5)))
+        page = f"<div>menu</div><article>{own}<p>{'foot' if rng.random() < 0.7 else i}</article><!-- {i} --><p>{['last', 'other'][rng.integers(2)]}"
+        found, texts, digests = wrapper.tokens(page)
+        layout = shapes.layout(found)
+        assert len(found) > len(texts) == len(layout.texts)
+        trees.add("h", layout, i, digests)
+        pages.append((layout.code, texts, digests))
+    assert len(shapes.layouts) == 4
+    assert trees.held["h"].n == len(trees.held["h"].sample) == wrapper.SAMPLE and sum(n for n, _ in trees.known["h"].values()) == 300 - wrapper.SAMPLE
+    (host,), (text,), (n,) = trees.out()
+    assert (host, n) == ("h", 300)
+    template = shapes.template(wrapper.dumped(wrapper.settled(wrapper.loaded(text))))
+    for code, texts, digests in pages:
+        read = shapes.read(code)
+        slots = read.slots(template, digests, shapes)
+        assert slots == wrapper.slots_of(read.root, template, shapes, digests, []) and min(slots) >= 0
+        assert read.text(texts) == wrapper.clean(" ".join(texts[1:-1]))
+    assert any(read.met for read in shapes.reads.values()) and len(shapes.reads) == 4
+
+
 def test_wrapper_templates_stay_small_and_fast():
     import time
 
