@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.operators.search import LIMIT, downsample, period_grid
+from undertow.operators.search import downsample, period_grid
 
+LIMIT = 80_000  # rows of a series that are visited
 GRID = 5000  # periods, as many as two passes of the box search have
 BEST = "series_id string, best_period double, power double, amplitude double, phase double, n long"
 
