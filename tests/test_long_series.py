@@ -60,3 +60,24 @@ def test_a_search_by_slices_equals_one_of_whole_series(spark, monkeypatch, optio
     assert got.keys() == want.keys() and len(got) == 6
     for k in want:
         same(got[k], want[k][1:])
+
+
+def test_two_passes_visit_all_rows_of_a_long_series(spark, long):
+    got = by_series(search.two_pass(long, 1.0, 10.0, coarse=20, refine=10))
+    assert len(got) == 2
+    for name in got:
+        t, flux = arrays(long, name)
+        first = search.Kernel().best(t, flux, search.log_grid(1.0, 10.0, 20))[0]
+        same(got[name], search.Kernel().best(t, flux, search.near_grid(first, 1.0, 10.0, 10)))
+
+
+def test_spectra_of_a_long_series_are_of_all_rows(spark, long):
+    told = search.merged_spectrum(long, 1.0, 10.0, 12, 5)
+    got = {(r["pass"], r.pid): (r.period, r.power) for r in told.where("series_id = 'long'").collect()}
+    t, flux = arrays(long)
+    grid = search.log_grid(1.0, 10.0, 12)
+    near = search.near_grid(search.Kernel().best(t, flux, grid)[0], 1.0, 10.0, 5)
+    assert len(got) == 17 and told.where("series_id = 'short'").count() == 17
+    for name, periods in (("coarse", grid), ("refine", near)):
+        for i, power in enumerate(search.Kernel().spectrum(t, flux, periods)):
+            assert got[(name, i)] == (periods[i], pytest.approx(power))
