@@ -81,3 +81,23 @@ def test_spectra_of_a_long_series_are_of_all_rows(spark, long):
     for name, periods in (("coarse", grid), ("refine", near)):
         for i, power in enumerate(search.Kernel().spectrum(t, flux, periods)):
             assert got[(name, i)] == (periods[i], pytest.approx(power))
+
+
+def hunted(long, snr=None):
+    """The hunt's result for the long series, by NumPy over the cleaned rows."""
+    from undertow.plans import pipelines
+
+    cfg = pipelines.Config(low=1.0, high=10.0, coarse=12, refine=5, rounds=1, snr=snr)
+    t, flux = arrays(pipelines.phase1(long, cfg))
+    assert len(t) > 80_000
+    first = search.Kernel().best(t, flux, search.log_grid(1.0, 10.0, 12))[0]
+    return cfg, search.Kernel().best(t, flux, search.near_grid(first, 1.0, 10.0, 5))
+
+
+def test_a_hunt_visits_all_rows_of_a_long_series(spark, long):
+    from undertow.plans import pipelines
+
+    cfg, want = hunted(long)
+    got = by_series(pipelines.hunt(long, cfg))
+    assert got.keys() == {"long", "short"} and got["long"].n == N and got["long"].best_period == want[0]
+    assert got["long"].epoch == pytest.approx(want[1]) and got["long"].max_power == pytest.approx(want[2])
