@@ -101,3 +101,11 @@ def test_a_hunt_visits_all_rows_of_a_long_series(spark, long):
     got = by_series(pipelines.hunt(long, cfg))
     assert got.keys() == {"long", "short"} and got["long"].n == N and got["long"].best_period == want[0]
     assert got["long"].epoch == pytest.approx(want[1]) and got["long"].max_power == pytest.approx(want[2])
+
+
+def test_a_staged_hunt_with_noise_visits_all_rows_of_a_long_series(spark, long, tmp_path):
+    from undertow.plans import pipelines
+
+    cfg, want = hunted(long, snr=5.0)
+    got = by_series(pipelines.staged_hunt(long, str(tmp_path / "hunt"), cfg).found)["long"]
+    assert (got.n, got.best_period) == (N, want[0]) and got.max_power == pytest.approx(want[2]) and got.snr is not None
