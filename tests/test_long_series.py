@@ -109,3 +109,14 @@ def test_a_staged_hunt_with_noise_visits_all_rows_of_a_long_series(spark, long,
     cfg, want = hunted(long, snr=5.0)
     got = by_series(pipelines.staged_hunt(long, str(tmp_path / "hunt"), cfg).found)["long"]
     assert (got.n, got.best_period) == (N, want[0]) and got.max_power == pytest.approx(want[2]) and got.snr is not None
+
+
+def test_the_timings_of_a_hunt_hold_long_series(spark, long, tmp_path):
+    from undertow.plans import pipelines
+
+    cfg, want = hunted(long)
+    done = pipelines.staged_hunt(long, str(tmp_path / "hunt"), cfg)
+    assert by_series(done.best)["long"].best_period == want[0]
+    told = {r.tic_id: r for r in done.timings.collect()}
+    assert len(told) == 2
+    assert all(r.phase2_ms > 0 and r.total_ms == pytest.approx(r.phase1_ms + r.phase2_ms + r.phase3_ms + r.predict_ms) for r in told.values())
