@@ -120,3 +120,18 @@ def test_the_timings_of_a_hunt_hold_long_series(spark, long, tmp_path):
     told = {r.tic_id: r for r in done.timings.collect()}
     assert len(told) == 2
     assert all(r.phase2_ms > 0 and r.total_ms == pytest.approx(r.phase1_ms + r.phase2_ms + r.phase3_ms + r.predict_ms) for r in told.values())
+
+
+def test_sinusoids_are_fitted_to_all_rows_of_a_long_series(spark, long, monkeypatch):
+    from undertow.operators import harmonics
+
+    got, grid = by_series(harmonics.lomb_scargle(long, 1.0, 10.0, 30)), search.log_grid(1.0, 10.0, 30)
+    assert (got["long"].n, got["short"].n) == (N, 200)
+    for name in got:
+        power, a, b = harmonics._numpy(*arrays(long, name), grid)
+        k = int(np.round(power, 9).argmax())
+        assert got[name].best_period == grid[k] and got[name].power == pytest.approx(power[k]) and got[name].amplitude == pytest.approx(np.hypot(a[k], b[k]))
+        assert got[name].phase == pytest.approx(np.mod(np.arctan2(b[k], a[k]) / (2 * np.pi), 1.0))
+    monkeypatch.setattr(search, "SLICE", 30)
+    few = by_series(harmonics.lomb_scargle(long.where("series_id = 'short'"), 1.0, 10.0, 30))["short"]
+    assert few.asDict() == {k: v if k in ("series_id", "n") else pytest.approx(v) for k, v in got["short"].asDict().items()}
